@@ -1,10 +1,411 @@
-"""Every registered query of the vector library with its DuckDB twin."""
+"""Every registered query of the vector library with its DuckDB twin, all over whole tables: every row is a query."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from embervane.functions import vector as V
+from embervane.functions.codec import Codec, bounds, decode, encode, fingerprint, levels, pack_slots, packed_cols, rotation, signs, usable
+from embervane.operators import hubness, knn, stats
+from embervane.session import staged
+from embervane.sources.exports import export
+from embervane.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+DIM, K, N_MIN, ANCHORS = 64, 10, 30, 200
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _e(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings")
+
+
+def _knn(e: DataFrame) -> DataFrame:
+    """The kNN graph, written once: several parts of a plan read it."""
+    return staged(knn.topk(e, e, K, exclude_self=True).select("query", "rank", "id"), "edges")
+
+
+def _areas(e: DataFrame) -> DataFrame:
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("area"))
+
+
+# -- DuckDB text
+
+E = "e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n, label FROM embeddings)"
+_COS = "list_inner_product(q.v, b.v) / greatest(q.n * b.n, 1e-30)"
+
+
+def _knn_sql(score: str = _COS, k: int = K, where: str = "q.vec_id <> b.vec_id", cte: str = "knn", base: str = "e", queries: str = "e") -> str:
+    return f"{cte} AS MATERIALIZED (SELECT * FROM (SELECT q.vec_id AS query, b.vec_id AS id, {score} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 9) DESC, b.vec_id) - 1 AS rank FROM {queries} q, {base} b WHERE {where}) WHERE rank < {k})"
+
+
+def _code_sql(bits: int, cte: str = "c") -> str:
+    """Codes by the rotation's own matrix, written out as a literal."""
+    h = "[" + ", ".join(map(repr, signs(DIM).tolist())) + "]"
+    lv, bd = levels(bits, DIM).tolist(), bounds(bits, DIM).tolist()
+    rot = f"list_transform(range({DIM}), lambda i: list_inner_product(list_transform(range({DIM}), lambda j: (1 - 2 * (bit_count(i & j) % 2)) * ({h})[j + 1]), u) / {float(np.sqrt(DIM))!r})"
+    return f"""{cte}u AS (SELECT vec_id, v, n, list_transform(v, lambda x: x / greatest(n, 1e-30)) AS u FROM e),
+{cte}r AS MATERIALIZED (SELECT vec_id, v, n, {rot} AS r FROM {cte}u),
+{cte} AS MATERIALIZED (SELECT vec_id, v, n, r, list_transform(r, lambda x: len(list_filter({bd}, lambda b: b < x))) AS codes, list_transform(r, lambda x: ({lv})[len(list_filter({bd}, lambda b: b < x)) + 1]) AS cc FROM {cte}r)"""
+
+
+_ADC = "list_inner_product(q.r, b.cc) / greatest(sqrt(list_inner_product(b.cc, b.cc)), 1e-30)"
+_ROUND = "SELECT query, rank, id, round(score, 6) AS score FROM"
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# -- search
+
+_RERANK = f"WITH {E}, {_code_sql(4)}, {_knn_sql(_ADC, 4 * K, cte='far', base='c', queries='c')}, near AS (SELECT q.vec_id, f.query, f.id, {_COS} AS score FROM far f JOIN e q ON q.vec_id = f.query JOIN e b ON b.vec_id = f.id), x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM near)"
+
+
+@query(f"{_RERANK} SELECT x.query, x.rank, x.id, round(x.score, 6) AS score, d.lang FROM x JOIN documents d ON d.doc_id = x.id WHERE rank < {K}")
+def search_flagship(spark, d):
+    hits = knn.search(_e(spark, d), _e(spark, d), Codec(DIM), K, exclude_self=True)
+    return _rounded(hits).join(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id").select("query", "rank", "id", "score", "lang")
+
+
+for _metric, _sql in (("cosine", _COS), ("dot", "list_inner_product(q.v, b.v)"), ("l2", "-sqrt(list_sum(list_transform(list_zip(q.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))")):
+    query(f"WITH {E}, {_knn_sql(_sql)} {_ROUND} knn", f"knn_{_metric}_top10")(lambda spark, d, m=_metric: _rounded(knn.topk(_e(spark, d), _e(spark, d), K, m, exclude_self=True)))
+
+
+@query(f"WITH {E}, {_knn_sql()} SELECT query, rank, id, round(score, 6) AS score, lang, source FROM knn JOIN documents ON doc_id = id")
+def knn_join_metadata(spark, d):
+    return _rounded(knn.topk(_e(spark, d), _e(spark, d), K, exclude_self=True)).join(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source"), "id")
+
+
+@query(f"WITH {E}, {_knn_sql(where='q.vec_id <> b.vec_id AND b.label = 3')} {_ROUND} knn")
+def knn_filtered_by_label(spark, d):
+    return _rounded(knn.topk(_e(spark, d).where("label = 3"), _e(spark, d), K, exclude_self=True))
+
+
+@query(f"WITH {E}, {_code_sql(4)}, {_knn_sql(_ADC, base='c', queries='c')} {_ROUND} knn")
+def adc_top10(spark, d):
+    return _rounded(knn.adc_topk(encode(_e(spark, d), Codec(DIM)), _e(spark, d), Codec(DIM), K, exclude_self=True))
+
+
+@query(f"{_RERANK} {_ROUND} x WHERE rank < {K}")
+def adc_rerank_top10(spark, d):
+    return _rounded(knn.search(_e(spark, d), _e(spark, d), Codec(DIM), K, exclude_self=True))
+
+
+@query(f"WITH {E}, {_knn_sql('list_sum(list_transform(list_zip(q.v, b.v), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END))')} {_ROUND} knn")
+def hamming_top10(spark, d):
+    return _rounded(knn.hamming_topk(_e(spark, d), _e(spark, d), K, exclude_self=True))
+
+
+def _sweep(spark, d) -> DataFrame:
+    e = _e(spark, d)
+    exact = staged(knn.topk(e, e, K, exclude_self=True), "exact")
+    rows = None
+    for bits in (2, 3, 4):
+        codec = Codec(DIM, bits)
+        for fetch in (1, 4):
+            found = knn.adc_topk(encode(e, codec), e, codec, K, exclude_self=True) if fetch == 1 else knn.search(e, e, codec, K, fetch, exclude_self=True)
+            r = knn.recall(exact, found, K).agg(F.round(F.avg("recall"), 9).alias("recall")).select(F.lit(bits).alias("bits"), F.lit(fetch).alias("times"), "recall")
+            rows = r if rows is None else rows.union(r)
+    return rows
+
+
+def _sweep_sql() -> str:
+    ctes, parts = [E, _knn_sql(cte="exact")], []
+    for bits in (2, 3, 4):
+        c = f"c{bits}"
+        ctes += [_code_sql(bits, c), _knn_sql(_ADC, 4 * K, cte=f"far{bits}", base=c, queries=c)]
+        ctes.append(f"near{bits} AS (SELECT f.query, f.id, row_number() OVER (PARTITION BY f.query ORDER BY round({_COS}, 9) DESC, f.id) - 1 AS rank FROM far{bits} f JOIN e q ON q.vec_id = f.query JOIN e b ON b.vec_id = f.id)")
+        for fetch, t in ((1, f"far{bits}"), (4, f"near{bits}")):
+            parts.append(f"SELECT {bits}::INT AS bits, {fetch}::INT AS times, round((SELECT count(*) FROM exact x JOIN {t} t ON t.query = x.query AND t.id = x.id AND t.rank < {K}) / (SELECT count(*) FROM e) / {float(K)}, 9) AS recall")
+    return f"WITH {', '.join(ctes)}, sweep AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+_SWEEP = _sweep_sql()
+_COST = f"SELECT *, ({DIM} * 32.0::DOUBLE / ({DIM} * bits + 32)) / times AS gain, (times * bits)::INT AS cost FROM sweep"
+
+
+def _costed(s: DataFrame) -> DataFrame:
+    return s.withColumn("gain", F.lit(DIM * 32.0) / (DIM * F.col("bits") + 32) / F.col("times")).withColumn("cost", F.col("times") * F.col("bits"))
+
+
+@query(f"{_SWEEP} SELECT * FROM sweep")
+def calibration_sweep(spark, d):
+    return _sweep(spark, d)
+
+
+@query(f"{_SWEEP}, g AS ({_COST}) SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE (o.gain > g.gain OR (o.gain = g.gain AND o.recall > g.recall)) AND o.recall >= g.recall)")
+def pareto_frontier(spark, d):
+    return stats.frontier(_costed(staged(_sweep(spark, d), "sweep")), "gain", "recall")
+
+
+@query(f"{_SWEEP}, g AS ({_COST}) SELECT * FROM g ORDER BY recall >= 0.95 DESC, CASE WHEN recall >= 0.95 THEN cost ELSE -recall END, cost LIMIT 1")
+def plan_operating_point(spark, d):
+    return stats.plan_point(_costed(staged(_sweep(spark, d), "sweep")), 0.95)
+
+
+# -- codec
+
+for _bits in (2, 3, 4):
+    query(f"WITH {E}, {_code_sql(_bits)} SELECT vec_id AS id, array_to_string(codes, ',') AS codes, round(n, 6) AS cnorm FROM c", f"tq_codes_{_bits}bit")(
+        lambda spark, d, b=_bits: encode(_e(spark, d), Codec(DIM, b)).select("id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.round("cnorm", 6).alias("cnorm"))
+    )
+
+
+@query(f"WITH {E}, {_code_sql(4)} SELECT vec_id AS id, round(list_inner_product(r, cc) / sqrt(list_inner_product(cc, cc)) / sqrt(list_inner_product(r, r)), 6) AS cosine FROM c")
+def tq_reconstruct_cosine(spark, d):
+    back = decode(encode(_e(spark, d), Codec(DIM)), Codec(DIM))
+    return back.join(usable(_e(spark, d), "vec_id", "embedding", DIM).withColumnRenamed("vec", "v"), "id").select("id", F.round(V.cosine(F.col("v"), F.col("vec")), 6).alias("cosine"))
+
+
+@query(f"WITH {E}, {_code_sql(4)} SELECT vec_id AS id, list_aggregate(list_transform(range({DIM // 2}), lambda k: printf('%02X', (codes[2 * k + 1] + 16 * codes[2 * k + 2])::INT)), 'string_agg', '') AS packed FROM c")
+def tq_pack_rows(spark, d):
+    return encode(_e(spark, d), Codec(DIM)).select("id", F.hex(pack_slots(F.col("codes"), 4, DIM)).alias("packed"))
+
+
+_CC = "list_sum(list_transform(list_zip(a.cc, b.cc), lambda p: p[1] * p[2]))"
+
+
+@query(f"WITH {E}, {_code_sql(4)} SELECT a.vec_id AS a, b.vec_id AS b, round(a.n * b.n * {_CC}, 6) AS inner_product, round({_CC} / sqrt(list_inner_product(a.cc, a.cc) * list_inner_product(b.cc, b.cc)), 6) AS cosine FROM c a JOIN c b ON b.vec_id = a.vec_id + 1")
+def code_inner_product(spark, d):
+    c = encode(_e(spark, d), Codec(DIM))
+    table = F.array(*(F.lit(float(x)) for x in levels(4, DIM)))
+    x = c.select(F.col("id").alias("a"), F.col("cnorm").alias("na"), F.transform("codes", lambda k: F.get(table, k.cast("int"))).alias("ca"))
+    y = x.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
+    ab = V.dot(F.col("ca"), F.col("cb"))
+    return x.join(y, "a").select("a", "b", F.round(F.col("na") * F.col("nb") * ab, 6).alias("inner_product"), F.round(ab / F.sqrt(V.dot(F.col("ca"), F.col("ca")) * V.dot(F.col("cb"), F.col("cb"))), 6).alias("cosine"))
+
+
+@query(f"SELECT label, count(*) AS rows, (count(*) * {packed_cols(DIM, 4) + 4})::BIGINT AS bytes, {DIM * 4 / (packed_cols(DIM, 4) + 4)!r}::DOUBLE AS ratio, sha256('{DIM}:4:42:hadamard:') AS fingerprint FROM embeddings GROUP BY label")
+def tq_size_ratio(spark, d):
+    per = packed_cols(DIM, 4) + 4
+    return _e(spark, d).groupBy("label").agg(F.count("*").alias("rows")).select("label", "rows", (F.col("rows") * per).alias("bytes"), F.lit(DIM * 4 / per).alias("ratio"), fingerprint(Codec(DIM)).alias("fingerprint"))
+
+
+@query(f"WITH {E}, {_code_sql(4)} SELECT vec_id AS id, json_object('id', vec_id::VARCHAR, 'dim', {DIM}, 'bits', 4)::VARCHAR AS json FROM c")
+def export_json(spark, d):
+    rows = export(encode(_e(spark, d), Codec(DIM)), Codec(DIM), "generic")
+    return rows.select("id", F.to_json(F.struct(F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$.dim").cast("int").alias("dim"), F.get_json_object("json", "$.bits").cast("int").alias("bits"))).alias("json"))
+
+
+# -- hubs and strata
+
+_CENSUS = f"{E}, {_knn_sql()}, census AS MATERIALIZED (SELECT vec_id AS id, count(k.id) AS n_k FROM e LEFT JOIN knn k ON k.id = e.vec_id GROUP BY vec_id)"
+
+
+@query(f"WITH {_CENSUS} SELECT id, n_k FROM census")
+def hub_census(spark, d):
+    e = _e(spark, d)
+    return hubness.census(_knn(e), _areas(e))
+
+
+@query(f"WITH {_CENSUS}, m AS (SELECT avg(n_k) AS m, stddev_pop(n_k) AS s FROM census) SELECT count(*) AS nodes, max(n_k) AS max_n_k, round(avg(((n_k - m) / s) ** 3), 6) AS skew, avg(CASE WHEN n_k > {2 * K} THEN 1.0::DOUBLE ELSE 0 END) AS frac_above_2k, round(sum(abs(n_k - m)) / 2 / sum(n_k), 6) AS robin_hood FROM census, m")
+def hub_tail_stats(spark, d):
+    e = _e(spark, d)
+    return hubness.tail(hubness.census(_knn(e), _areas(e)), K).withColumns({c: F.round(c, 6) for c in ("skew", "robin_hood")})
+
+
+@query(f"WITH {_CENSUS}, r AS (SELECT n_k, row_number() OVER (ORDER BY n_k) AS r, count(*) OVER () AS n FROM census) SELECT round(2.0::DOUBLE * sum(r * n_k) / (max(n) * sum(n_k)) - (max(n) + 1.0::DOUBLE) / max(n), 6) AS gini FROM r")
+def hub_gini(spark, d):
+    e = _e(spark, d)
+    return hubness.gini(hubness.census(_knn(e), _areas(e))).select(F.round("gini", 6).alias("gini"))
+
+
+@query(f"WITH {_CENSUS}, f AS (SELECT id, n_k, max(CASE WHEN rank = {K - 1} THEN round(score, 9) END) AS s FROM census JOIN (SELECT query, rank, score FROM knn) k ON k.query = id GROUP BY id, n_k), r AS (SELECT row_number() OVER (ORDER BY n_k, id) AS a, row_number() OVER (ORDER BY s, id) AS b FROM f) SELECT round(corr(a, b), 6) AS rho FROM r")
+def hub_spearman_dk(spark, d):
+    e = _e(spark, d)
+    edges = staged(knn.topk(e, e, K, exclude_self=True), "edges")
+    far = edges.where(F.col("rank") == K - 1).select(F.col("query").alias("id"), F.round("score", 9).alias("s"))
+    return stats_round(hubness.rank_correlation(hubness.census(edges, _areas(e)).join(far, "id"), "n_k", "s"))
+
+
+def stats_round(df: DataFrame, n: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+_HIT = "knn k JOIN e q ON q.vec_id = k.query"
+_TRANSIT = f"{E}, {_knn_sql()}, per AS (SELECT k.id, count(*) AS n, count(*) FILTER (q.label = b.label) AS i FROM {_HIT} JOIN e b ON b.vec_id = k.id GROUP BY k.id), transit AS (SELECT label AS area, count(*) AS rows, sum(coalesce(per.n, 0))::BIGINT AS hits, sum(coalesce(i, 0))::BIGINT AS intra, round(avg((coalesce(per.n, 0) - coalesce(i, 0)) / greatest(coalesce(per.n, 0), 1)), 6) AS tau FROM e LEFT JOIN per ON per.id = vec_id GROUP BY label)"
+
+
+@query(f"WITH {_TRANSIT} SELECT * FROM transit")
+def transit_by_label(spark, d):
+    e = _e(spark, d)
+    return stats_round(hubness.transit(_knn(e), _areas(e)))
+
+
+@query(f"WITH {E}, {_knn_sql()} SELECT q.label AS query_area, b.label AS area, count(*) AS hits FROM {_HIT} JOIN e b ON b.vec_id = k.id GROUP BY ALL")
+def area_flow_matrix(spark, d):
+    e = _e(spark, d)
+    return hubness.flow(_knn(e), _areas(e))
+
+
+@query(f"WITH {_TRANSIT}, census AS (SELECT vec_id, label, count(k.id) AS n_k FROM e LEFT JOIN knn k ON k.id = vec_id GROUP BY ALL), m AS (SELECT label, avg(n_k) AS m, stddev_pop(n_k) AS s, max(n_k) AS max_n_k FROM census GROUP BY label), s AS (SELECT label, round(avg(((n_k - m) / s) ** 3), 6) AS skew FROM census JOIN m USING (label) GROUP BY label) SELECT area, rows, hits, intra, tau, skew, max_n_k, CASE WHEN rows < {N_MIN} THEN 'ABSTAIN' WHEN tau > 0.5 THEN 'FOREIGN' ELSE 'LOCAL' END AS verdict FROM transit JOIN m ON m.label = area JOIN s ON s.label = area")
+def strata_anatomy(spark, d):
+    e = _e(spark, d)
+    return stats_round(hubness.strata(_knn(e), _areas(e), K, N_MIN))
+
+
+_DIFF = f"WITH {_CENSUS}, {_code_sql(2)}, {_knn_sql(_ADC, cte='found', base='c', queries='c')}, bar AS (SELECT quantile_cont(n_k, 0.1) AS bar FROM census), h AS (SELECT q.label AS area, k.query, (f.id IS NOT NULL)::INT::DOUBLE AS got, n_k <= bar AS is_anti FROM {_HIT} JOIN census ON census.id = k.id CROSS JOIN bar LEFT JOIN found f ON f.query = k.query AND f.id = k.id), diff AS (SELECT area, count(DISTINCT query) AS queries, round(avg(got), 6) AS recall, round(avg(got) FILTER (is_anti), 6) AS anti_hub_recall FROM h GROUP BY area)"
+
+
+def _differential(spark, d) -> DataFrame:
+    e = _e(spark, d)
+    found = knn.adc_topk(encode(e, Codec(DIM, 2)), e, Codec(DIM, 2), K, exclude_self=True)
+    return stats_round(hubness.differential(_knn(e), found, _areas(e), K))
+
+
+@query(f"{_DIFF} SELECT * FROM diff")
+def strata_differential(spark, d):
+    return _differential(spark, d)
+
+
+@query(f"{_DIFF} SELECT * FROM diff WHERE anti_hub_recall < 0.7")
+def strata_gate(spark, d):
+    return hubness.gate(_differential(spark, d), 0.7)
+
+
+@query("SELECT sha256(count(*) || ':' || sum(('0x' || substr(md5(vec_id || ':' || label), 1, 12))::BIGINT)::VARCHAR) AS digest FROM embeddings")
+def area_map_digest(spark, d):
+    return hubness.digest(_areas(_e(spark, d)))
+
+
+# -- moments, components, certificates
+
+_LONG = "l AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings)"
+
+
+@query(f"WITH {_LONG} SELECT a.i::INT AS i, b.i::INT AS j, round(covar_samp(a.x, b.x), 9) AS cov FROM l a JOIN l b USING (vec_id) WHERE a.i <= b.i GROUP BY ALL")
+def covariance_matrix(spark, d):
+    _, c = stats.covariance(_e(spark, d), DIM)
+    i, j = np.triu_indices(DIM)
+    return spark.createDataFrame(list(zip(i.tolist(), j.tolist(), c[i, j].tolist())), "i int, j int, cov double").withColumn("cov", F.round("cov", 9))
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 9) AS quantity_price, round(corr(l_quantity, l_discount), 9) AS quantity_discount, round(covar_samp(l_extendedprice, l_discount), 4) AS price_discount FROM lineitem")
+def lineitem_covariance(spark, d):
+    return _t(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("quantity_price"), F.round(F.corr("l_quantity", "l_discount"), 9).alias("quantity_discount"), F.round(F.covar_samp("l_extendedprice", "l_discount"), 4).alias("price_discount"))
+
+
+@query()
+def pca_eigenvalues(spark, d):
+    _, value, _ = stats.principal(_e(spark, d), DIM)
+    share = np.cumsum(value) / value.sum()
+    return spark.createDataFrame(list(zip(range(1, DIM + 1), value.tolist(), share.tolist())), "components int, eigenvalue double, retained double")
+
+
+@query()
+def pca_roundtrip(spark, d):
+    mean, _, parts = stats.principal(_e(spark, d), DIM)
+    z = stats.project(_e(spark, d), mean, parts[:32])
+    return z.select("id", V.norm(F.col("vec")).alias("retained_norm"))
+
+
+@query(f"WITH {_LONG}, m AS (SELECT i, avg(x) AS m FROM l GROUP BY i), g AS (SELECT label, i, avg(x) AS g FROM l JOIN embeddings USING (vec_id) GROUP BY ALL) SELECT label, (SELECT count(*) FROM embeddings x WHERE x.label = g.label) AS rows, round(sqrt(sum((g - m) ** 2)), 6) AS shift FROM g JOIN m USING (i) GROUP BY label")
+def drift_by_label(spark, d):
+    return stats_round(stats.drift(_e(spark, d), "label", DIM))
+
+
+_PAIRS = f"{E}, {_code_sql(3)}, a AS MATERIALIZED (SELECT * FROM c ORDER BY md5(vec_id::VARCHAR) LIMIT {ANCHORS}), p AS MATERIALIZED (SELECT 1 - list_inner_product(x.v, y.v) / (x.n * y.n) AS exact, 1 - list_inner_product(x.cc, y.cc) / sqrt(list_inner_product(x.cc, x.cc) * list_inner_product(y.cc, y.cc)) AS approx FROM a x JOIN a y ON x.vec_id < y.vec_id), k AS MATERIALIZED (SELECT greatest(quantile_cont(approx / exact, 0.975) / quantile_cont(approx / exact, 0.025), 1.0) AS kappa FROM p WHERE exact > 0 AND approx > 0)"
+
+
+@query(f"WITH {_PAIRS}, w AS (SELECT count(*) OVER (ORDER BY ln(exact) RANGE BETWEEN CURRENT ROW AND (SELECT ln(kappa) FROM k) FOLLOWING) AS c FROM p WHERE exact > 0), m AS (SELECT sum(c - 1) / (count(*) * (count(*) - 1) / 2) AS mu FROM w) SELECT round(kappa, 6) AS kappa, round(mu, 6) AS mu_hat, round(1 - 2 * mu, 6) AS tau_floor, round(1 - 3 * mu, 6) AS rho_floor, 1 - 2 * mu <= 0 AS vacuous FROM k, m")
+def rank_certificate(spark, d):
+    """Of a sample of ANCHORS rows, chosen by a hash: sampling is the certificate's design."""
+    e = _e(spark, d).orderBy(F.md5(F.col("vec_id").cast("string"))).limit(ANCHORS)
+    codec = Codec(DIM, 3)
+    pairs = staged(stats.pair_distances(usable(e, "vec_id", "embedding", DIM), decode(encode(e, codec), codec)), "pairs")
+    return stats_round(stats.certificate(pairs))
+
+
+_FLIP = "f AS (SELECT count(*) AS n, count(*) FILTER (b AND q) AS both_right, count(*) FILTER (b AND NOT q) AS regressions, count(*) FILTER (NOT b AND q) AS recoveries FROM (SELECT quality = 1 AS b, toxic = 0 AS q FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL))"
+
+
+@query(f"WITH {_FLIP} SELECT n, both_right, regressions, recoveries, (regressions + recoveries) / n AS churn, (recoveries - regressions) / n AS net, CASE WHEN regressions + recoveries > 0 THEN greatest(abs(regressions - recoveries) - 1, 0) ** 2 / (regressions + recoveries) ELSE 0 END AS mcnemar FROM f")
+def behavioral_agreement(spark, d):
+    return stats.agreement(_t(spark, d, "labels").select("quality", (1 - F.col("toxic")).alias("kept")), "quality", "kept")
+
+
+_TF = "least(greatest((dd - (na - nb) ** 2) / dd, 0), 1)"
+
+
+@query(f"WITH {E}, p AS (SELECT a.n AS na, b.n AS nb, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)) AS dd FROM e a JOIN e b ON b.vec_id = a.vec_id + 1), t AS (SELECT {_TF} AS t FROM p WHERE dd > 0) SELECT round(median(t), 6) AS median_fraction, round(avg(t), 6) AS mean_fraction, count(*) AS pairs FROM t")
+def tangential_fraction_pairs(spark, d):
+    e = usable(_e(spark, d), "vec_id", "embedding", DIM)
+    return stats_round(stats.tangential(e.join(e.select((F.col("id") - 1).alias("id"), F.col("vec").alias("v2")), "id"), "vec", "v2"))
+
+
+@query("WITH s AS (SELECT vec_id, list_reverse_sort(embedding::DOUBLE[]) AS s, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS m FROM embeddings) SELECT vec_id AS id, round(s[1] - s[2], 6) AS margin, round(list_sum(list_transform(v, lambda x: (x - m) ** 2)) / list_inner_product(v, v), 6) AS differential FROM s")
+def routing_margins(spark, d):
+    return usable(_e(spark, d), "vec_id", "embedding", DIM).select("id", F.round(V.margin(F.col("vec")), 6).alias("margin"), F.round(V.differential_fraction(F.col("vec")), 6).alias("differential"))
+
+
+# -- inverted files
+
+_CELLS = f"{E}, s AS (SELECT label AS cell, i, sum(x) AS s FROM (SELECT label, unnest(range(64)) AS i, unnest(v) AS x FROM e) GROUP BY ALL), z AS MATERIALIZED (SELECT cell, list(s ORDER BY i) AS v, sqrt(sum(s * s)) AS n FROM s GROUP BY cell), cs AS (SELECT vec_id AS query, cell, list_inner_product(e.v, z.v) / (e.n * z.n) AS score FROM e, z), ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, cell) - 1 AS r FROM cs)"
+
+
+@query(f"WITH {_CELLS} SELECT query AS id, cell, round(acos(score), 6) AS angle FROM ranked WHERE r = 0")
+def ivf_assign(spark, d):
+    return stats_round(knn.assign(_e(spark, d), knn.centroids(_e(spark, d), "label", DIM), DIM))
+
+
+@query(f"WITH {_CELLS} SELECT cell, count(*) AS rows, round(max(acos(score)), 6) AS radius FROM ranked WHERE r = 0 GROUP BY cell")
+def ivf_cell_stats(spark, d):
+    a = knn.assign(_e(spark, d), knn.centroids(_e(spark, d), "label", DIM), DIM)
+    return stats_round(a.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius")))
+
+
+@query(f"WITH {_CELLS}, hit AS (SELECT p.query, o.query AS id, {_COS} AS score FROM ranked p JOIN ranked o ON o.cell = p.cell AND o.r = 0 AND p.r < 4 JOIN e q ON q.vec_id = p.query JOIN e b ON b.vec_id = o.query WHERE p.query <> o.query) SELECT query, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM hit) WHERE rank < {K}")
+def ivf_search_top10(spark, d):
+    e = _e(spark, d)
+    return _rounded(knn.ivf_search(e, staged(knn.centroids(e, "label", DIM), "cells"), e, K, 4, DIM, exclude_self=True))
+
+
+@query()
+def ivf_kmeans_cells(spark, d):
+    e = _e(spark, d)
+    return knn.assign(e, knn.spherical_kmeans(e, 16, 3, DIM), DIM).groupBy("cell").agg(F.count("*").alias("rows"))
+
+
+# -- streams and their batch twins
+
+@query("SELECT event_type, event_id, value, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean, min(value) OVER w AS least FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)")
+def rolling_monitor(spark, d):
+    return stats.rolling(_t(spark, d, "events"), "event_type", "event_id", "value").withColumn("mean", F.round("mean", 6))
+
+
+@query("WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) > count(*) OVER (PARTITION BY event_type) // 2 AS new FROM events WHERE value IS NOT NULL), y AS (SELECT event_type, count(*) FILTER (NOT new) OVER (PARTITION BY event_type ORDER BY value) AS a, count(*) FILTER (new) OVER (PARTITION BY event_type ORDER BY value) AS b, count(*) FILTER (NOT new) OVER (PARTITION BY event_type) AS n_old, count(*) FILTER (new) OVER (PARTITION BY event_type) AS n_new FROM x), z AS (SELECT event_type, n_old, n_new, max(abs(a / n_old - b / n_new)) AS ks FROM y GROUP BY ALL) SELECT event_type, n_old, n_new, round(ks, 6) AS ks, round(sqrt(-ln(0.025) / 2) * sqrt((n_old + n_new) / (n_old * n_new)), 6) AS critical, ks > sqrt(-ln(0.025) / 2) * sqrt((n_old + n_new) / (n_old * n_new)) AS drifted FROM z")
+def ks_half_split(spark, d):
+    return stats_round(stats.ks_halves(_t(spark, d, "events"), "event_type", "event_id", "value"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return stats_round(monitor.windows(_t(spark, d, "events")))
+
+
+@query("SELECT event_type, count(value) AS seen, least(count(value), 1000) AS n FROM events GROUP BY event_type")
+def stream_monitor(spark, d):
+    schema = _t(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = monitor.drained(monitor.rolling_monitor(stream, "event_type", "event_id", "value"), "monitor")
+    return out.groupBy("event_type").agg(F.max("seen").alias("seen"), F.max_by("n", "seen").alias("n"))
