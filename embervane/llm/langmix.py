@@ -23,6 +23,8 @@ from embervane.llm.common import map_arrow
 
 #: Documents of each label that the model is trained on at most.
 TRAIN_PER_LANGUAGE = 500
+#: Rows of the training sample's ids that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_SAMPLE = 100_000
 BUCKETS = 1 << 15
 STEPS, PENALTY, SMOOTHING = 12, 4.0, 0.5
 UND = "und"
@@ -60,6 +62,8 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang")
+    if ids.select("lang").distinct().count() * per_language <= BROADCAST_SAMPLE:
+        some = F.broadcast(some)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(some, "doc_id")
 
     def count(batches):
