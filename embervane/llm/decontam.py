@@ -1,22 +1,17 @@
-"""Benchmark decontamination: CGK embedding, repeated bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: seeds that edits can't all hit, exact edit verification.
 
 Texts are compared as sequences of words (kernel.py: case, punctuation and white space don't count)
-under the edit distance of whole words.  The CGK random walk reads a window of w words in 3w steps:
-at step j it writes the word it stands on and moves on or stays, as a random function of (j, word)
-says, so windows at small edit distance get walks at small Hamming distance.  The hash functions of
-the LSH sample ``SAMPLED`` steps each and are repeated until a window at the distance that counts is
-found with probability ``RECALL``.  Whatever meets an item in one of them is verified exactly.
-
-Items are taken in classes by length, L to 2L - 1 words.  A class has windows of three quarters of
-L, at every offset in the items but only at each (L - w + 1)-th word of a document: any occurrence of
-an item holds one such window whole, and aligned with an offset.
+under the edit distance of whole words.  An item of m words that counts as contained with at most k
+edits is cut into k + 1 pieces of m // (k + 1) words (four, for long items at ``TAU``).  Each edit,
+whatever its kind, changes one piece at most, so any occurrence holds a piece unchanged.  Pieces are
+hashed and looked up at every word of every document; whatever meets one is verified exactly, over all
+words that an occurrence about that piece can reach.  So nothing within the distance is missed, at any
+length, and the distances are the least there are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,103 +24,53 @@ from embervane.llm.common import map_arrow
 
 #: An item counts as contained where at most this share of its words is edited.
 TAU = 0.2
-SAMPLED, RECALL = 4, 0.95
-#: Independent walks that the repetitions are spread over: an edit that throws one walk off seldom throws all.
-WALKS = 4
-#: Chance that a step of the walk agrees at distance TAU, as measured on edited items.
-AGREE = 0.5
-#: Steps that are sampled from, for each word of the window: the walk moves on at every second step on average.  One is drawn from each of equal parts.
-WALKED = 1.6
 #: Items indexed in one pass over the documents; more of them take more passes.
 ITEMS_AT_ONCE = 20_000
 
-_MUL = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 64, dtype=np.uint64) * K.U64(2) + K.U64(1)
-
-
-@dataclass
-class _Class:
-    least: int
-    width: int
-    stride: int
-    samples: np.ndarray  # repetitions x SAMPLED steps of the walk
-    keys: list[np.ndarray]  # of each repetition, ascending
-    item: list[np.ndarray]
-    offset: list[np.ndarray]
-    maybe: list[np.ndarray]  # by the low bits of a key, whether some item has it
-
 
 class ItemIndex:
-    """The benchmark items of one pass, hashed for search."""
+    """The benchmark items of one pass, their pieces hashed for search."""
 
-    def __init__(self, ids: list[int], texts: list[str], tau: float = TAU, recall: float = RECALL):
+    def __init__(self, ids: list[int], texts: list[str], tau: float = TAU):
         words = K.split_words(pa.array(texts, pa.large_string()))
         self.ids = np.array(ids, np.int64)
         self.words = [words.hash[a:b] for a, b in zip(words.at, words.at[1:])]
         self.tau = tau
-        self.reps = math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED))
-        self.per_walk = math.ceil(self.reps / WALKS)
-        self.classes = []
-        size = np.array([len(w) for w in self.words])
-        for power in range(int(size.max(initial=1)).bit_length()):
-            members = np.flatnonzero((size >= 1 << power) & (size < 2 << power))
-            if len(members):
-                self.classes.append(self._class(1 << power, members))
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for item, own in enumerate(self.words):
+            if len(own):
+                n = min(self.limit(item) + 1, len(own))
+                width = len(own) // n
+                pieces.setdefault(width, []).extend((item, k * width) for k in range(n))
+        #: By width: keys of the pieces, ascending, the item and offset of each, and by the low bits of a key whether some piece has it.
+        self.pieces = {}
+        for width, own in sorted(pieces.items()):
+            item, offset = np.array(own, np.int64).T
+            key = window_keys(words.hash, width)[words.at[item] + offset]
+            order = np.argsort(key, kind="stable")
+            maybe = np.zeros(1 << max(16, (32 * len(key)).bit_length()), bool)
+            maybe[key & K.U64(len(maybe) - 1)] = True
+            self.pieces[width] = key[order], item[order], offset[order], maybe
 
     def limit(self, item: int) -> int:
         return int(self.tau * len(self.words[item]) + 1e-9)
 
-    def _class(self, least: int, members: np.ndarray) -> _Class:
-        width = math.ceil(0.75 * least)
-        rng = np.random.Generator(np.random.PCG64(1000 + least))
-        steps = max(1, math.ceil(WALKED * width))  # those after stand beyond the window's end more often than not
-        cuts = np.linspace(0, steps, min(SAMPLED, steps) + 1)
-        samples = np.stack([(cuts[:-1] + rng.random(len(cuts) - 1) * np.diff(cuts)).astype(np.int64) for _ in range(self.reps)])
-        every = np.concatenate([self.words[m] for m in members])
-        base = np.cumsum([0] + [len(self.words[m]) for m in members])
-        item = np.concatenate([np.full(len(self.words[m]) - width + 1, m) for m in members])
-        offset = np.concatenate([np.arange(len(self.words[m]) - width + 1) for m in members])
-        start = np.concatenate([b + np.arange(len(self.words[m]) - width + 1) for b, m in zip(base, members)])
-        bits = max(16, (32 * len(start)).bit_length())
-        keys, items, offsets, maybe = [], [], [], []
-        for rep, own in enumerate(samples):
-            if rep % self.per_walk == 0:
-                steps = walk_steps(every, start, width, samples, rep // self.per_walk)
-            key = sum(steps[j] for j in own)
-            order = np.argsort(key, kind="stable")
-            keys.append(key[order])
-            items.append(item[order])
-            offsets.append(offset[order])
-            maybe.append(np.zeros(1 << bits, bool))
-            maybe[-1][key & K.U64((1 << bits) - 1)] = True
-        return _Class(least, width, least - width + 1, samples, keys, items, offsets, maybe)
-
     def candidates(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, first word where the item would begin, from the row's first) of everything the LSH meets, each once."""
+        """(row, item, first word where the item would begin, from the row's first) of every piece met, each once and in order."""
         out = []
-        count = np.diff(at)
-        for c in self.classes:
-            k = np.maximum(0, (count - c.width) // c.stride + 1)
-            # the last window is flush with the end, so the tail is covered too
-            rows = np.repeat(np.arange(len(count)), k)
-            start = at[:-1][rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(k) - k, k)) * c.stride
-            last = np.flatnonzero(count >= c.width)
-            rows, start = np.concatenate([rows, last]), np.concatenate([start, at[1:][last] - c.width])
-            for a in range(0, len(rows), 1 << 15):
-                r, s = rows[a : a + (1 << 15)], start[a : a + (1 << 15)]
-                for rep, own in enumerate(c.samples):
-                    if rep % self.per_walk == 0:
-                        steps = walk_steps(h, s, c.width, c.samples, rep // self.per_walk)
-                    key = steps[own[0]].copy()
-                    for j in own[1:]:
-                        key += steps[j]
-                    w = np.flatnonzero(c.maybe[rep][key & K.U64(len(c.maybe[rep]) - 1)])
-                    lo, hi = np.searchsorted(c.keys[rep], key[w]), np.searchsorted(c.keys[rep], key[w], "right")
-                    n = hi - lo
-                    total = int(n.sum())
-                    if total:
-                        at_key = np.repeat(lo, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-                        w = np.repeat(w, n)
-                        out.append(np.stack([r[w], c.item[rep][at_key], s[w] - at[r[w]] - c.offset[rep][at_key]]))
+        for width, (keys, item, offset, maybe) in self.pieces.items():
+            if len(h) < width:
+                continue
+            key = window_keys(h, width)
+            w = np.flatnonzero(maybe[key & K.U64(len(maybe) - 1)])
+            r = np.searchsorted(at, w, "right") - 1
+            within = w + width <= at[r + 1]
+            w, r = w[within], r[within]
+            lo = np.searchsorted(keys, key[w])
+            n = np.searchsorted(keys, key[w], "right") - lo
+            at_key = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            w, r = np.repeat(w, n), np.repeat(r, n)
+            out.append(np.stack([r, item[at_key], w - at[r] - offset[at_key]]))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
@@ -134,16 +79,23 @@ class ItemIndex:
         """(row, item, distance): the items that each row contains, with their least verified distance."""
         words = K.split_words(texts)
         best: dict[tuple[int, int], int] = {}
+        #: Of one row and item, beginnings so near that the words they reach overlap are verified in one run.
+        runs: list[tuple[int, int, list[int]]] = []
         for row, item, first in zip(*(x.tolist() for x in self.candidates(words.hash, words.at))):
+            if runs and runs[-1][:2] == (row, item) and first - runs[-1][2][-1] <= len(self.words[item]) + 2 * self.limit(item):
+                runs[-1][2].append(first)
+            else:
+                runs.append((row, item, [first]))
+        for row, item, firsts in runs:
             if best.get((row, item)) == 0:
                 continue
             own, limit = self.words[item], self.limit(item)
-            a = words.at[row] + max(0, first - limit)
-            b = min(words.at[row + 1], words.at[row] + first + len(own) + limit)
-            exact = words.at[row] + first
-            if first >= 0 and exact + len(own) <= words.at[row + 1] and (words.hash[exact : exact + len(own)] == own).all():
+            begin, end = words.at[row], words.at[row + 1]
+            exact = (begin + first for first in firsts if first >= 0 and begin + first + len(own) <= end)
+            if any((words.hash[x : x + len(own)] == own).all() for x in exact):
                 d = 0
             else:
+                a, b = begin + max(0, firsts[0] - limit), min(end, begin + firsts[-1] + len(own) + limit)
                 d = least_edits(own.tolist(), words.hash[a:b].tolist())
             if d <= limit and d < best.get((row, item), limit + 1):
                 best[row, item] = d
@@ -151,19 +103,13 @@ class ItemIndex:
         return tuple(np.array(x, np.int64) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
 
 
-def walk_steps(h: np.ndarray, start: np.ndarray, width: int, samples: np.ndarray, walk: int) -> list[np.ndarray | None]:
-    """What the windows' walks write at the sampled steps, hashed; a key is the sum of its repetition's steps, each drawn from a part of its own."""
-    place = np.zeros(len(start), np.int64)
-    part = np.full(int(samples.max()) + 1, -1)
-    for k in range(samples.shape[1]):
-        part[samples[:, k]] = k
-    steps: list[np.ndarray | None] = []
-    top = len(h) - 1
-    for j, k in enumerate(part):
-        sym = np.where(place < width, h[np.minimum(start + place, top)], K.U64(0x5DEECE66D)) if j >= width else h[start + place]
-        steps.append(K.mix(sym * _MUL[k]) if k >= 0 else None)
-        place += ((sym * _MUL[(8 + j + 17 * walk) % 64] + K.U64(j * (walk + 1))) >> K.U64(63)).astype(np.int64)
-    return steps
+def window_keys(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the windows of ``width`` words at each word, up to the last that fits."""
+    key = np.zeros(len(h) - width + 1, K.U64)
+    for j in range(width):
+        key *= K.U64(0x100000001B3)
+        key += h[j : j + len(key)]
+    return K.mix(key)
 
 
 def least_edits(pattern: list[int], text: list[int]) -> int:
@@ -207,8 +153,7 @@ def contained_items(docs: DataFrame, items: DataFrame, tau: float = TAU, at_once
     """(doc_id, item_id, distance): items found in documents with at most ``tau`` of their words edited; distance in words.
 
     Each pair once, with its least distance over repeated rows.  Rows with null id or text, texts and
-    items without words, and other columns don't matter.  No items or no documents give no rows.  A
-    document shorter than three quarters of an item's length class can't contain the item.
+    items without words, and other columns don't matter.  No items or no documents give no rows.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")

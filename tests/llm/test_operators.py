@@ -84,6 +84,24 @@ def test_decontamination_recall_against_brute_force(spark):
     assert exact <= set(got)
 
 
+def edited(rng, w, kind, n):
+    at = set(rng.sample(range(len(w)), n))
+    new = lambda: f"new{rng.randrange(10**6)}"
+    return [y for i, x in enumerate(w) for y in ([x] if i not in at else {"substituted": [new()], "deleted": [], "inserted": [x, new()]}[kind])]
+
+
+@pytest.mark.parametrize("kind", ["substituted", "deleted", "inserted"])
+@pytest.mark.parametrize("n", [5, 10, 15, 32, 64, 128, 256])
+def test_decontamination_finds_everything_at_the_declared_distance(n, kind):
+    rng = random.Random(n)
+    items = [words(2000 + i, n, 5000) for i in range(40)]
+    docs = [words(i, rng.randrange(200), 5000) + edited(rng, w, kind, int(0.2 * n)) + words(i + 50, rng.randrange(200), 5000) for i, w in enumerate(items)]
+    row, item, d = decontam.ItemIndex(list(range(40)), [" ".join(w) for w in items]).matches(pa.array([" ".join(w) for w in docs]))
+    got = dict(zip(zip(row.tolist(), item.tolist()), d.tolist()))
+    assert set(got) >= {(i, i) for i in range(40)}
+    assert all(e == slow_least_edits(items[i], docs[r]) <= int(0.2 * n) for (r, i), e in list(got.items())[:5])
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(1, "one"), (1, "one"), (None, "one"), (2, None), (3, ""), (4, "you find this nowhere")], "item_id bigint, text string")
     assert [tuple(r) for r in decontam.contained_items(odd, items).collect()] == [(4, 1, 0)]
