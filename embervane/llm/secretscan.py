@@ -2,8 +2,12 @@
 
 Candidates are maximal runs of ``LEAST`` or more characters of A-Z a-z 0-9 + / _ -.  Each class of labelled
 samples gives a second-order Markov model: random strings by alphabet (hexadecimal, base32, base62, base64),
-and ordinary words, identifiers and numbers.  A run is a secret where the likelihood under random strings
-exceeds that under ordinary ones by ``BAR`` nats; either side is the mean over its classes.
+and ordinary words, identifiers and numbers.  What is scored in a run is its best segment, that of the greatest
+sum of the characters' log-likelihood ratios, so ordinary characters about a secret (paths, names) don't outweigh
+it; what is left of the run on either side is searched in turn.  A segment is a secret where the likelihood under
+random strings exceeds that under ordinary ones by ``BAR`` nats, and by ``CUT`` or ``INNER_CUT`` for each of its
+ends that isn't an end of the run; either side is the mean over its classes.  A run that passes as a whole stays
+one secret unless the segment scores twice ``BAR`` more.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from embervane.llm import kernel as K
 from embervane.llm.common import map_arrow
 
 LEAST, BAR = 12, 10.0
+#: What an end of a segment within a run costs, in nats: beside one of + / _ -, and between letters and digits.
+CUT, INNER_CUT = 3.0, 8.0
 #: Random strings generated for each alphabet, and documents whose words are taken as ordinary samples at most.
 RANDOM_SAMPLES, ORDINARY_DOCS = 4000, 1000
 REDACTED = "[SECRET]"
@@ -33,6 +39,8 @@ ORDINARY = ("word", "identifier", "number")
 _CODE = np.full(256, END, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 _IN = _CODE < END
+_JOINT = np.zeros(256, bool)
+_JOINT[[ord(c) for c in "+/_-"]] = True
 
 
 @dataclass
@@ -88,6 +96,112 @@ def train(docs: DataFrame, most_docs: int = ORDINARY_DOCS) -> Models:
     return train_models([r[0] for r in words.orderBy("w").collect()])
 
 
+def _scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, models: Models) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood ratio, likeliest random class) of byte ranges, each as if it stood alone."""
+    idx, first, key = _keys(data, start, end)
+    random = np.stack([np.add.reduceat(m[key], first) for m in models.random])
+    ordinary = np.stack([np.add.reduceat(m[key], first) for m in models.ordinary])
+    return np.logaddexp.reduce(random, axis=0) - np.log(len(random)) - np.logaddexp.reduce(ordinary, axis=0) + np.log(len(ordinary)), random.argmax(axis=0)
+
+
+def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each byte of the ranges, first of each range among them, index into a model)."""
+    size = end - start
+    first = np.cumsum(size) - size
+    idx = np.arange(int(size.sum())) + np.repeat(start - first, size)
+    within = np.arange(len(idx)) - np.repeat(first, size)
+    c0 = _CODE[data[idx]]
+    c1 = np.where(within >= 1, _CODE[data[np.maximum(idx - 1, 0)]], END)
+    c2 = np.where(within >= 2, _CODE[data[np.maximum(idx - 2, 0)]], END)
+    return idx, first, (c2 * WIDTH + c1) * WIDTH + c0
+
+
+def _best_segments(data: np.ndarray, start: np.ndarray, end: np.ndarray, models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, ratio less costs) of the segment of ``LEAST`` bytes or more of each range with the greatest ratio less costs under any random class, each stretch without + / _ - under the ordinary one likeliest for it."""
+    idx, first, key = _keys(data, start, end)
+    size = end - start
+    run = np.repeat(np.arange(len(size)), size)
+    n = np.arange(len(idx))
+    joint = _JOINT[data[idx]]
+    new = joint.copy()
+    new[1:] |= joint[:-1]
+    new[first] = True
+    pieces = np.flatnonzero(new)
+    likeliest = np.stack([np.add.reduceat(m[key], pieces) for m in models.ordinary]).argmax(axis=0)
+    ordinary = models.ordinary[np.repeat(likeliest, np.diff(np.append(pieces, len(idx)))), key]
+    opens, closes = np.full(len(idx), INNER_CUT), np.full(len(idx), INNER_CUT)
+    opens[1:][joint[:-1] | joint[1:]] = CUT
+    closes[:-1][joint[1:] | joint[:-1]] = CUT
+    opens[first] = closes[first + size - 1] = 0
+    late = n - np.repeat(first, size) >= LEAST - 1
+    best, a, b = np.full(len(size), -np.inf), start.copy(), end.copy()
+    for m in models.random:
+        ratio = m[key] - ordinary
+        total = np.cumsum(ratio)
+        total -= np.repeat(total[first] - ratio[first], size)
+        open_at = total - ratio + opens
+        # each range lies below all before it, so none of those is the least
+        open_at -= run * (np.ptp(open_at) + 1)
+        least = np.minimum.accumulate(open_at)
+        where = np.maximum.accumulate(np.where(np.concatenate([[True], least[1:] < least[:-1]]), n, 0))
+        begin = where[np.maximum(n - LEAST + 1, 0)]
+        value = np.where(late, total - closes - (total - ratio + opens)[begin], -np.inf)
+        top = np.maximum.reduceat(value, first)
+        j = np.flatnonzero(value == top[run])
+        j = j[np.unique(run[j], return_index=True)[1]]
+        more = top > best
+        best[more], a[more], b[more] = top[more], idx[begin[j]][more], idx[j][more] + 1
+    return a, b, best
+
+
+def secret_segments(data: np.ndarray, start: np.ndarray, end: np.ndarray, models: Models, bar: float = BAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, size, score, class) of the secrets in ascending disjoint runs of bytes; one whose end cuts letters and digits takes all of them."""
+    none = np.zeros(0, np.int64)
+    found = [(none, none, np.zeros(0), none)]
+    whole = True
+    while True:
+        long = end - start >= LEAST
+        start, end = start[long], end[long]
+        if not len(start):
+            break
+        a, b, best = _best_segments(data, start, end, models)
+        score, kind = _scores(data, a, b, models)
+        hit = np.minimum(best, score) >= bar
+        if whole:
+            # later rounds search parts of runs that have a secret
+            all_score, all_kind = _scores(data, start, end, models)
+            only = (all_score >= bar) & ~(hit & (score >= all_score + 2 * bar))
+            hit &= ~only
+            found.append((start[only], end[only], all_score[only], all_kind[only]))
+            whole = False
+        start, end, a, b, score, kind = (x[hit] for x in (start, end, a, b, score, kind))
+        if not len(a):
+            break
+        a, b = _to_joints(data, start, end, a, b)
+        found.append((a, b, score, kind))
+        start, end = np.concatenate([start, b]), np.concatenate([a, end])
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+    start, end, score, kind = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(start, kind="stable")
+    start, end, score, kind = start[order], end[order], score[order], kind[order]
+    return start, end, end - start, score, kind
+
+
+def _to_joints(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments widened to where letters and digits end, within their ranges."""
+    joints = np.flatnonzero(_JOINT[data])
+    if len(joints):
+        k = np.searchsorted(joints, a)
+        before = np.where(k > 0, joints[np.maximum(k - 1, 0)] + 1, 0)
+        a = np.where(_JOINT[data[a]], a, np.maximum(start, before))
+        k = np.searchsorted(joints, b)
+        after = np.where(k < len(joints), joints[np.minimum(k, len(joints) - 1)], len(data))
+        b = np.where(_JOINT[data[b - 1]], b, np.minimum(end, after))
+        return a, b
+    return start, end
+
+
 def scan(texts: pa.Array, models: Models, bar: float = BAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte in its row, first character in its row, length, score, class) of the secrets."""
     data, at = K.buffers(texts)
@@ -100,24 +214,7 @@ def scan(texts: pa.Array, models: Models, bar: float = BAR) -> tuple[np.ndarray,
     change = np.flatnonzero((step != 0) | edge)
     start = change[:-1][ok[change[:-1]]] if n else change[:0]
     end = change[1:][ok[change[:-1]]] if n else start
-    long = end - start >= LEAST
-    start, end = start[long], end[long]
-    none = np.zeros(0, np.int64)
-    if not len(start):
-        return none, none, none, none, np.zeros(0), none
-    size = end - start
-    first = np.cumsum(size) - size
-    idx = np.arange(int(size.sum())) + np.repeat(start - first, size)
-    within = np.arange(len(idx)) - np.repeat(first, size)
-    c0 = _CODE[data[idx]]
-    c1 = np.where(within >= 1, _CODE[data[np.maximum(idx - 1, 0)]], END)
-    c2 = np.where(within >= 2, _CODE[data[np.maximum(idx - 2, 0)]], END)
-    key = (c2 * WIDTH + c1) * WIDTH + c0
-    random = np.stack([np.add.reduceat(m[key], first) for m in models.random])
-    ordinary = np.stack([np.add.reduceat(m[key], first) for m in models.ordinary])
-    score = np.logaddexp.reduce(random, axis=0) - np.log(len(random)) - np.logaddexp.reduce(ordinary, axis=0) + np.log(len(ordinary))
-    hit = score >= bar
-    start, size, score, kind = start[hit], size[hit], score[hit], random.argmax(axis=0)[hit]
+    start, end, size, score, kind = secret_segments(data, start, end, models, bar)
     row = np.searchsorted(at, start, "right") - 1
     # rows that are empty share a bound with the next; the last of them is the one that holds the byte
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

@@ -239,6 +239,30 @@ def test_secrets_held_out(spark, documents):
     assert all(r["start"] == 6 for r in found)
 
 
+def test_secrets_within_paths_and_names(spark, documents):
+    models = secretscan.train(documents)
+    rng = random.Random(78)
+    names = sorted({w for r in documents.limit(50).collect() for w in re.findall(r"\b[a-z]{4,9}\b", r["text"] or "")})
+    part = lambda n, j: j.join(rng.choice(names) for _ in range(n))
+    made, want = [], []
+    for chars, n in (("0123456789abcdef", 32), ("0123456789abcdef", 40), (secretscan.RANDOM["upper"], 20), (secretscan.RANDOM["base62"], 32)):
+        for words_before in (3, 6, 12):
+            for j in "/_":
+                key = "".join(rng.choice(chars) for _ in range(n))
+                made.append(f"see {part(words_before, j)}{j}{key}{j}{part(2, j)} end")
+                want.append(key)
+    two = "0a1b" * 2 + "9f86d081884c7d659a2feaa0"
+    made.append(f"{part(8, '/')}/{two}/{part(8, '/')}/{two}/{part(8, '/')}")
+    ordinary = [f"{part(5, '/')}/2024/01/{part(4, '-')}-{rng.randrange(10**7)}" for _ in range(200)] + [part(9, "_") for _ in range(200)]
+    row, start, _, size, _, _ = secretscan.scan(pa.array(made + ordinary), models)
+    got = [(r, (made + ordinary)[r][a : a + n]) for r, a, n in zip(row.tolist(), start.tolist(), size.tolist())]
+    assert not [x for x in got if x[0] >= len(made)]
+    assert sum(want[r] in x and len(x) <= len(want[r]) + 12 for r, x in got if r < len(want)) >= 0.95 * len(want)
+    assert [x for r, x in got if r == len(want)] == [two, two]
+    left = [r["text"] for r in secretscan.redact(table(spark, [(0, made[0], "aa")]), models).collect()]
+    assert left == [made[0].replace(want[0], "[SECRET]")]
+
+
 def test_redaction(spark, odd, documents):
     models = secretscan.train(documents)
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
