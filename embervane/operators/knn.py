@@ -155,12 +155,36 @@ def spherical_kmeans(df: DataFrame, k: int, rounds: int = 5, dim: int = 64, id:
 
 def ivf_search(df: DataFrame, cells: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, dim: int = 64, exclude_self: bool = False, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query, rank, id, score): an equi-join of each query's nprobe nearest cells with the rows in them, scored as built-in expressions."""
-    from embervane.functions.vector import cosine
-
     rows = assign(df, cells, dim, id, vec).join(usable(df, id, vec, dim), "id").select("cell", "id", "vec")
     probes = topk(cells, queries.select(F.col(id).alias("cell"), F.col(vec).alias("centroid")), nprobe, "cosine", dim, id="cell", vec="centroid")
-    q = usable(queries, id, vec, dim).select(F.col("id").alias("query"), F.col("vec").alias("qv"))
+    return best(_probed(rows, probes, usable(queries, id, vec, dim), exclude_self), k)
+
+
+def _probed(rows: DataFrame, probes: DataFrame, queries: DataFrame, exclude_self: bool) -> DataFrame:
+    from embervane.functions.vector import cosine
+
+    q = queries.select(F.col("id").alias("query"), F.col("vec").alias("qv"))
     hits = probes.select("query", F.col("id").cast("int").alias("cell")).join(q, "query").join(rows, "cell")
     if exclude_self:
         hits = hits.where("query <> id")
-    return best(hits.select("query", "id", cosine(F.col("qv"), F.col("vec")).alias("score")), k)
+    return hits.select("query", "id", cosine(F.col("qv"), F.col("vec")).alias("score"))
+
+
+def ivf_exact(df: DataFrame, cells: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, dim: int = 64, exclude_self: bool = False, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(query, rank, id, score) as of ``topk`` by cosine: after the nprobe nearest cells, each query goes on to every cell that can hold a better row than its k-th.
+
+    A cell can't where the angle to its centroid, less the cell's radius, exceeds the angle of the k-th.
+    """
+    from embervane.session import staged
+
+    assigned = staged(assign(df, cells, dim, id, vec), "assigned")
+    rows = assigned.join(usable(df, id, vec, dim), "id").select("cell", "id", "vec")
+    q = usable(queries, id, vec, dim)
+    probes = staged(topk(cells, queries.select(F.col(id).alias("cell"), F.col(vec).alias("centroid")), max(1, cells.count()), "cosine", dim, id="cell", vec="centroid"), "probes")
+    first = staged(best(_probed(rows, probes.where(F.col("rank") < nprobe), q, exclude_self), k), "first")
+    angle = lambda c: F.acos(F.least(F.greatest(F.col(c), F.lit(-1.0)), F.lit(1.0)))
+    kth = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    radius = assigned.groupBy(F.col("cell").cast("bigint").alias("id")).agg(F.max("angle").alias("radius"))
+    # the angle by which scores that round alike may differ near 1
+    open_cells = probes.where(F.col("rank") >= nprobe).join(radius, "id").join(kth, "query", "left").where(F.col("kth").isNull() | (angle("score") - F.col("radius") <= angle("kth") + 1e-4))
+    return best(first.select("query", "id", "score").union(_probed(rows, open_cells, q, exclude_self)), k)

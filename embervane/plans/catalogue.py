@@ -380,6 +380,12 @@ def ivf_search_top10(spark, d):
     return _rounded(knn.ivf_search(e, staged(knn.centroids(e, "label", DIM), "cells"), e, K, 4, DIM, exclude_self=True))
 
 
+@query(f"WITH {E}, {_knn_sql()} {_ROUND} knn")
+def ivf_exact_top10(spark, d):
+    e = _e(spark, d)
+    return _rounded(knn.ivf_exact(e, staged(knn.centroids(e, "label", DIM), "cells"), e, K, 4, DIM, exclude_self=True))
+
+
 @query()
 def ivf_kmeans_cells(spark, d):
     e = _e(spark, d)

@@ -60,6 +60,14 @@ def test_probing_every_cell_is_exact(table):
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
+def test_inverted_file_is_exact_from_one_probe(table):
+    cells = knn.centroids(table, "label", DIM)
+    b = knn.topk(table, table, 5, dim=DIM, exclude_self=True).select("query", "rank", "id")
+    assert knn.recall(b, knn.ivf_search(table, cells, table, 5, 1, DIM, exclude_self=True), 5).agg({"recall": "avg"}).first()[0] < 1
+    a = knn.ivf_exact(table, cells, table, 5, 1, DIM, exclude_self=True).select("query", "rank", "id")
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(2, 4), st.lists(st.integers(0, 3), min_size=1, max_size=40))
 def test_tight_packing_round_trip(bits, codes):
