@@ -3,10 +3,10 @@
 A page is a sequence of tokens: tags (attribute values that vary with content left out) and the words between
 them, a word being told from the same word under another tag.  Tokens of a host's pages that occur equally often
 in every page, those with one occurrence vector, are an equivalence class.  Classes in at least ``SUPPORT`` of the
-pages may be part of the template.  Those that occur at most once in a page are the skeleton, valid where all
-tokens keep one order in all pages; tokens that break it are dropped, the worst first.  Classes that recur within
-a page are nested in the gap of the skeleton where they begin, as records.  What the template leaves of a page are
-its slots.
+pages may be part of the template.  Those that occur just once in ``SUPPORT`` of the pages are the skeleton, valid
+where all tokens keep one order in all pages; tokens that break it are dropped, the worst first.  Classes that recur
+within a page are nested in the gaps of the skeleton, as records: each occurrence of their tokens bounds slots like
+the skeleton's.  What the template leaves of a page are its slots.
 
 No host is ever gathered in one place: partitions tell the tokens frequent in their own pages (whatever is frequent
 in all pages is frequent in some partition's), then count and order those exactly, and the sums by host are joined
@@ -130,7 +130,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By host, of its candidate tokens: the print of the occurrence vector, pages, occurrences, most in a page, whether a tag, and how often one is first before another."""
+    """By host, of its candidate tokens: the print of the occurrence vector, pages, occurrences, pages that have it once, whether a tag, and how often one is first before another."""
     state: dict[str, list] = {}
     for batch in batches:
         for b in K.text_slices(batch, "html"):
@@ -156,7 +156,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints ^= np.bitwise_xor.reduce(value, axis=0)
                 sums[0] += (counts > 0).sum(0)
                 sums[1] += counts.sum(0)
-                np.maximum(sums[2], counts.max(0), out=sums[2])
+                sums[2] += (counts == 1).sum(0)
                 tagged = np.zeros(m, np.int64)
                 np.maximum.at(tagged, k, t.tag[idx].astype(np.int64))
                 np.maximum(sums[3], tagged, out=sums[3])
@@ -168,11 +168,11 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = list(state.items())
     yield pa.RecordBatch.from_arrays(
         [pa.array([h for h, _ in got], pa.string()), pa.array([s[0] for _, s in got], lists), pa.array([s[1].view(np.int64) for _, s in got], lists), *(pa.array([s[2][j] for _, s in got], lists) for j in range(4)), pa.array([s[3].ravel() for _, s in got], lists)],
-        ["host", "tokens", "prints", "in_pages", "total", "most", "tag", "before"],
+        ["host", "tokens", "prints", "in_pages", "total", "once", "tag", "before"],
     )
 
 
-def build_template(tokens: np.ndarray, prints: np.ndarray, in_pages: np.ndarray, total: np.ndarray, most: np.ndarray, tag: np.ndarray, before: np.ndarray, pages: int) -> tuple[list[int], list[list[int]]]:
+def build_template(tokens: np.ndarray, prints: np.ndarray, in_pages: np.ndarray, total: np.ndarray, once: np.ndarray, tag: np.ndarray, before: np.ndarray, pages: int) -> tuple[list[int], list[list[int]]]:
     """(skeleton in its order, nested classes in theirs) from the sums over all pages of a host."""
     if pages < LEAST_PAGES:
         return [], []
@@ -191,12 +191,13 @@ def build_template(tokens: np.ndarray, prints: np.ndarray, in_pages: np.ndarray,
         wins = (own[np.ix_(left, left)] > 0).sum(1)
         return members[left[np.argsort(-wins, kind="stable")]].tolist()
 
-    skeleton = ordered(np.flatnonzero(enough & (most == 1)))
+    single = once >= SUPPORT * pages - 1e-9
+    skeleton = ordered(np.flatnonzero(enough & single))
     if len(skeleton) < 2:
         return [], []
     nested = []
     classes: dict[tuple, list[int]] = {}
-    for j in np.flatnonzero(enough & (most > 1)):
+    for j in np.flatnonzero(enough & ~single):
         classes.setdefault((int(prints[j]), int(in_pages[j]), int(total[j])), []).append(int(j))
     for members in classes.values():
         if len(members) > 1 and tag[members].any() and len(ordered(np.array(members))) == len(members):
@@ -207,36 +208,30 @@ def build_template(tokens: np.ndarray, prints: np.ndarray, in_pages: np.ndarray,
 def _templates(host: pd.DataFrame) -> pd.DataFrame:
     tokens = np.array(host["tokens"].iloc[0], np.int64)
     prints = np.bitwise_xor.reduce(np.stack([np.array(x, np.int64) for x in host["prints"]]), axis=0)
-    add = {c: np.stack([np.array(x, np.int64) for x in host[c]]) for c in ("in_pages", "total", "most", "tag", "before")}
-    skeleton, nested = build_template(tokens, prints, add["in_pages"].sum(0), add["total"].sum(0), add["most"].max(0), add["tag"].max(0), add["before"].sum(0).reshape(len(tokens), -1), int(host["pages"].iloc[0]))
+    add = {c: np.stack([np.array(x, np.int64) for x in host[c]]) for c in ("in_pages", "total", "once", "tag", "before")}
+    skeleton, nested = build_template(tokens, prints, add["in_pages"].sum(0), add["total"].sum(0), add["once"].sum(0), add["tag"].max(0), add["before"].sum(0).reshape(len(tokens), -1), int(host["pages"].iloc[0]))
     return pd.DataFrame({"host": [host["host"].iloc[0]], "skeleton": [skeleton], "nested": [nested]})
 
 
 def page_slots(t: Tokens, row: int, skeleton: list[int], nested: list[list[int]]) -> list[dict]:
-    """The slots of a page: number of the skeleton token before it (0: none), and its texts; records of a nested class are texts of their own."""
+    """The slots of a page, in its order: number of the template's token before it (0: none), and its text.  The skeleton's tokens are numbered first, then those of the nested classes; a record gives one slot for each of its gaps that holds text."""
     a, b = int(t.at[row]), int(t.at[row + 1])
     ids = t.id[a:b]
-    rank = {token: k + 1 for k, token in enumerate(skeleton)}
     marks = [(0, int(t.row_at[row]), int(t.row_at[row]))]
     found, first = np.unique(ids, return_index=True)
     where = dict(zip(found.tolist(), first.tolist()))
-    here = sorted((where[x], rank[x]) for x in rank if x in where)
-    for i, r in here:
+    here = [(where[token], k) for k, token in enumerate(skeleton, 1) if token in where]
+    inner = [token for c in nested for token in c]
+    number = {token: k for k, token in enumerate(inner, len(skeleton) + 1)}
+    here += [(i, number[int(ids[i])]) for i in np.flatnonzero(np.isin(ids, np.array(inner, np.int64))).tolist()]
+    for i, r in sorted(here):
         marks.append((r, int(t.start[a + i]), int(t.end[a + i])))
-    begins: list[int] = []
-    for c in nested:
-        own = np.flatnonzero(np.isin(ids, c))
-        if len(own) and len(own) % len(c) == 0 and (ids[own].reshape(-1, len(c)) == np.array(c)).all():
-            begins += t.start[a + own[:: len(c)]].tolist()
-    begins.sort()
     out = []
-    edges = np.array(begins)
     for k, (r, _, x) in enumerate(marks):
         y = marks[k + 1][1] if k + 1 < len(marks) else int(t.row_at[row + 1])
-        cuts = [x, *edges[(edges > x) & (edges < y)].tolist(), y]
-        items = [s for s in (t.text(p, q) for p, q in zip(cuts, cuts[1:])) if s]
-        if items:
-            out.append({"slot": r, "items": items})
+        text = t.text(x, y)
+        if text:
+            out.append({"slot": r, "items": [text]})
     return out
 
 
@@ -255,7 +250,7 @@ def extract_slots(pages: DataFrame) -> DataFrame:
     frequent = staged(frequent.groupBy("host").agg(F.sum("pages").alias("pages"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens")), "frequent")
     few = frequent.agg(F.sum(F.size("tokens"))).first()[0] or 0
     with_tokens = known.select("host", "html", "uid").join(_sized(frequent.select("host", "tokens"), few), "host")
-    sums = map_arrow(with_tokens, _vectors, "host string, tokens array<bigint>, prints array<bigint>, in_pages array<bigint>, total array<bigint>, most array<bigint>, tag array<bigint>, before array<bigint>")
+    sums = map_arrow(with_tokens, _vectors, "host string, tokens array<bigint>, prints array<bigint>, in_pages array<bigint>, total array<bigint>, once array<bigint>, tag array<bigint>, before array<bigint>")
     sums = sums.join(_sized(frequent.select("host", "pages"), few), "host")
     templates = staged(sums.groupBy("host").applyInPandas(_templates, "host string, skeleton array<bigint>, nested array<array<bigint>>"), "templates")
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("items", pa.list_(pa.string()))]))

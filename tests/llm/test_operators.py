@@ -328,6 +328,19 @@ def test_templates(spark):
     assert htmltemplate.extract_slots(t.where("false")).count() == 0
 
 
+def test_templates_leave_out_the_words_of_records(spark):
+    def page(k, more=""):
+        records = "".join(f"<li>Price: p{k}x{j} Stock: s{k}x{j}</li>" for j in range(1 + k % 3))
+        return f"<html><head><title>name{k}</title></head><body><h1>Shop front</h1><ul>{records}</ul><p>Contact us</p>{more}</body></html>"
+
+    rows = [(k, f"http://h.org/{k}", page(k, "<p>Contact us</p>" * (k == 7))) for k in range(30)]
+    got = {r["page_id"]: [(s["slot"], i) for s in r["slots"] for i in s["items"]] for r in htmltemplate.extract_slots(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in set(range(30)) - {7}:
+        assert [i for _, i in got[k]] == [f"name{k}", *(f"{c}{k}x{j}" for j in range(1 + k % 3) for c in "ps")]
+    fields = {(i[0], s) for k in got if k != 7 for s, i in got[k] if i[0] in "ps"}
+    assert len(fields) == 2
+
+
 # 10
 
 def test_tree_encoding_is_the_flat_one():
