@@ -12,7 +12,7 @@ from embervane.llm.chatfmt import format_chats
 from embervane.llm.decontam import contained_items
 from embervane.llm.htmltemplate import extract_slots
 from embervane.llm.langmix import identify
-from embervane.llm.ngram_join import jaccard_join
+from embervane.llm.ngram_join import similarity_classes
 from embervane.llm.secretscan import find_secrets
 from embervane.llm.tokencount import count_with_edits
 
@@ -38,7 +38,7 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents"))
+    return similarity_classes(_table(spark, sf_dir, "documents"))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

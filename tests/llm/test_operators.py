@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from embervane.llm import bpe, chatfmt, decontam, htmltemplate, isomedia, langmix, ngram_join, secretscan, shardtree, tokencount
+from embervane.llm import bpe, chatfmt, common, decontam, htmltemplate, isomedia, langmix, ngram_join, secretscan, shardtree, tokencount
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, a string, b string, score double, `key` int, row int, hash int, id int"
 DATA = "/root/testdata/sf0.001"
@@ -182,30 +182,112 @@ def slow_join(docs, t=0.6, n=2):
     return {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sets, 2) if x and y and len(x & y) / len(x | y) >= t}
 
 
-def test_join_recall_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+def slow_classes(docs, t=0.6):
+    """(class, links) by document of slow_join()'s pairs; documents of one id don't occur."""
+    pairs = set(slow_join(docs, t))
+    least = {d: d for d, _ in docs}
+    for _ in docs:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    n = {d: 0 for d, _ in docs}
+    for a, b in pairs:
+        n[a] += 1
+        n[b] += 1
+    return {d: (least[d], n[d]) for d, _ in docs}
+
+
+@pytest.fixture(scope="module")
+def copies():
     rng = random.Random(9)
     docs = []
     for g in range(25):
         base = words(g, rng.choice([3, 12, 60, 400]))
         for _ in range(rng.randrange(1, 12)):
             docs.append((len(docs), " ".join(edits(rng, base, rng.randrange(0, 1 + len(base) // 9)))))
-    want = slow_join(docs)
-    got = {tuple(r)[:2]: r[2] for r in ngram_join.jaccard_join(table(spark, [(d, t, "aa") for d, t in docs])).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    return docs
+
+
+def classes(spark, docs):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similarity_classes(table(spark, [(d, t, "aa") for d, t in docs])).collect()}
+
+
+def test_join_against_brute_force(spark, copies, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    assert classes(spark, copies) == slow_classes(copies)
+    member, pairs = ngram_join.similar_texts(table(spark, [(d, t, "aa") for d, t in copies]))
+    of = {}
+    for d, rep in map(tuple, member.collect()):
+        of.setdefault(rep, []).append(d)
+    got = {(min(x, y), max(x, y)): s for a, b, s in map(tuple, pairs.collect()) for x in of[a] for y in of[b]}
+    got |= {p: 1.0 for own in of.values() for p in itertools.combinations(sorted(own), 2)}
+    want = slow_join(copies)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_full_buckets_go_on_with_longer_keys(spark, copies, monkeypatch):
+    for most in (2, 5):
+        monkeypatch.setattr(ngram_join, "BUCKET", most)
+        assert classes(spark, copies) == slow_classes(copies)
 
 
-def test_join_without_broadcast_is_the_same(documents, monkeypatch):
-    a = ngram_join.jaccard_join(documents).collect()
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
-    assert sorted(map(tuple, a)) == sorted(map(tuple, ngram_join.jaccard_join(documents).collect()))
+def test_join_with_a_full_filter_is_the_same(spark, copies, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
+    assert classes(spark, copies) == slow_classes(copies)
+
+
+def test_contained_sets_and_sets_at_the_threshold_are_found():
+    rng = random.Random(3)
+    found = tried = 0
+    for n in (4, 9, 40, 70, 130, 400):
+        for kind in ("contained", "equal"):
+            for _ in range(60):
+                g = np.array(sorted(rng.getrandbits(64) for _ in range(2 * n)), np.uint64)
+                k = int(np.ceil(0.6 * n)) if kind == "contained" else int(np.ceil(0.75 * n))
+                a, b = (g[:n], g[:k]) if kind == "contained" else (g[:n], g[n - k : 2 * n - k])
+                keys = [set(np.concatenate([x[2] for x in ngram_join._route(s, np.array([0, len(s)]), 0.6)]).tolist()) for s in (a, b)]
+                tried += 1
+                found += bool(keys[0] & keys[1])
+    assert found >= 0.995 * tried
+
+
+def test_no_task_takes_a_bucket_of_frequent_words_whole(spark, monkeypatch):
+    """Unrelated texts of Zipf's words share single n-grams: however full their buckets are, a tree has BUCKET members at most."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 32)
+    rng = np.random.default_rng(4)
+    weight = 1 / np.arange(1, 300)
+    texts = [" ".join(f"w{k}" for k in rng.choice(299, 60, p=weight / weight.sum())) for _ in range(3000)]
+    sketch = ngram_join.map_arrow(table(spark, [(i, t, "aa") for i, t in enumerate(texts)]).select("doc_id", "text"), ngram_join._sketches(2, 0.6), f"doc_id bigint, node bigint, n int, levels {ngram_join.LEVELS}")
+    keys = sketch.selectExpr("node", "explode(levels) AS x").selectExpr("node", "explode(x.keys) AS key").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert keys > 60
+    made = []
+
+    class Counted(ngram_join.CountTree):
+        def __init__(self, counts, sizes):
+            made.append(len(sizes))
+            super().__init__(counts, sizes)
+
+    monkeypatch.setattr(ngram_join, "CountTree", Counted)
+    rows = sketch.selectExpr("node", "explode(levels) AS x").selectExpr("node", "x.counts", "x.size", "explode(x.keys) AS key").selectExpr("key", "0L AS chain", "node", "counts", "size", "0 AS side").orderBy("key").toArrow()
+    list(ngram_join._bucket_links(0.6, 32)(iter(rows.to_batches(max_chunksize=500))))
+    assert made and max(made) <= 32
 
 
 def test_join_edges(spark, odd):
-    assert ngram_join.jaccard_join(odd).count() == 0 and ngram_join.jaccard_join(odd.where("false")).count() == 0
+    alone = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similarity_classes(odd).collect()}
+    assert alone == {d: (d, 0) for d in (1, 2, 3, 4, 5, 6)} and ngram_join.similarity_classes(odd.where("false")).count() == 0
     more = odd.union(table(spark, [(7, "One", "aa"), (8, "one!", "aa"), (9, "other words", "aa"), (9, "one", "aa")]))
-    assert sorted(map(tuple, ngram_join.jaccard_join(more).collect())) == [(a, b, 1.0) for a, b in itertools.combinations((4, 7, 8, 9), 2)]
-    assert sorted(r[0] for r in ngram_join.duplicates(more).collect()) == [7, 8, 9]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similarity_classes(more).collect()}
+    assert all(got[d] == (4, 3) for d in (4, 7, 8, 9)) and got[6] == (6, 0)
+
+
+def test_one_of_each_class_stays(spark, odd, copies):
+    more = odd.union(table(spark, [(7, "One", "aa"), (8, "one!", "aa"), (9, "other words", "aa"), (10, "other words", "aa"), (10, "other words", "aa")]))
+    left = ngram_join.without_duplicates(more)
+    assert left.columns == more.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == [(False, d) for d in (1, 2, 3, 4, 5, 6, 9)] + [(True, 0)]
+    assert ngram_join.without_duplicates(more.where("false")).count() == 0
+    left = ngram_join.without_duplicates(table(spark, [(d, t, "aa") for d, t in copies]))
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted({c for c, _ in slow_classes(copies).values()})
 
 
 # 5
