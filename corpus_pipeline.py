@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from embervane.llm.bpe import encode_documents
 from embervane.llm.decontam import without_contaminated
 from embervane.llm.langmix import in_known_languages
-from embervane.llm.ngram_join import duplicates
+from embervane.llm.ngram_join import without_duplicates
 from embervane.llm.secretscan import redact
 from embervane.session import prepare, staged
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of least id stays; rows without an id stay."""
-    return docs.join(duplicates(docs), "doc_id", "left_anti").select(docs.columns)
+    """Of each class of similar documents the one of least id stays, of rows repeated under one id the first; rows without an id, and null, empty and wordless texts stay."""
+    return without_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
