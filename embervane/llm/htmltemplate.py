@@ -2,15 +2,18 @@
 
 A page is a sequence of tokens: tags (attribute values that vary with content left out) and the words between
 them, a word being told from the same word under another tag.  Tokens of a host's pages that occur equally often
-in every page, those with one occurrence vector, are an equivalence class.  Classes in at least ``SUPPORT`` of the
-pages may be part of the template.  Those that occur just once in ``SUPPORT`` of the pages are the skeleton, valid
-where all tokens keep one order in all pages; tokens that break it are dropped, the worst first.  Classes that recur
-within a page are nested in the gaps of the skeleton, as records: each occurrence of their tokens bounds slots like
-the skeleton's.  What the template leaves of a page are its slots.
-
-No host is ever gathered in one place: partitions tell the tokens frequent in their own pages (whatever is frequent
-in all pages is frequent in some partition's), then count and order those exactly, and the sums by host are joined
-back to the pages.
+in every page, those with one occurrence vector, are an equivalence class.  Classes of two tokens or more, in at
+least ``SUPPORT`` of the pages, may be part of the template; a class is valid where its tokens keep one order in all
+pages (tokens that break it are dropped, the worst first).  Classes that occur just once in ``SUPPORT`` of the pages
+are nested in each other, the most frequent first: one goes in where none of its tokens changes places with those
+already there, and together they are the skeleton.  Valid classes that recur within a page are nested in the gaps of
+the skeleton, as records: each occurrence of their tokens bounds slots like the skeleton's.  What the template leaves
+of a page are its slots.
+
+No host is ever gathered in one place.  Partitions tell the tokens frequent in their own pages, with their counts,
+and only tokens that can still be frequent in all pages are counted and ordered exactly; the sums by host are added
+up as a stream, first by a salt, then by host, and joined back to the pages: by a broadcast of checked size, else by
+host and a salt that cuts large hosts.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import html as entities
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,8 +32,14 @@ from embervane.llm.common import map_arrow
 from embervane.session import staged
 
 SUPPORT, LEAST_PAGES = 0.8, 3
-#: Rows of per-host data that are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_TOKENS = 200_000
+#: A partition tells the tokens in this share of its own pages of a host.
+LOCAL = 0.6
+#: Tokens of all hosts that are sent to every executor at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_TOKENS = 2_000_000
+#: Pages of a host that one salt takes where pages are joined by a shuffle; salts that sums by host are added up by first.
+SALT_PAGES, SALTS = 20_000, 32
+#: Orders of tokens that a host's sums remember, so as not to enter them again.
+REMEMBERED = 4096
 
 _UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _VARYING = r"""(?i)\s(?:href|src|srcset|content|alt|title|value|lang|style|data-[\w-]+)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
@@ -102,7 +110,7 @@ def _rows_tokens(t: Tokens, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, pages, tokens) of this partition: tokens in ``SUPPORT`` of its own pages of the host."""
+    """(host, pages, tokens, counts) of this partition: tokens in ``LOCAL`` of its own pages of the host, and in how many."""
     pages: dict[str, int] = {}
     found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
@@ -122,95 +130,164 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     token, n = merged(host)
                     found[host] = [(token, n)]
     hosts = list(pages)
-    tokens = []
+    tokens, counts = [], []
     for host in hosts:
         token, n = merged(host)
-        tokens.append(token[n >= SUPPORT * pages[host] - 1e-9])
-    yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([pages[h] for h in hosts], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["host", "pages", "tokens"])
+        enough = n >= LOCAL * pages[host] - 1e-9
+        tokens.append(token[enough])
+        counts.append(n[enough])
+    lists = pa.list_(pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([pages[h] for h in hosts], pa.int64()), pa.array(tokens, lists), pa.array(counts, lists)], ["host", "pages", "tokens", "counts"])
+
+
+def _candidates(frequent: DataFrame) -> DataFrame:
+    """(host, pages, tokens) from the partitions' (host, pages, tokens, counts): the tokens that may be in ``SUPPORT`` of the host's pages, taking them to be in almost ``LOCAL`` of the pages of partitions that don't tell them."""
+    pages = frequent.groupBy("host").agg(F.sum("pages").alias("all"))
+    each = frequent.select("host", "pages", F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("host", F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"), F.sum("pages").alias("told"))
+    may = each.join(pages, "host").where(F.col("n") + LOCAL * (F.col("all") - F.col("told")) >= SUPPORT * F.col("all") - 1e-6)
+    lists = may.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return pages.join(lists, "host", "left").select("host", F.col("all").alias("pages"), F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"))
+
+
+class Sums:
+    """Of a host's candidate tokens: two prints of the occurrence vector, and in how many pages, how often, in how many pages just once, whether a tag; which was ever first before which."""
+
+    def __init__(self, tokens: np.ndarray):
+        m = len(tokens)
+        self.tokens = tokens
+        self.prints = np.zeros((2, m), np.uint64)
+        self.counts = np.zeros((4, m), np.int64)
+        self.before = np.zeros((m, m), bool)
+        self.orders: set[int] = set()
+
+    def add_pages(self, t: Tokens, rows: np.ndarray, page: np.ndarray) -> None:
+        m = len(self.tokens)
+        idx, own = _rows_tokens(t, rows)
+        k = np.minimum(np.searchsorted(self.tokens, t.id[idx]), m - 1)
+        hit = self.tokens[k] == t.id[idx]
+        idx, own, k = idx[hit], own[hit], k[hit]
+        counts = np.bincount(own * m + k, minlength=len(rows) * m).reshape(len(rows), m)
+        first = np.full(len(rows) * m, np.iinfo(np.int64).max)
+        np.minimum.at(first, own * m + k, idx)
+        first = first.reshape(len(rows), m)
+        seed = page[rows][:, None] + counts.astype(np.uint64) * K.U64(0xD1B54A32D192ED03)
+        for j in (0, 1):
+            self.prints[j] += np.where(counts > 0, K.mix(seed ^ K.U64(0x5851F42D4C957F2D * j)), K.U64(0)).sum(axis=0, dtype=np.uint64)
+        self.counts[0] += (counts > 0).sum(0)
+        self.counts[1] += counts.sum(0)
+        self.counts[2] += (counts == 1).sum(0)
+        np.maximum.at(self.counts[3], k, t.tag[idx].astype(np.int64))
+        for f in first:
+            there = np.flatnonzero(f < np.iinfo(np.int64).max)
+            there = there[np.argsort(f[there])]
+            order = hash(there.tobytes())
+            if order in self.orders:
+                continue
+            if len(self.orders) >= REMEMBERED:
+                self.orders.clear()
+            self.orders.add(order)
+            for i, x in enumerate(there[:-1]):
+                self.before[x, there[i + 1 :]] = True
+
+    def add(self, prints: np.ndarray, counts: np.ndarray, before: np.ndarray) -> None:
+        self.prints += prints
+        self.counts[:3] += counts[:3]
+        np.maximum(self.counts[3], counts[3], out=self.counts[3])
+        self.before |= before
+
+    @staticmethod
+    def batch(each: list[tuple[str, int, Sums]]) -> pa.RecordBatch:
+        lists = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _, _ in each], pa.string()), pa.array([n for _, n, _ in each], pa.int64()), pa.array([s.tokens for _, _, s in each], lists), pa.array([s.prints.view(np.int64).ravel() for _, _, s in each], lists), pa.array([s.counts.ravel() for _, _, s in each], lists), pa.array([np.packbits(s.before).tobytes() for _, _, s in each], pa.binary())],
+            ["host", "pages", "tokens", "prints", "counts", "before"],
+        )
+
+
+SUMS = "host string, pages bigint, tokens array<bigint>, prints array<bigint>, counts array<bigint>, before binary"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By host, of its candidate tokens: the print of the occurrence vector, pages, occurrences, pages that have it once, whether a tag, and how often one is first before another."""
-    state: dict[str, list] = {}
+    """The sums of this partition's pages by host."""
+    state: dict[str, tuple[int, Sums]] = {}
     for batch in batches:
         for b in K.text_slices(batch, "html"):
             t = Tokens(b.column("html"))
             page = K.mix(b.column("uid").to_numpy().view(np.uint64))
             for host, rows in _by_host(b):
-                tokens = np.array(b.column("tokens")[int(rows[0])].as_py() or [], np.int64)
-                m = len(tokens)
-                if not m:
-                    continue
                 if host not in state:
-                    state[host] = [tokens, np.zeros(m, np.uint64), np.zeros((4, m), np.int64), np.zeros((m, m), np.int64)]
-                _, prints, sums, before = state[host]
-                idx, own = _rows_tokens(t, rows)
-                k = np.minimum(np.searchsorted(tokens, t.id[idx]), m - 1)
-                hit = tokens[k] == t.id[idx]
-                idx, own, k = idx[hit], own[hit], k[hit]
-                counts = np.bincount(own * m + k, minlength=len(rows) * m).reshape(len(rows), m)
-                first = np.full(len(rows) * m, np.iinfo(np.int64).max)
-                np.minimum.at(first, own * m + k, idx)
-                first = first.reshape(len(rows), m)
-                value = np.where(counts > 0, K.mix(page[rows][:, None] + counts.astype(np.uint64) * K.U64(0xD1B54A32D192ED03)), K.U64(0))
-                prints ^= np.bitwise_xor.reduce(value, axis=0)
-                sums[0] += (counts > 0).sum(0)
-                sums[1] += counts.sum(0)
-                sums[2] += (counts == 1).sum(0)
-                tagged = np.zeros(m, np.int64)
-                np.maximum.at(tagged, k, t.tag[idx].astype(np.int64))
-                np.maximum(sums[3], tagged, out=sums[3])
-                for f in first:
-                    there = np.flatnonzero(f < np.iinfo(np.int64).max)
-                    x = f[there]
-                    before[np.ix_(there, there)] += x[:, None] < x[None, :]
-    lists = pa.list_(pa.int64())
-    got = list(state.items())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([h for h, _ in got], pa.string()), pa.array([s[0] for _, s in got], lists), pa.array([s[1].view(np.int64) for _, s in got], lists), *(pa.array([s[2][j] for _, s in got], lists) for j in range(4)), pa.array([s[3].ravel() for _, s in got], lists)],
-        ["host", "tokens", "prints", "in_pages", "total", "once", "tag", "before"],
-    )
-
-
-def build_template(tokens: np.ndarray, prints: np.ndarray, in_pages: np.ndarray, total: np.ndarray, once: np.ndarray, tag: np.ndarray, before: np.ndarray, pages: int) -> tuple[list[int], list[list[int]]]:
+                    state[host] = b.column("pages")[int(rows[0])].as_py(), Sums(np.array(b.column("tokens")[int(rows[0])].as_py(), np.int64))
+                if len(state[host][1].tokens):
+                    state[host][1].add_pages(t, rows, page)
+    for host, (n, s) in state.items():
+        yield Sums.batch([(host, n, s)])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Sums]]:
+    """The sums of each host of batches sorted by host; one host's are held at a time."""
+    name, pages, total = None, 0, None
+    for b in batches:
+        for r in range(b.num_rows):
+            host = b.column("host")[r].as_py()
+            if host != name:
+                if total is not None:
+                    yield name, pages, total
+                name, pages, total = host, b.column("pages")[r].as_py(), Sums(b.column("tokens")[r].values.to_numpy())
+            m = len(total.tokens)
+            before = np.unpackbits(np.frombuffer(b.column("before")[r].as_py(), np.uint8), count=m * m).astype(bool).reshape(m, m)
+            total.add(b.column("prints")[r].values.to_numpy().view(np.uint64).reshape(2, m), b.column("counts")[r].values.to_numpy().reshape(4, m), before)
+    if total is not None:
+        yield name, pages, total
+
+
+def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in _added(batches):
+        yield Sums.batch([x])
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for host, pages, s in _added(batches):
+        skeleton, nested = build_template(s, pages)
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([pages], pa.int64()), pa.array([skeleton], pa.list_(pa.int64())), pa.array([nested], pa.list_(pa.list_(pa.int64())))], ["host", "pages", "skeleton", "nested"])
+
+
+def build_template(s: Sums, pages: int) -> tuple[list[int], list[list[int]]]:
     """(skeleton in its order, nested classes in theirs) from the sums over all pages of a host."""
-    if pages < LEAST_PAGES:
+    if pages < LEAST_PAGES or not len(s.tokens):
         return [], []
+    in_pages, total, once, tag = s.counts
     enough = in_pages >= SUPPORT * pages - 1e-9
+    single = enough & (once >= SUPPORT * pages - 1e-9)
+    swaps = s.before & s.before.T
 
-    def ordered(members: np.ndarray) -> list[int]:
-        own = before[np.ix_(members, members)]
-        conflict = (own > 0) & (own.T > 0)
+    def ordered(members: np.ndarray) -> np.ndarray:
+        conflict = swaps[np.ix_(members, members)]
         alive = np.ones(len(members), bool)
         while True:
             bad = (conflict & alive[None, :]).sum(1) * alive
             if not bad.any():
                 break
             alive[len(bad) - 1 - int(bad[::-1].argmax())] = False
-        left = np.flatnonzero(alive)
-        wins = (own[np.ix_(left, left)] > 0).sum(1)
-        return members[left[np.argsort(-wins, kind="stable")]].tolist()
-
-    single = once >= SUPPORT * pages - 1e-9
-    skeleton = ordered(np.flatnonzero(enough & single))
-    if len(skeleton) < 2:
-        return [], []
-    nested = []
-    classes: dict[tuple, list[int]] = {}
-    for j in np.flatnonzero(enough & ~single):
-        classes.setdefault((int(prints[j]), int(in_pages[j]), int(total[j])), []).append(int(j))
-    for members in classes.values():
-        if len(members) > 1 and tag[members].any() and len(ordered(np.array(members))) == len(members):
-            nested.append(ordered(np.array(members)))
-    return [int(tokens[j]) for j in skeleton], [[int(tokens[j]) for j in c] for c in nested]
+        return by_place(members[alive])
 
+    def by_place(members: np.ndarray) -> np.ndarray:
+        return members[np.argsort(-s.before[np.ix_(members, members)].sum(1), kind="stable")]
 
-def _templates(host: pd.DataFrame) -> pd.DataFrame:
-    tokens = np.array(host["tokens"].iloc[0], np.int64)
-    prints = np.bitwise_xor.reduce(np.stack([np.array(x, np.int64) for x in host["prints"]]), axis=0)
-    add = {c: np.stack([np.array(x, np.int64) for x in host[c]]) for c in ("in_pages", "total", "once", "tag", "before")}
-    skeleton, nested = build_template(tokens, prints, add["in_pages"].sum(0), add["total"].sum(0), add["once"].sum(0), add["tag"].max(0), add["before"].sum(0).reshape(len(tokens), -1), int(host["pages"].iloc[0]))
-    return pd.DataFrame({"host": [host["host"].iloc[0]], "skeleton": [skeleton], "nested": [nested]})
+    classes: dict[tuple, list[int]] = {}
+    for j in np.flatnonzero(enough):
+        classes.setdefault((int(s.prints[0, j]), int(s.prints[1, j]), int(in_pages[j]), int(total[j])), []).append(int(j))
+    every = [np.array(c) for c in classes.values() if len(c) > 1]
+    skeleton = np.zeros(0, np.int64)
+    for own in sorted((c for c in every if single[c[0]]), key=lambda c: (-in_pages[c[0]], -len(c), s.tokens[c[0]])):
+        own = ordered(own)
+        if len(own) > 1 and not swaps[np.ix_(own, skeleton)].any():
+            skeleton = np.concatenate([skeleton, own])
+    if not len(skeleton):
+        return [], []
+    skeleton = by_place(skeleton)
+    nested = [ordered(c) for c in every if not single[c[0]] and tag[c].any()]
+    nested = [c for c, whole in zip(nested, (c for c in every if not single[c[0]] and tag[c].any())) if len(c) == len(whole)]
+    return s.tokens[skeleton].tolist(), [s.tokens[c].tolist() for c in sorted(nested, key=lambda c: int(s.tokens[c[0]]))]
 
 
 def page_slots(t: Tokens, row: int, skeleton: list[int], nested: list[list[int]]) -> list[dict]:
@@ -241,18 +318,22 @@ def extract_slots(pages: DataFrame) -> DataFrame:
     Every row gives one row.  Comments, scripts and styles are left out, entities resolved, white space
     joined.  A null page has null slots, an empty one none.  Pages of fewer than LEAST_PAGES of a host, of
     a null or unreadable URL, or of a host without a valid skeleton have no template: all their text is slot
-    0.  Repeated rows count as pages of their own.  Other columns are left out; an empty table gives no rows.
+    0.  Repeated rows count as pages of their own: they weigh on what is frequent, and change no class.  A
+    very long page is taken whole.  Other columns are left out; an empty table gives no rows.
     """
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    own = own.withColumn("host", F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit(""))).withColumn("uid", F.xxhash64("page_id", "url"))
+    own = own.withColumn("host", F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit(""))).withColumn("uid", F.xxhash64("page_id", "url", "html"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = own.where("html IS NOT NULL AND host <> ''")
-    frequent = map_arrow(known.select("host", "html"), _frequent, "host string, pages bigint, tokens array<bigint>")
-    frequent = staged(frequent.groupBy("host").agg(F.sum("pages").alias("pages"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens")), "frequent")
-    few = frequent.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    with_tokens = known.select("host", "html", "uid").join(_sized(frequent.select("host", "tokens"), few), "host")
-    sums = map_arrow(with_tokens, _vectors, "host string, tokens array<bigint>, prints array<bigint>, in_pages array<bigint>, total array<bigint>, once array<bigint>, tag array<bigint>, before array<bigint>")
-    sums = sums.join(_sized(frequent.select("host", "pages"), few), "host")
-    templates = staged(sums.groupBy("host").applyInPandas(_templates, "host string, skeleton array<bigint>, nested array<array<bigint>>"), "templates")
+    told = staged(map_arrow(known.select("host", "html"), _frequent, "host string, pages bigint, tokens array<bigint>, counts array<bigint>"), "frequent")
+    frequent = staged(_candidates(told), "candidates")
+    few = frequent.agg(F.sum(1 + F.size("tokens"))).first()[0] or 0
+    with_tokens = _with_host(known.select("host", "html", "uid"), frequent, few)
+    sums = map_arrow(with_tokens.select("host", "html", "uid", "pages", "tokens"), _vectors, SUMS)
+    sums = sums.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(parts, "host", "__salt").drop("__salt").sortWithinPartitions("host")
+    sums = map_arrow(sums, _salted, SUMS)
+    templates = map_arrow(sums.repartition(parts, "host").sortWithinPartitions("host"), _templates, "host string, pages bigint, skeleton array<bigint>, nested array<array<bigint>>")
+    templates = staged(templates, "templates")
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("items", pa.list_(pa.string()))]))
 
     def f(batches):
@@ -268,9 +349,16 @@ def extract_slots(pages: DataFrame) -> DataFrame:
                     slots.append(page_slots(t, row, skeleton, nested[row].as_py() or []) if b.column("html")[row].is_valid else None)
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(sizes, pa.int32()), pa.array(slots, kind)], ["page_id", "url", "host", "template_tokens", "slots"])
 
-    joined = own.join(_sized(templates, few), "host", "left").select("page_id", "url", "host", "html", "skeleton", "nested")
+    joined = _with_host(own, templates, few).select("page_id", "url", "host", "html", "skeleton", "nested")
     return map_arrow(joined, f, "page_id bigint, url string, host string, template_tokens int, slots array<struct<slot:int,items:array<string>>>")
 
 
-def _sized(by_host: DataFrame, tokens: int) -> DataFrame:
-    return F.broadcast(by_host) if tokens <= BROADCAST_TOKENS else by_host
+def _with_host(own: DataFrame, by_host: DataFrame, tokens: int) -> DataFrame:
+    """Pages with their host's columns: by a broadcast where all hosts have few tokens; else by host and salt, a host of many pages having as many salts as it has ``SALT_PAGES``."""
+    if tokens <= BROADCAST_TOKENS:
+        return own.join(F.broadcast(by_host), "host", "left")
+    salts = F.ceil(F.col("pages") / SALT_PAGES).cast("int")
+    # hosts of one salt need no lookup of their number of salts; those of more are few, a SALT_PAGES-th of the pages at most
+    large = by_host.where(salts > 1).select("host", salts.alias("__salts"))
+    own = own.join(large, "host", "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(F.col("uid"), F.col("__salts")).cast("int")).when(F.col("host") == "", -1 - F.pmod(F.col("uid"), F.lit(4096)).cast("int")).otherwise(0)).drop("__salts")
+    return own.join(by_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))), ["host", "__salt"], "left").drop("__salt")

@@ -423,6 +423,70 @@ def test_templates_leave_out_the_words_of_records(spark):
     assert len(fields) == 2
 
 
+def slow_template(pages):
+    """(template tokens, nested tokens) of pages (lists of (token, whether a tag)) by comparing occurrence vectors and orders as they are."""
+    every = sorted({t for page in pages for t, _ in page})
+    vector = {t: tuple(sum(x == t for x, _ in page) for page in pages) for t in every}
+    support = 0.8 * len(pages)
+    classes = {}
+    for t in every:
+        if sum(n > 0 for n in vector[t]) >= support:
+            classes.setdefault(vector[t], []).append(t)
+    first = [{t: i for i, (t, _) in reversed(list(enumerate(page)))} for page in pages]
+
+    def swapped(a, b):
+        found = {f[a] < f[b] for f in first if a in f and b in f}
+        return len(found) > 1
+
+    single, nested = [], set()
+    for v, own in sorted(classes.items(), key=lambda x: (-sum(n > 0 for n in x[0]), -len(x[1]), x[1][0])):
+        if len(own) < 2:
+            continue
+        if sum(n == 1 for n in v) >= support:
+            while any(swapped(a, b) for a, b in itertools.combinations(own, 2)):
+                bad = [sum(swapped(a, b) for b in own if b != a) for a in own]
+                own = [t for i, t in enumerate(own) if i != max(range(len(own)), key=lambda i: (bad[i], i))]
+            if len(own) > 1 and not any(swapped(a, b) for a in own for b in single):
+                single += own
+        elif not any(swapped(a, b) for a, b in itertools.combinations(own, 2)) and any(tag and t in own for page in pages for t, tag in page):
+            nested |= set(own)
+    return set(single), nested if single else set()
+
+
+def web(rng, host, n):
+    def page(k):
+        fields = "".join(f"<li class=r>Name: n{rng.randrange(999)} Cost: c{rng.randrange(999)}</li>" for _ in range(rng.randrange(1, 4)))
+        extra = "<div class=ad>Buy now here</div>" if rng.random() < 0.9 else ""
+        swap = ["<b>one</b>", "<i>two</i>"]
+        rng.shuffle(swap)
+        word = "sometimes" if rng.random() < 0.85 else "never"
+        return f"<html><body><h1>Front page</h1>{extra}<p>{word} w{k} w{rng.randrange(99)}</p>{''.join(swap)}<ul>{fields}</ul><footer>All rights reserved</footer></body></html>"
+
+    return [(f"http://{host}/{k}", page(k)) for k in range(n)]
+
+
+@pytest.mark.parametrize("copies_of_each", [1, 2])
+def test_templates_against_brute_force(spark, monkeypatch, copies_of_each):
+    rng = random.Random(6)
+    rows = [(k, u, h) for k, (u, h) in enumerate([x for host in ("a.org", "b.org", "c.org") for x in web(rng, host, 25)]) for _ in range(copies_of_each)]
+    t = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = {r["page_id"]: r for r in htmltemplate.extract_slots(t).collect()}
+    for host in ("a.org", "b.org", "c.org"):
+        own = [r for r in rows if f"//{host}/" in r[1]]
+        tokens = htmltemplate.Tokens(pa.array([r[2] for r in own]))
+        pages = [list(zip(tokens.id[a:b].tolist(), tokens.tag[a:b].tolist())) for a, b in zip(tokens.at, tokens.at[1:])]
+        single, nested = slow_template(pages)
+        for i, r in enumerate(own):
+            marks = [k for k in range(tokens.at[i], tokens.at[i + 1]) if int(tokens.id[k]) in nested or int(tokens.id[k]) in single and int(tokens.id[k]) not in tokens.id[tokens.at[i] : k]]
+            ends = [int(tokens.row_at[i]), *(int(tokens.end[k]) for k in marks)], [*(int(tokens.start[k]) for k in marks), int(tokens.row_at[i + 1])]
+            want = [x for a, b in zip(*ends) if (x := tokens.text(a, b))]
+            assert [x for s in got[r[0]]["slots"] for x in s["items"]] == want and got[r[0]]["template_tokens"] == len(single)
+    monkeypatch.setattr(htmltemplate, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(htmltemplate, "SALT_PAGES", 7)
+    again = {r["page_id"]: r for r in htmltemplate.extract_slots(t).collect()}
+    assert again == got
+
+
 # 10
 
 def test_tree_encoding_is_the_flat_one():
