@@ -24,8 +24,8 @@ from embervane.llm.common import map_arrow
 
 #: An item counts as contained where at most this share of its words is edited.
 TAU = 0.2
-#: Items indexed in one pass over the documents; more of them take more passes.
-ITEMS_AT_ONCE = 20_000
+#: Bytes of the items' texts (each counted as 8 more) that are indexed in one pass over the documents; more of them take more passes.  The index of one pass is sent to every executor: at most some 25 times these bytes, about 3 times for prose.
+BYTES_AT_ONCE = 4 << 20
 
 
 class ItemIndex:
@@ -48,7 +48,7 @@ class ItemIndex:
             item, offset = np.array(own, np.int64).T
             key = window_keys(words.hash, width)[words.at[item] + offset]
             order = np.argsort(key, kind="stable")
-            maybe = np.zeros(1 << max(16, (32 * len(key)).bit_length()), bool)
+            maybe = np.zeros(1 << max(16, (16 * len(key)).bit_length()), bool)
             maybe[key & K.U64(len(maybe) - 1)] = True
             self.pieces[width] = key[order], item[order], offset[order], maybe
 
@@ -137,19 +137,21 @@ def least_edits(pattern: list[int], text: list[int]) -> int:
 
 
 def _indexes(items: DataFrame, tau: float, at_once: int) -> Iterator[ItemIndex]:
-    """One index for each ``at_once`` items: what is sent to the executors is bounded, whatever the items' number."""
-    ids, texts = [], []
+    """One index for each ``at_once`` bytes of items, one item at least: what is sent to the executors is bounded, whatever the items' number and length."""
+    ids, texts, size = [], [], 0
     for r in items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator():
+        more = len(r[1].encode()) + 8
+        if ids and size + more > at_once:
+            yield ItemIndex(ids, texts, tau)
+            ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
-        if len(ids) == at_once:
-            yield ItemIndex(ids, texts, tau)
-            ids, texts = [], []
+        size += more
     if ids:
         yield ItemIndex(ids, texts, tau)
 
 
-def contained_items(docs: DataFrame, items: DataFrame, tau: float = TAU, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, tau: float = TAU, at_once: int = BYTES_AT_ONCE) -> DataFrame:
     """(doc_id, item_id, distance): items found in documents with at most ``tau`` of their words edited; distance in words.
 
     Each pair once, with its least distance over repeated rows.  Rows with null id or text, texts and
@@ -174,8 +176,13 @@ def contained_items(docs: DataFrame, items: DataFrame, tau: float = TAU, at_once
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, tau: float = TAU, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text contains no item; null texts stay."""
+def without_contaminated(docs: DataFrame, items: DataFrame, tau: float = TAU, at_once: int = BYTES_AT_ONCE) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text contains no item.
+
+    Null, empty and wordless texts contain none and stay, as do rows with null ids that contain none; of repeated
+    rows all stay or all go.  A text is compared whole, however long.  Without items every row stays; an empty
+    table stays empty.
+    """
     spark = docs.sparkSession
     for index in _indexes(items, tau, at_once):
         shared = spark.sparkContext.broadcast(index)

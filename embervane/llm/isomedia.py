@@ -1,8 +1,11 @@
 """Columns of ISO media containers (MP4 and its kin), without decoding payloads.
 
 The boxes of a container nest: 4 bytes of size, 4 of type, and a 64-bit size where the first is 1; a size
-of 0 reaches to the end.  For each track the sample tables give the duration (stts), the sizes (stsz), the
-chunks (stsc, stco or co64) and the keyframes (stss; without one every sample is a keyframe).
+of 0 reaches to the end.  For each track the sample tables give the duration (stts), the sizes (stsz or stz2), the
+chunks (stsc, stco or co64) and the keyframes (stss; without one every sample is a keyframe).  The fragments of a
+fragmented container (moof) add the samples of their runs (trun), with the defaults of tfhd and trex.  Durations are
+the media's; edit lists don't change them.  No table is read that its box or the container can't hold, and
+boxes nest ``DEPTH`` deep at most, so a forged size costs nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from embervane.llm.common import map_arrow
 
 #: Boxes that hold boxes, on the way to the sample tables.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
+#: How deep boxes may nest; bytes of containers that are read in one batch, one container at least.
+DEPTH, SLICE = 16, 4 << 20
 
 TRACKS = "array<struct<track_id:bigint,kind:string,codec:string,duration:double,n_samples:bigint,key_start:array<bigint>,key_end:array<bigint>>>"
 
@@ -44,10 +49,12 @@ def boxes(data: memoryview, a: int, b: int) -> Iterator[tuple[bytes, int, int]]:
         a += size
 
 
-def _find(data: memoryview, a: int, b: int, into: dict[bytes, tuple[int, int]]) -> dict[bytes, tuple[int, int]]:
+def _find(data: memoryview, a: int, b: int, into: dict[bytes, tuple[int, int]], depth: int = 0) -> dict[bytes, tuple[int, int]]:
+    if depth > DEPTH:
+        raise ValueError("boxes nest too deep")
     for kind, x, y in boxes(data, a, b):
         if kind in NESTED:
-            _find(data, x, y, into)
+            _find(data, x, y, into, depth + 1)
         else:
             into.setdefault(kind, (x, y))
     return into
@@ -62,6 +69,23 @@ def _table(data: memoryview, at: tuple[int, int], width: int, kind: str = ">u4",
     return np.frombuffer(data, kind, n * width, at[0] + skip + 4).reshape(n, width).astype(np.int64)
 
 
+def _sizes(data: memoryview, at: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """The sizes of a track's samples."""
+    if b"stz2" in at:
+        a, b = at[b"stz2"]
+        bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        if bits not in (4, 8, 16) or a + 12 + -(-n * bits // 8) > b:
+            raise ValueError("a table is cut off")
+        raw = np.frombuffer(data, np.uint8, -(-n * bits // 8), a + 12)
+        if bits == 16:
+            return raw.view(">u2").astype(np.int64)
+        return (raw if bits == 8 else np.stack([raw >> 4, raw & 15], axis=1).ravel()[:n]).astype(np.int64)
+    same, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
+    if same and n * same > len(data):
+        raise ValueError("samples beyond the container")
+    return np.full(n, same, np.int64) if same else _table(data, at[b"stsz"], 1, skip=8).ravel()
+
+
 def _track(data: memoryview, a: int, b: int) -> dict:
     at = _find(data, a, b, {})
     (version,) = struct.unpack_from(">B", data, at[b"tkhd"][0])
@@ -71,51 +95,129 @@ def _track(data: memoryview, a: int, b: int) -> dict:
     kind = bytes(data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]).decode("latin-1")
     codec = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
     times = _table(data, at[b"stts"], 2)
-    (same,) = struct.unpack_from(">I", data, at[b"stsz"][0] + 4)
-    (n,) = struct.unpack_from(">I", data, at[b"stsz"][0] + 8)
-    sizes = np.full(n, same, np.int64) if same else _table(data, at[b"stsz"], 1, skip=8).ravel()
+    sizes = _sizes(data, at)
+    n = len(sizes)
     chunks = _table(data, at[b"co64"], 1, ">u8").ravel() if b"co64" in at else _table(data, at[b"stco"], 1).ravel()
     runs = _table(data, at[b"stsc"], 3)
     if len(runs) and len(chunks):
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
+        firsts = np.append(runs[:, 0] - 1, len(chunks))
+        if firsts[0] or (np.diff(firsts) < 0).any():
+            raise ValueError("runs of chunks out of order")
+        per = np.repeat(runs[:, 1], np.diff(firsts))
     else:
         per = np.zeros(len(chunks), np.int64)
-    if int(per.sum()) < n:
+    upto = np.minimum(np.cumsum(per), n)
+    if n and (not len(upto) or upto[-1] < n):
         raise ValueError("samples without a chunk")
-    chunk = np.repeat(np.arange(len(chunks)), per)[:n]
+    chunk = np.repeat(np.arange(len(chunks)), np.diff(upto, prepend=0))
     total = np.concatenate([[0], np.cumsum(sizes)])
     first = np.searchsorted(chunk, np.arange(len(chunks)))
     start = chunks[chunk] + total[:-1] - total[first[chunk]]
     keys = _table(data, at[b"stss"], 1).ravel() - 1 if b"stss" in at else np.arange(n)
     if len(keys) and (keys.min() < 0 or keys.max() >= n):
         raise ValueError("a keyframe isn't a sample")
-    ticks = int((times[:, 0] * times[:, 1]).sum())
-    return {"track_id": track_id, "kind": kind, "codec": codec, "duration": ticks / scale if scale else None, "n_samples": n, "key_start": start[keys].tolist(), "key_end": (start[keys] + sizes[keys]).tolist()}
+    return {"track_id": track_id, "kind": kind, "codec": codec, "ticks": int((times[:, 0] * times[:, 1]).sum()), "scale": scale, "n_samples": n, "key_start": start[keys].tolist(), "key_end": (start[keys] + sizes[keys]).tolist()}
+
+
+def _fragment(data: memoryview, moof: int, a: int, b: int, defaults: dict[int, tuple[int, int, int]], tracks: dict[int, dict]) -> None:
+    """Adds the samples of the runs in data[a:b], the content of the moof box that begins at ``moof``, to their tracks."""
+    for kind, x, y in boxes(data, a, b):
+        if kind != b"traf":
+            continue
+        inner = list(boxes(data, x, y))
+        head = next((p for k, p, _ in inner if k == b"tfhd"), None)
+        if head is None:
+            raise ValueError("a fragment without a head")
+        flags, track_id = struct.unpack_from(">II", data, head)
+        track = tracks.get(track_id)
+        if track is None:
+            raise ValueError("a fragment of no track")
+        ticks, size, sample_flags = defaults.get(track_id, (0, 0, 0))
+        p, base = head + 8, moof
+        if flags & 1:
+            (base,) = struct.unpack_from(">Q", data, p)
+            p += 8
+        p += 4 * bool(flags & 2)
+        values = []
+        for bit in (8, 16, 32):
+            values.append(struct.unpack_from(">I", data, p)[0] if flags & bit else None)
+            p += 4 * bool(flags & bit)
+        ticks, size, sample_flags = (own if own is not None else old for own, old in zip(values, (ticks, size, sample_flags)))
+        at = base
+        for k, p, end in inner:
+            if k != b"trun":
+                continue
+            flags, n = struct.unpack_from(">II", data, p)
+            p += 8
+            if flags & 1:
+                at = base + struct.unpack_from(">i", data, p)[0]
+                p += 4
+            first_flags = None
+            if flags & 4:
+                (first_flags,) = struct.unpack_from(">I", data, p)
+                p += 4
+            columns = [c for c, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+            if p + 4 * n * len(columns) > end or (1 not in columns and n * max(size, 1) > len(data)):
+                raise ValueError("a run is cut off")
+            rows = np.frombuffer(data, ">u4", n * len(columns), p).reshape(n, len(columns)).astype(np.int64)
+            column = lambda c, default: rows[:, columns.index(c)] if c in columns else np.full(n, default, np.int64)  # noqa: E731, B023
+            sizes, own_flags = column(1, size), column(2, sample_flags).copy()
+            if first_flags is not None and n and 2 not in columns:
+                own_flags[0] = first_flags
+            start = at + np.cumsum(sizes) - sizes
+            key = own_flags & 0x10000 == 0
+            track["ticks"] += int(column(0, ticks).sum())
+            track["n_samples"] += n
+            track["key_start"] += start[key].tolist()
+            track["key_end"] += (start + sizes)[key].tolist()
+            at += int(sizes.sum())
 
 
 def read_tracks(blob: bytes) -> list[dict]:
     """The tracks of a container, in their order."""
     data = memoryview(blob)
-    return [_track(data, x, y) for kind, a, b in boxes(data, 0, len(data)) if kind == b"moov" for inner, x, y in boxes(data, a, b) if inner == b"trak"]
+    found: list[dict] = []
+    tracks: dict[int, dict] = {}
+    defaults: dict[int, tuple[int, int, int]] = {}
+    at = 0
+    for kind, a, b in boxes(data, 0, len(data)):
+        if kind == b"moov":
+            for inner, x, y in boxes(data, a, b):
+                if inner == b"trak":
+                    found.append(_track(data, x, y))
+                    tracks.setdefault(found[-1]["track_id"], found[-1])
+                elif inner == b"mvex":
+                    for k, p, _ in boxes(data, x, y):
+                        if k == b"trex":
+                            _, track_id, _, ticks, size, flags = struct.unpack_from(">6I", data, p)
+                            defaults[track_id] = ticks, size, flags
+        elif kind == b"moof":
+            _fragment(data, at, a, b, defaults, tracks)
+        at = b
+    for t in found:
+        ticks, scale = t.pop("ticks"), t.pop("scale")
+        t["duration"] = ticks / scale if scale else None
+    return found
 
 
 def media_columns(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with ``tracks`` and ``media_error`` in place of the binary ``column``; columns of those two names are replaced.
 
     A null or empty blob has no tracks and no error, as has a container without a moov box; a malformed
-    one has null tracks and says why.  Every row stays, repeated ones and those with null ids too.
+    one (cut off, nested too deep, tables or samples beyond the container) has null tracks and says why.  Every
+    row stays, repeated ones and those with null ids too; an empty table stays empty.
     """
     names = [c for c in media.columns if c not in (column, "tracks", "media_error")]
     kind = pa.list_(pa.struct([("track_id", pa.int64()), ("kind", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("key_start", pa.list_(pa.int64())), ("key_end", pa.list_(pa.int64()))]))
 
     def f(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in K.text_slices(batch, column, SLICE)):
             tracks, errors = [], []
             for blob in b.column(column):
                 try:
                     tracks.append(read_tracks(blob.as_py() or b""))
                     errors.append(None)
-                except (ValueError, KeyError, struct.error, IndexError) as e:
+                except (ValueError, KeyError, struct.error, IndexError, OverflowError) as e:
                     tracks.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(tracks, kind), pa.array(errors, pa.string())], [*names, "tracks", "media_error"])
@@ -191,7 +293,12 @@ def multiplexed(docs: DataFrame) -> DataFrame:
 
 
 def keyframe_rows(media: DataFrame) -> DataFrame:
-    """media_columns() with a row for each keyframe: (doc_id, track_id, kind, codec, duration, n_samples, keyframe, key_start, key_end)."""
+    """media_columns() with a row for each keyframe: (doc_id, track_id, kind, codec, duration, n_samples, keyframe, key_start, key_end).
+
+    A track without keyframes gives one row with null keyframe; null, empty and trackless containers give no
+    rows, and neither do malformed ones: media_columns() says what is wrong with them.  Repeated rows give theirs
+    each time.
+    """
     t = media_columns(media).select("doc_id", F.explode("tracks").alias("t"))
     ranges = t.select("doc_id", "t.track_id", "t.kind", "t.codec", "t.duration", "t.n_samples", F.posexplode_outer(F.arrays_zip("t.key_start", "t.key_end")).alias("keyframe", "k"))
     return ranges.select("doc_id", "track_id", "kind", "codec", "duration", "n_samples", F.col("keyframe").cast("bigint").alias("keyframe"), F.col("k.key_start").alias("key_start"), F.col("k.key_end").alias("key_end"))

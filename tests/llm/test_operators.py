@@ -111,6 +111,15 @@ def test_decontamination_edges(spark, odd):
     assert decontam.without_contaminated(odd, items.where("false")).count() == len(ODD)
     assert decontam.contained_items(odd.where("false"), items).count() == 0
     assert [tuple(r) for r in decontam.contained_items(odd, items, at_once=1).collect()] == [(4, 1, 0)]
+    assert decontam.without_contaminated(odd, items, at_once=1).count() == len(ODD) - 2
+
+
+def test_index_of_many_long_items_is_cut_by_bytes(spark):
+    items = spark.createDataFrame([(i, " ".join(words(i, 100, 5000))) for i in range(300)], "item_id bigint, text string")
+    parts = list(decontam._indexes(items, 0.2, 20_000))
+    assert sum(len(p.ids) for p in parts) == 300 and len(parts) > 8
+    size = lambda p: sum(x.nbytes for x in p.words) + sum(x.nbytes for own in p.pieces.values() for x in own[:3])
+    assert max(map(size, parts)) < 25 * 20_000
 
 
 # 2
@@ -390,6 +399,54 @@ def test_media(spark):
     assert got[0]["other"] == "y" and got[3]["tracks"] == []
 
 
+def hand_made():
+    """A container by hand: version 1 heads, stco, several runs of chunks, sizes of 4 bits, no stss; then a fragment of two runs."""
+    u = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    box = lambda kind, *parts: u(8 + len(b"".join(parts))) + kind + b"".join(parts)
+    mdat = box(b"mdat", bytes(range(60)))
+    tkhd = box(b"tkhd", u(1 << 24, 0, 0, 0, 0, 7, 0, 0, 0), bytes(60))
+    mdhd = box(b"mdhd", u(1 << 24, 0, 0, 0, 0, 90000, 0, 0, 0))
+    sizes = [3, 5, 2, 9, 4]
+    stz2 = box(b"stz2", u(0, 4, 5), bytes([3 << 4 | 5, 2 << 4 | 9, 4 << 4]))
+    stsc = box(b"stsc", u(0, 2, 1, 2, 1, 3, 1, 1))
+    stco = box(b"stco", u(0, 3, 8, 30, 50))
+    stbl = box(b"stbl", box(b"stsd", u(0, 1), box(b"hvc1", bytes(70))), box(b"stts", u(0, 2, 2, 3000, 3, 1500)), stsc, stz2, stco)
+    trak = box(b"trak", tkhd, box(b"mdia", mdhd, box(b"hdlr", u(0, 0), b"vide", bytes(13)), box(b"minf", stbl)))
+    moov = box(b"moov", trak, box(b"mvex", box(b"trex", u(0, 7, 1, 100, 6, 0x10000))))
+    runs = box(b"trun", u(5, 2), u(500), u(0)), box(b"trun", u(0x200, 3, 1, 2, 3))
+    moof = box(b"moof", box(b"traf", box(b"tfhd", u(0x20000, 7)), *runs))
+    head = mdat + moov
+    want = [(8, 11), (11, 16), (30, 32), (32, 41), (50, 54), (len(head) + 500, len(head) + 506)]
+    return head + moof + bytes(600), want, sizes
+
+
+def test_media_by_hand():
+    blob, want, sizes = hand_made()
+    blob = blob[: -600] + (608).to_bytes(4, "big") + b"mdat" + bytes(600)
+    (track,) = isomedia.read_tracks(blob)
+    assert (track["track_id"], track["codec"], track["n_samples"]) == (7, "hvc1", 10)
+    assert list(zip(track["key_start"], track["key_end"])) == want
+    assert track["duration"] == pytest.approx((2 * 3000 + 3 * 1500 + 5 * 100) / 90000)
+
+
+def test_forged_media_cost_an_error_only(spark):
+    u = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    deep = b""
+    for _ in range(3000):
+        deep = u(8 + len(deep)) + b"stbl" + deep
+    deep = u(16 + len(deep)) + b"moov" + u(8 + len(deep)) + b"trak" + deep
+    whole = isomedia.multiplex(bytes(range(256)) * 40)
+    forged = []
+    for kind, skip, value in ((b"stsz", 8, 0xFFFFFFFF), (b"stsc", 12, 0xFFFFFFFF), (b"stts", 8, 0xFFFFFFFF), (b"co64", 8, 0xFFFFFFFF), (b"stss", 8, 0xFFFFFFFF)):
+        at = whole.rindex(kind) + skip
+        forged.append(whole[:at] + u(value) + whole[at + 4 :])
+    at = whole.rindex(b"stsz") + 8
+    forged.append(whole[:at] + u(1, 0xF0000000) + whole[at + 8 :])
+    got = isomedia.media_columns(spark.createDataFrame([(i, b) for i, b in enumerate([deep, *forged])], "doc_id bigint, media binary")).collect()
+    assert len(got) == 1 + len(forged) and got[0]["media_error"] and got[-1]["media_error"]
+    assert all((r["tracks"] is None) != (r["media_error"] is None) for r in got)
+
+
 # 9
 
 def test_templates(spark):
