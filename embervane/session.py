@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -24,9 +25,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset on one machine, as in tests, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="embervane-")
         spark.conf.set("spark.checkpoint.dir", at)
         atexit.register(shutil.rmtree, at, ignore_errors=True)
@@ -50,3 +53,9 @@ def discard(df: DataFrame) -> None:
             raise ValueError(f"{path} isn't a staged table")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are staged and done with, which it else does whenever the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
