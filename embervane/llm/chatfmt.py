@@ -21,6 +21,8 @@ from embervane.llm.common import map_arrow
 #: Reserved strings by name; their ids follow the vocabulary's.
 RESERVED = ("endoftext", "im_start", "im_end")
 TRAINED_ROLE = "assistant"
+#: Tokens that a batch of results holds before it is given on, one conversation at least.
+TOKENS_AT_ONCE = 1 << 18
 
 _CONTROL = re.compile(rf"<(\\*)\|({'|'.join(RESERVED)})\|>")
 _ESCAPED = re.compile(rf"<(\\*)\\\|({'|'.join(RESERVED)})\|>")
@@ -68,20 +70,34 @@ def format_chats(messages: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(conv_id, n_messages, tokens, loss_mask, n_tokens, n_trained) of every conversation.
 
     Messages go by turn, null turns first, ties by role and text; repeated rows are repeated messages.  A
-    null role is the role "unknown", a null text an empty content; rows with null conv_id are one
-    conversation of null id.  The mask is 1 on the assistant's contents and the ids that end them.  Other
-    columns are ignored; an empty table gives no rows.
+    null role is the role "unknown", a null text an empty content.  Rows with null conv_id belong to no
+    conversation in common: each is one of its own, of null id.  The mask is 1 on the assistant's contents and the
+    ids that end them.  A conversation is one row, however long.  Other columns are ignored; an empty table gives
+    no rows.
     """
     own = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("m"))
-    chats = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    chats = own.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    chats = chats.union(own.where("conv_id IS NULL").select("conv_id", F.array("m")))
     lists = pa.list_(pa.int32())
 
+    def made(done: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c for c, _, _, _ in done], pa.int64()), pa.array([n for _, n, _, _ in done], pa.int32()), pa.array([t for _, _, t, _ in done], lists), pa.array([k for _, _, _, k in done], lists), pa.array([len(t) for _, _, t, _ in done], pa.int32()), pa.array([int(k.sum()) for _, _, _, k in done], pa.int32())],
+            ["conv_id", "n_messages", "tokens", "loss_mask", "n_tokens", "n_trained"],
+        )
+
     def f(batches):
+        done: list = []
+        size = 0
         for b in batches:
-            done = [assemble([(m["role"], m["text"]) for m in chat], ranks) for chat in b.column("m").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), pa.array([len(m) for m in b.column("m")], pa.int32()), pa.array([t for t, _ in done], lists), pa.array([k for _, k in done], lists), pa.array([len(t) for t, _ in done], pa.int32()), pa.array([int(k.sum()) for _, k in done], pa.int32())],
-                ["conv_id", "n_messages", "tokens", "loss_mask", "n_tokens", "n_trained"],
-            )
+            for conv, chat in zip(b.column("conv_id"), b.column("m")):
+                chat = chat.as_py()
+                done.append((conv.as_py(), len(chat), *assemble([(m["role"], m["text"]) for m in chat], ranks)))
+                size += len(done[-1][2])
+                if size > TOKENS_AT_ONCE:
+                    yield made(done)
+                    done, size = [], 0
+        if done:
+            yield made(done)
 
     return map_arrow(chats, f, "conv_id bigint, n_messages int, tokens array<int>, loss_mask array<int>, n_tokens int, n_trained int")

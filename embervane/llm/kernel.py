@@ -51,10 +51,10 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(UTF-8 bytes, start of each row and the end) of a string array; null is empty."""
+    """(UTF-8 bytes, start of each row and the end) of a string array, or of a large binary one without nulls; null is empty."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
-    if not pa.types.is_large_string(texts.type):
+    if not pa.types.is_large_string(texts.type) and not pa.types.is_large_binary(texts.type):
         texts = texts.cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = texts.buffers()[2]

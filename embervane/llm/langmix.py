@@ -2,14 +2,16 @@
 
 A word's likelihood under a language is the product of its byte trigrams' probabilities, learned from
 labelled documents; under the background ``und`` every trigram is equally likely.  Expectation-maximisation
-finds the proportions of languages that make a document's words most likely.  It runs once for each of the
-nested sets of languages, by descending proportion in the run with all of them, and the set with the greatest
-likelihood less its penalty, half the logarithm of the number of words for each language beyond the first,
-times ``PENALTY``, is the document's.
+finds the proportions of languages that make a document's words most likely, and goes on until the likelihood is
+proven to lie within ``GAP`` of its greatest.  Of all sets of languages the one with the greatest likelihood less
+its penalty, half the logarithm of the number of words for each language beyond the first, times ``PENALTY``, is the
+document's.  No set is more likely than all languages together, so most sets need no run: once the best set found
+is as good as any larger one could be, the search ends.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,13 @@ TRAIN_PER_LANGUAGE = 500
 #: Rows of the training sample's ids that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_SAMPLE = 100_000
 BUCKETS = 1 << 15
-STEPS, PENALTY, SMOOTHING = 12, 4.0, 0.5
+PENALTY, SMOOTHING = 4.0, 0.5
+#: How far from the greatest log-likelihood expectation-maximisation may stop, in nats; steps between looks at which rows are done.
+GAP, LOOK = 0.05, 4
+#: A language takes part in sets of two or more where its proportion among all languages is above this.
+LEAST_SHARE = 1e-4
+#: Languages of a model at most: each has a row of the table that is sent to every executor.
+LANGUAGES = 256
 UND = "und"
 
 
@@ -62,7 +70,10 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang")
-    if ids.select("lang").distinct().count() * per_language <= BROADCAST_SAMPLE:
+    languages = ids.select("lang").distinct().count()
+    if languages > LANGUAGES:
+        raise ValueError(f"a model of {languages} languages isn't fitted: there may be {LANGUAGES}")
+    if languages * per_language <= BROADCAST_SAMPLE:
         some = F.broadcast(some)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(some, "doc_id")
 
@@ -86,21 +97,65 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
 
 
 def _em(lik: np.ndarray, at: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions: languages x rows, log-likelihood by row) of the allowed languages; lik: languages x words, at: bounds of rows with words."""
-    n = np.diff(at)
-    row = np.repeat(np.arange(len(n)), n)
-    share = allowed / allowed.sum(axis=0)
-    for step in range(STEPS + 1):
-        total = np.zeros(lik.shape[1], np.float64)
-        parts = []
-        for own, s in zip(lik, share):
-            parts.append(own * s[row])
-            total += parts[-1]
-        if step == STEPS:
-            return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)), at[:-1])
-        inverse = 1 / np.maximum(total, 1e-300)
-        share = np.stack([np.add.reduceat(p * inverse, at[:-1]) for p in parts]) / n
-    raise AssertionError
+    """(proportions: languages x rows, log-likelihood by row) of the allowed languages; lik: languages x words, at: bounds of rows with words.
+
+    The log-likelihood is concave in the proportions, so it lies below its greatest by at most n times (the greatest
+    mean ratio of an allowed language, less 1): a row is done where that is under ``GAP``.
+    """
+    shares = allowed / allowed.sum(axis=0)
+    value = np.zeros(len(at) - 1)
+    open_rows, n = np.arange(len(at) - 1), np.diff(at)
+    while True:
+        row = np.repeat(np.arange(len(n)), n)
+        share, own_at = shares[:, open_rows], np.concatenate([[0], np.cumsum(n)])[:-1]
+        for _ in range(LOOK):
+            total = np.einsum("lw,lw->w", lik, share[:, row])
+            inverse = 1 / np.maximum(total, 1e-300)
+            ratio = np.add.reduceat(lik * inverse, own_at, axis=1) / n
+            last, share = share, share * ratio
+        shares[:, open_rows] = last
+        value[open_rows] = np.add.reduceat(np.log(np.maximum(total, 1e-300)), own_at)
+        going = n * ((ratio * (allowed[:, open_rows] > 0)).max(axis=0) - 1) > GAP
+        if not going.any():
+            return shares, value
+        shares[:, open_rows[going]] = share[:, going]
+        lik, open_rows, n = lik[:, going[row]], open_rows[going], n[going]
+
+
+def _best_sets(lik: np.ndarray, at: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Proportions (languages x rows) of each row's best set, ``cost`` being the penalty of a language beyond the first."""
+    k, n = len(lik), np.diff(at)
+    full, greatest = _em(lik, at, np.ones((k, len(n))))
+    singles = np.add.reduceat(np.log(np.maximum(lik, 1e-300)), at[:-1], axis=1)
+    best = np.zeros((k, len(n)))
+    best[singles.argmax(axis=0), np.arange(len(n))] = 1
+    score = singles.max(axis=0)
+    for size in range(2, k + 1):
+        going = np.flatnonzero(score < greatest + GAP - cost * (size - 1))
+        if not len(going):
+            break
+        words = np.repeat(np.arange(len(n)), n)
+        rows_of = np.zeros(len(n), bool)
+        rows_of[going] = True
+        own, own_at = lik[:, rows_of[words]], np.concatenate([[0], np.cumsum(n[going])])
+        for members in itertools.combinations(range(k), size):
+            allowed = np.zeros((k, len(going)))
+            allowed[list(members)] = 1
+            if size == k:
+                share, value = full[:, going], greatest[going]
+            else:
+                # a set of languages that full proportions leave out can't be told from smaller ones
+                some = full[list(members)][:, going].min(axis=0) > LEAST_SHARE
+                if not some.any():
+                    continue
+                pick = np.flatnonzero(some)
+                take = some[np.repeat(np.arange(len(going)), n[going])]
+                share, value = np.zeros((k, len(going))), np.full(len(going), -np.inf)
+                share[:, pick], value[pick] = _em(own[:, take], np.concatenate([[0], np.cumsum(n[going][pick])]), allowed[:, pick])
+            better = value - cost[going] * (size - 1) > score[going]
+            best[:, going[better]] = share[:, better]
+            score[going[better]] = (value - cost[going] * (size - 1))[better]
+    return best
 
 
 def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +170,8 @@ def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY) -> tuple[n
     log = np.stack([np.add.reduceat(p[code], g_at[:-1]) for p in model.logp])
     top = log.max(axis=0)
     lik = np.exp(log - top)
-    at = np.concatenate([[0], np.cumsum(count[some])])
-    full, value = _em(lik, at, np.ones((len(lik), len(some))))
-    rank = np.argsort(np.argsort(-full, axis=0, kind="stable"), axis=0, kind="stable")
-    cost = penalty / 2 * np.log(count[some])
-    best, score = full, value - cost * (len(lik) - 1)
-    for k in range(len(lik) - 1, 0, -1):
-        share, value = _em(lik, at, (rank < k).astype(float))
-        better = value - cost * (k - 1) >= score
-        best, score = np.where(better, share, best), np.where(better, value - cost * (k - 1), score)
-    shares[:, some] = best
+    # a language's likelihood of a word stays above 0 in floating point
+    shares[:, some] = _best_sets(np.maximum(lik, 1e-280), np.concatenate([[0], np.cumsum(count[some])]), penalty / 2 * np.log(count[some]))
     return shares, count
 
 
@@ -137,7 +184,8 @@ def identify(docs: DataFrame, model: Model | None = None, penalty: float = PENAL
     """(doc_id, language, share, languages, n_words, rejected) of every row, repeated rows and null ids too.
 
     ``languages`` are the chosen set's (language, share) by descending share, ties by name; language and
-    share are the first's.  A null, empty or wordless text has no languages, 0 words, and is rejected.
+    share are the first's.  A null, empty or wordless text has no languages, 0 words, and is rejected.  Sets that
+    are equally good go to the smaller one, then the one whose names come first.
     Other columns are left out.  Without a model, one is trained on the table's own labels; an empty table
     gives no rows.
     """
@@ -162,7 +210,12 @@ def identify(docs: DataFrame, model: Model | None = None, penalty: float = PENAL
 
 
 def in_known_languages(docs: DataFrame, model: Model | None = None, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that aren't rejected."""
+    """The rows of ``docs``, all columns as they are, that aren't rejected.
+
+    Null, empty and wordless texts are rejected, whatever their label; rows with null ids or labels are judged by
+    their text alone, and of repeated rows all stay or all go.  A very long text is judged whole.  Where no row has a
+    label there is no language but the background, and every row is rejected; an empty table stays empty.
+    """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -28,6 +28,8 @@ LEAST, BAR = 12, 10.0
 CUT, INNER_CUT = 3.0, 8.0
 #: Random strings generated for each alphabet, and documents whose words are taken as ordinary samples at most.
 RANDOM_SAMPLES, ORDINARY_DOCS = 4000, 1000
+#: Labelled samples that are read for each label, and labels, at most.
+PER_LABEL, MOST_LABELS = 20_000, 64
 REDACTED = "[SECRET]"
 
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-"
@@ -65,35 +67,58 @@ def _fit(samples: list[str], smoothing: float) -> np.ndarray:
     return np.log(three / three.sum(axis=2, keepdims=True)).ravel()
 
 
-def train_models(words: list[str]) -> Models:
-    """From labelled samples: random strings, made here from a fixed seed, and ordinary ones, made of ``words``."""
+#: A labelled sample: (class, whether the class is of secrets, text).
+Sample = tuple[str, bool, str]
+
+
+def made_samples(words: list[str]) -> list[Sample]:
+    """Labelled samples for want of others: random strings of each alphabet, from a fixed seed, and ``words`` alone, joined to identifiers, and numbers."""
     rng = np.random.Generator(np.random.PCG64(4))
-    random = []
-    for chars in RANDOM.values():
+    out: list[Sample] = []
+    for name, chars in RANDOM.items():
         letters = np.array(list(chars))
-        random.append(_fit(["".join(letters[rng.integers(0, len(letters), n)]) for n in rng.integers(12, 65, RANDOM_SAMPLES)], 1e-3))
+        out += [(name, True, "".join(letters[rng.integers(0, len(letters), n)])) for n in rng.integers(12, 65, RANDOM_SAMPLES)]
     words = sorted({w for w in words if w}) or ["name", "value", "index"]
     pick = lambda: words[int(rng.integers(len(words)))]
-    made = []
+    out += [("word", False, w) for w in words]
     for _ in range(20_000):
         parts = [pick() for _ in range(int(rng.integers(2, 5)))]
         style = rng.integers(6)
         s = {0: "_".join(parts), 1: "-".join(parts), 2: parts[0].lower() + "".join(p.capitalize() for p in parts[1:]), 3: "/".join(parts), 4: "_".join(parts).upper(), 5: parts[0]}[int(style)]
-        made.append(s + str(rng.integers(0, 10_000)) * int(rng.integers(3) == 0))
-    numbers = []
+        out.append(("identifier", False, s + str(rng.integers(0, 10_000)) * int(rng.integers(3) == 0)))
     for _ in range(5000):
         n = "".join(map(str, rng.integers(0, 10, int(rng.integers(4, 24)))))
         style = rng.integers(4)
-        numbers.append(n if style else "-".join(n[i : i + 4] for i in range(0, len(n), 4)) if rng.integers(2) else f"20{n[:2]}-{n[2:4]}-{n[4:6]}" + ("T" if rng.integers(2) else "/") + n)
-    return Models(np.stack(random), np.stack([_fit(words, 1e-2), _fit(made, 1e-2), _fit(numbers, 1e-2)]), list(RANDOM))
-
-
-def train(docs: DataFrame, most_docs: int = ORDINARY_DOCS) -> Models:
-    """Models with the letter-only words of at most ``most_docs`` documents, chosen by a hash of their ids, as ordinary samples."""
+        out.append(("number", False, n if style else "-".join(n[i : i + 4] for i in range(0, len(n), 4)) if rng.integers(2) else f"20{n[:2]}-{n[2:4]}-{n[4:6]}" + ("T" if rng.integers(2) else "/") + n))
+    return out
+
+
+def fit_models(samples: list[Sample]) -> Models:
+    """A model for each class of labelled samples; there must be classes of secrets and ordinary ones."""
+    by: dict[tuple[bool, str], list[str]] = {}
+    for label, secret, text in samples:
+        by.setdefault((secret, label), []).append(text)
+    names = [label for secret, label in by if secret]
+    ordinary = [_fit(own, 1e-2) for (secret, _), own in by.items() if not secret]
+    if not names or not ordinary:
+        raise ValueError("samples of secrets and ordinary ones are needed")
+    return Models(np.stack([_fit(by[True, label], 1e-3) for label in names]), np.stack(ordinary), names)
+
+
+def train(docs: DataFrame, most_docs: int = ORDINARY_DOCS, samples: DataFrame | None = None) -> Models:
+    """Models of labelled samples (label, secret, text), at most ``PER_LABEL`` of each label by a hash of their text; without such a table, of made_samples() with the letter-only words of at most ``most_docs`` documents, chosen by a hash of their ids."""
+    if samples is not None:
+        from pyspark.sql.window import Window
+
+        own = samples.select(F.col("label").cast("string").alias("label"), F.col("secret").cast("boolean").alias("secret"), F.col("text").cast("string").alias("text")).dropna().distinct()
+        if own.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+            raise ValueError(f"there may be {MOST_LABELS} labels")
+        order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
+        return fit_models(sorted(tuple(r) for r in own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LABEL).drop("k").toLocalIterator()))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,30}(?![A-Za-z0-9+/_-])"), 0))).alias("w")).distinct()
-    return train_models([r[0] for r in words.orderBy("w").collect()])
+    return fit_models(made_samples([r[0] for r in words.orderBy("w").collect()]))
 
 
 def _scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, models: Models) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +249,7 @@ def scan(texts: pa.Array, models: Models, bar: float = BAR) -> tuple[np.ndarray,
 def find_secrets(docs: DataFrame, models: Models | None = None, bar: float = BAR) -> DataFrame:
     """(doc_id, start, length, kind, score): every secret of every row; start counts characters from 0, kind is the likeliest alphabet.
 
-    Rows with null ids or texts and texts without long runs give none; repeated rows give theirs each
+    Rows with null ids or texts and texts without runs of ``LEAST`` characters give none; repeated rows give theirs each
     time.  The secret itself isn't returned.  Other columns are ignored; an empty table gives no rows.
     """
     models = models or train(docs)
@@ -242,7 +267,11 @@ def find_secrets(docs: DataFrame, models: Models | None = None, bar: float = BAR
 
 
 def redact(docs: DataFrame, models: Models | None = None, bar: float = BAR) -> DataFrame:
-    """``docs`` with ``REDACTED`` in place of every secret; n_chars, where there is such a column, is the new length.  All rows and other columns stay as they are."""
+    """``docs`` with ``REDACTED`` in place of every secret; n_chars, where there is such a column, is the new length.
+
+    All rows and other columns stay as they are: null and empty texts, null ids, repeated rows, texts without runs
+    of ``LEAST`` characters, which aren't scored.  A very long text is searched whole; an empty table stays empty.
+    """
     models = models or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = docs.columns

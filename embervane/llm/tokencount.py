@@ -58,10 +58,11 @@ def counter(ranks: str = RANKS) -> PreTokenCounter:
 class SegmentTree:
     """Sums of (characters, tokens) over a document's leaves; node k has children 2k and 2k + 1, leaf i is node size + i."""
 
-    def __init__(self, text: str, counts: PreTokenCounter):
+    def __init__(self, text: str, counts: PreTokenCounter, leaves: tuple | None = None):
+        """The tree of a text; with kept ``leaves`` (characters, tokens) nothing is encoded."""
         self.counts = counts
         self.text = text
-        chars, tokens = counts.leaves(text)
+        chars, tokens = counts.leaves(text) if leaves is None else leaves
         self.size = 1 << max(0, (len(chars) - 1).bit_length())
         self.node = np.zeros((2 * self.size, 2), np.int64)
         self.node[self.size : self.size + len(chars), 0] = chars
@@ -73,6 +74,12 @@ class SegmentTree:
             width //= 2
         self.encoded = 0  # characters encoded anew by edits
 
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, tokens) of the leaves, those that edits have emptied left out."""
+        own = self.node[self.size :]
+        own = own[own[:, 0] > 0]
+        return own[:, 0], own[:, 1]
+
     @property
     def n_tokens(self) -> int:
         return int(self.node[1, 1])
@@ -95,8 +102,9 @@ class SegmentTree:
         """Replaces characters start to end, counted in the present text."""
         old = self.text
         if not old:
+            encoded = self.encoded
             self.__init__(new, self.counts)
-            self.encoded = len(new)
+            self.encoded = encoded + len(new)
             return
         first, a = self.leaf_at(min(start, len(old) - 1))
         # a synchronising point is a leaf's start; both characters at it must be outside the edit
@@ -166,7 +174,11 @@ def count_with_edits(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = ma
 
 
 def build_trees(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, text, chars, tokens): the leaves of every row's tree, to be kept in a table beside the text; null texts have null leaves."""
+    """(doc_id, text, chars, tokens): the leaves of every row's tree, to be kept in a table beside the text, for edit_trees().
+
+    One row for every row of ``docs``, repeated ones and null ids too; null texts have null leaves, empty ones none.
+    Other columns are left out; an empty table gives no rows.
+    """
     lists = pa.list_(pa.int32())
 
     def f(batches):
@@ -178,3 +190,33 @@ def build_trees(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(own, f, "doc_id bigint, text string, chars array<int>, tokens array<int>")
+
+
+def edit_trees(trees: DataFrame, edits_of: Callable[[str], list[Edit]] = masking_edits, ranks: str = RANKS) -> DataFrame:
+    """build_trees()'s table after edits: (doc_id, text, chars, tokens, n_tokens, n_edits, n_chars_encoded), the kept leaves of what edits don't touch taken over and only their surroundings encoded.
+
+    Every row stays; one with null text or leaves has null counts.  The result can be kept and edited again.
+    """
+    lists = pa.list_(pa.int32())
+
+    def f(batches):
+        counts = counter(ranks)
+        for batch in batches:
+            for b in K.text_slices(batch, "text"):
+                rows = []
+                for text, chars, tokens in zip(b.column("text"), b.column("chars"), b.column("tokens")):
+                    if not (text.is_valid and chars.is_valid and tokens.is_valid):
+                        rows.append((text.as_py(), None, None, None, None, None))
+                        continue
+                    text, leaves = text.as_py(), (chars.values.to_numpy(), tokens.values.to_numpy())
+                    edits = edits_of(text)
+                    if not edits:
+                        rows.append((text, *leaves, int(leaves[1].sum()), 0, 0))
+                        continue
+                    tree = SegmentTree(text, counts, leaves)
+                    tree.apply(edits)
+                    rows.append((tree.text, *tree.leaves(), tree.n_tokens, len(edits), tree.encoded))
+                text, chars, tokens, *numbers = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), pa.array(chars, lists), pa.array(tokens, lists), *(pa.array(x, pa.int64()) for x in numbers)], ["doc_id", "text", "chars", "tokens", "n_tokens", "n_edits", "n_chars_encoded"])
+
+    return map_arrow(trees.select("doc_id", "text", "chars", "tokens"), f, "doc_id bigint, text string, chars array<int>, tokens array<int>, n_tokens bigint, n_edits bigint, n_chars_encoded bigint")

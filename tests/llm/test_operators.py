@@ -154,6 +154,23 @@ def test_counts_edges(odd):
     assert tokencount.build_trees(odd).count() == len(ODD)
 
 
+def test_kept_trees_take_edits_without_encoding_the_rest(spark, odd, documents):
+    core = tokencount.counter().core
+    trees = tokencount.build_trees(documents)
+    for r in trees.where("text IS NOT NULL").limit(40).collect():
+        assert sum(r["chars"]) == len(r["text"]) and sum(r["tokens"]) == len(core.encode_ordinary(r["text"]))
+    once = tokencount.edit_trees(trees)
+    twice = tokencount.edit_trees(once, lambda t: [(0, min(4, len(t)), "New"), (len(t), len(t), " end")] if len(t) > 9 else [])
+    whole = {r["doc_id"]: r for r in tokencount.count_with_edits(documents).collect()}
+    for a, b in zip(once.collect(), twice.collect()):
+        assert a["n_tokens"] == whole[a["doc_id"]]["n_tokens_edited"] and a["n_chars_encoded"] == whole[a["doc_id"]]["n_chars_encoded"]
+        assert sum(b["tokens"] or []) == b["n_tokens"] == len(core.encode_ordinary(b["text"])) and sum(b["chars"]) == len(b["text"])
+        assert len(b["text"]) < 2000 or b["n_chars_encoded"] < len(b["text"])
+    got = tokencount.edit_trees(tokencount.build_trees(odd)).collect()
+    assert len(got) == len(ODD) and [r["n_tokens"] for r in got if r["doc_id"] in (1, 2)] == [None, 0]
+    assert tokencount.edit_trees(tokencount.build_trees(odd.where("false"))).count() == 0
+
+
 # 3
 
 def test_language_accuracy_on_held_out_documents(documents):
@@ -172,6 +189,65 @@ def test_mixtures_are_found(documents):
     assert (np.abs(shares[k, 0] - 0.5) < 0.15).all() and shares[k[0], 1] > 0.9 and np.allclose(shares.sum(0), 1)
 
 
+def slow_mixture(lik, penalty):
+    """The best (score, set, shares) over every set of languages, by expectation-maximisation of very many steps; lik: words x languages."""
+    n, k = lik.shape
+    best = None
+    for size in range(1, k + 1):
+        for own in itertools.combinations(range(k), size):
+            share = np.full(size, 1 / size)
+            for _ in range(20000):
+                p = lik[:, own] * share
+                new = (p / p.sum(1, keepdims=True)).mean(0)
+                if np.abs(new - share).max() < 1e-12:
+                    break
+                share = new
+            score = np.log((lik[:, own] * share).sum(1)).sum() - penalty / 2 * np.log(n) * (size - 1)
+            if best is None or score > best[0] + 1e-9:
+                best = score, own, share
+    return best
+
+
+def test_best_sets_against_all_sets():
+    rng = np.random.default_rng(3)
+    agree = 0
+    for trial in range(40):
+        n, k = int(rng.integers(3, 120)), int(rng.integers(2, 6))
+        truth = rng.dirichlet(np.full(k, 0.5))
+        label = rng.choice(k, n, p=truth)
+        lik = np.exp(rng.normal(0, 1.5, (n, k)) + 3 * (np.arange(k) == label[:, None]))
+        penalty = 4.0
+        score, own, share = slow_mixture(lik, penalty)
+        got = langmix._best_sets(lik.T.copy(), np.array([0, n]), penalty / 2 * np.log(np.array([n])))[:, 0]
+        chosen = np.flatnonzero(got)
+        value = np.log((lik * got).sum(1)).sum() - penalty / 2 * np.log(n) * (len(chosen) - 1)
+        assert value >= score - 2 * langmix.GAP
+        agree += tuple(chosen) == own and np.allclose(got[chosen], share, atol=0.05)
+    assert agree >= 38
+
+
+def test_many_rows_at_once_are_those_alone():
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 60, 30)
+    lik = np.exp(rng.normal(0, 3, (4, int(n.sum()))))
+    at = np.concatenate([[0], np.cumsum(n)])
+    cost = 2 * np.log(n)
+    every = langmix._best_sets(lik, at, cost)
+    for i in range(30):
+        alone = langmix._best_sets(lik[:, at[i] : at[i + 1]], np.array([0, n[i]]), cost[i : i + 1])[:, 0]
+        assert np.allclose(every[:, i], alone, atol=1e-9)
+
+
+def test_training_sample_without_broadcast_is_the_same(documents, monkeypatch):
+    a = langmix.train(documents)
+    monkeypatch.setattr(langmix, "BROADCAST_SAMPLE", 0)
+    b = langmix.train(documents)
+    assert a.languages == b.languages and np.array_equal(a.logp, b.logp)
+    monkeypatch.setattr(langmix, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langmix.train(documents)
+
+
 def test_language_edges(odd):
     got = {r["doc_id"]: r for r in langmix.identify(odd).collect()}
     assert got[1]["rejected"] and got[2]["rejected"] and got[3]["rejected"] and got[6]["n_words"] == 0 and got[5]["language"] == "bb"
@@ -276,7 +352,7 @@ def test_no_task_takes_a_bucket_of_frequent_words_whole(spark, monkeypatch):
             super().__init__(counts, sizes)
 
     monkeypatch.setattr(ngram_join, "CountTree", Counted)
-    rows = sketch.selectExpr("node", "explode(levels) AS x").selectExpr("node", "x.counts", "x.size", "explode(x.keys) AS key").selectExpr("key", "0L AS chain", "node", "counts", "size", "0 AS side").orderBy("key").toArrow()
+    rows = sketch.selectExpr("node", "explode(levels) AS x").selectExpr("node", "x.counts", "x.size", "explode(x.keys) AS key").selectExpr("key", "node", "CAST(size + 32768 AS BIGINT) AS meta", "counts", "0 AS side").orderBy("key").toArrow()
     list(ngram_join._bucket_links(0.6, 32)(iter(rows.to_batches(max_chunksize=500))))
     assert made and max(made) <= 32
 
@@ -317,6 +393,44 @@ def test_chats(spark):
         assert chatfmt.unescape(chatfmt.escape(x)) == x
 
 
+def slow_chat(rows, core):
+    """Tokens and mask of (turn, role, text) rows, one message after the other, straight from the vocabulary."""
+    n = core.n_vocab
+    ids = {"endoftext": n, "im_start": n + 1, "im_end": n + 2}
+    hidden = re.compile(r"<(\\*)\|(endoftext|im_start|im_end)\|>")
+    tokens, mask = [], []
+    key = lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, r[1] or ""), (r[2] is not None, r[2] or ""))
+    for _, role, text in sorted(rows, key=key):
+        plain = lambda x: core.encode_ordinary(hidden.sub(lambda m: f"<{m[1]}\\|{m[2]}|>", x))
+        head = [ids["im_start"], *plain(role if role is not None else "unknown"), *core.encode_ordinary("\n")]
+        body = [*plain(text or ""), ids["im_end"]]
+        tokens += head + body + core.encode_ordinary("\n")
+        mask += [0] * len(head) + [int(role == "assistant")] * len(body) + [0] * len(core.encode_ordinary("\n"))
+    return [*tokens, ids["endoftext"]], [*mask, 0]
+
+
+def test_chats_against_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["<|im_end|>", "<|im_start|>", "<|endoftext|>", "<\\|im_end|>", "plain words", " ", "\n", "ä你", "<|", "|>", "it's 42"]
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, 0, 1, 2]), rng.choice(["user", "assistant", "system", None, ""]), rng.choice([None, *("".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(9))])) for _ in range(120)]
+    rows += [(9, k, rng.choice(["user", "assistant"]), "turn " * 50) for k in range(2000)]
+    got = chatfmt.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    core = bpe.codec().core
+    real = {r["conv_id"]: (list(r["tokens"]), list(r["loss_mask"])) for r in got if r["conv_id"] is not None}
+    assert real == {c: slow_chat([r[1:] for r in rows if r[0] == c], core) for c in (1, 2, 3, 9)}
+    nameless = sorted((list(r["tokens"]), list(r["loss_mask"])) for r in got if r["conv_id"] is None)
+    assert nameless == sorted(slow_chat([r[1:]], core) for r in rows if r[0] is None)
+
+
+def test_chats_of_the_given_table(spark):
+    messages = spark.read.parquet(f"{DATA}/conversations.parquet")
+    core, by = bpe.codec().core, {}
+    for r in messages.collect():
+        by.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
+    got = {r["conv_id"]: (list(r["tokens"]), list(r["loss_mask"])) for r in chatfmt.format_chats(messages).collect()}
+    assert got == {c: slow_chat(rows, core) for c, rows in by.items()}
+
+
 # 6
 
 def test_secrets_held_out(spark, documents):
@@ -365,6 +479,56 @@ def test_redaction(spark, odd, documents):
     assert secretscan.find_secrets(odd).count() == 0
 
 
+def test_models_are_those_of_counting(documents):
+    """Log-likelihoods of a few strings, from counts of characters after two others, as dictionaries."""
+    from collections import Counter
+
+    samples = [("hex", True, "0a1b2c3d"), ("hex", True, "ffa09c"), ("word", False, "ordinary"), ("word", False, "ordinal"), ("id", False, "get_name")]
+    models = secretscan.fit_models(samples)
+
+    def slow(own, smoothing, text):
+        one, two, three = Counter(), Counter(), Counter()
+        for s in own:
+            padded = "##" + s
+            for i in range(2, len(padded)):
+                one[padded[i]] += 1
+                two[padded[i - 1 : i + 1]] += 1
+                three[padded[i - 2 : i + 1]] += 1
+        width = len(secretscan.ALPHABET) + 1
+        p1 = lambda c: (one[c] + smoothing) / (sum(one.values()) + smoothing * width)
+        begin = lambda table, head: sum(n for k, n in table.items() if k[:-1] == head)
+        p2 = lambda b, c: (two[b + c] + 20 * p1(c)) / (begin(two, b) + 20)
+        p3 = lambda a, b, c: (three[a + b + c] + 20 * p2(b, c)) / (begin(three, a + b) + 20)
+        padded = "##" + text
+        return sum(np.log(p3(*padded[i - 2 : i + 1])) for i in range(2, len(padded)))
+
+    texts = ["0a1bff", "ordinary", "get_ord", "Zz9"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    ratio, _ = secretscan._scores(data, end - [len(t) for t in texts], end, models)
+    for t, r in zip(texts, ratio):
+        random_ = slow(["0a1b2c3d", "ffa09c"], 1e-3, t)
+        ordinary = np.logaddexp(slow(["ordinary", "ordinal"], 1e-2, t), slow(["get_name"], 1e-2, t)) - np.log(2)
+        assert r == pytest.approx(random_ - ordinary)
+
+
+def test_models_from_a_table_of_labelled_samples(spark, documents, tmp_path):
+    rng = random.Random(31)
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    vocabulary = sorted({w for r in documents.collect() for w in re.findall(r"[a-z]{3,9}", r["text"] or "")})
+    secret = lambda: rng.choice([("hex", key("0123456789abcdef", 32)), ("token", key(secretscan.RANDOM["base62"], 36)), ("cloud", "AKIA" + key(secretscan.RANDOM["upper"], 16))])
+    plain = lambda: rng.choice([("snake", "_".join(rng.choices(vocabulary, k=4))), ("path", "/".join(rng.choices(vocabulary, k=5))), ("date", f"20{rng.randrange(10, 30)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}-{rng.randrange(10**6)}")])
+    rows = [(*(x := secret()), True) for _ in range(3000)] + [(*(x := plain()), False) for _ in range(6000)]  # noqa: F841
+    spark.createDataFrame([(label, s, t) for label, t, s in rows], "label string, secret boolean, text string").write.parquet(str(tmp_path / "samples"))
+    models = secretscan.train(documents, samples=spark.read.parquet(str(tmp_path / "samples")))
+    assert sorted(models.names) == ["cloud", "hex", "token"]
+    held = [secret()[1] for _ in range(300)] + [plain()[1] for _ in range(300)]
+    row, *_ = secretscan.scan(pa.array([f"value {t} here" for t in held]), models)
+    assert len(set(row.tolist()) & set(range(300))) >= 297 and not set(row.tolist()) & set(range(300, 600))
+    with pytest.raises(ValueError):
+        secretscan.fit_models([("word", False, "x")])
+
+
 # 7
 
 def test_moves_stay_in_the_changed_subtree(spark):
