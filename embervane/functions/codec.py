@@ -40,9 +40,9 @@ def signs(dim: int, seed: int = 42) -> np.ndarray:
 
 
 @functools.lru_cache(8)
-def rotation(dim: int, seed: int = 42) -> np.ndarray:
-    """The orthogonal matrix R of r = R v: Hadamard with flipped signs for powers of two, QR of a seeded normal matrix else."""
-    if dim & (dim - 1):
+def rotation(dim: int, seed: int = 42, family: str = "auto") -> np.ndarray:
+    """The orthogonal matrix R of r = R v: ``hadamard`` with flipped signs, for powers of two, or ``qr`` of a seeded normal matrix; ``auto`` is the first where it can be."""
+    if family == "qr" or (family == "auto" and dim & (dim - 1)):
         return np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
     h = np.ones((1, 1))
     while len(h) < dim:
@@ -68,18 +68,22 @@ class Codec:
     dim: int
     bits: int = 4
     seed: int = 42
+    family: str = "auto"
+
+    def rotated_by(self) -> np.ndarray:
+        return rotation(self.dim, self.seed, self.family)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.asarray(x, np.float64)
         n = np.sqrt((x * x).sum(axis=1))
-        r = (x / np.maximum(n, 1e-30)[:, None]) @ rotation(self.dim, self.seed).T
+        r = (x / np.maximum(n, 1e-30)[:, None]) @ self.rotated_by().T
         return np.searchsorted(bounds(self.bits, self.dim), r, side="left").astype(np.int8), n
 
     def rotated(self, codes: np.ndarray) -> np.ndarray:
         return levels(self.bits, self.dim)[codes]
 
     def decode(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.rotated(codes) @ rotation(self.dim, self.seed)) * np.asarray(n)[:, None]
+        return (self.rotated(codes) @ self.rotated_by()) * np.asarray(n)[:, None]
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -155,29 +159,36 @@ def unpack_tight(data: bytes, bits: int, n: int) -> np.ndarray:
     return (flat << np.arange(bits)).sum(axis=1).astype(np.int8)
 
 
-_RECORD = struct.Struct("<4sBBHIfI")
+_RECORD, _TURNED = struct.Struct("<4sBBHIfI"), struct.Struct("<4sBBHIfBI")
+_FAMILIES = ("qr", "hadamard")
 
 
 def record(codec: Codec, codes: np.ndarray, n: float) -> bytes:
-    """A self-describing record of one vector: magic, version, bits, dimension, seed, norm, length, packed codes."""
+    """A self-describing record of one vector: magic, version, bits, dimension, seed, norm, length, packed codes; version 2 tells the rotation too, version 1 is QR's."""
     data = pack_tight(codes, codec.bits)
-    return _RECORD.pack(b"TQE1", 1, codec.bits, codec.dim, codec.seed, n, len(data)) + data
+    family = codec.family if codec.family != "auto" else "qr" if codec.dim & (codec.dim - 1) else "hadamard"
+    if family == "qr":
+        return _RECORD.pack(b"TQE1", 1, codec.bits, codec.dim, codec.seed, n, len(data)) + data
+    return _TURNED.pack(b"TQE1", 2, codec.bits, codec.dim, codec.seed, n, _FAMILIES.index(family), len(data)) + data
 
 
 def records(data: bytes) -> list[tuple[Codec, np.ndarray, float]]:
-    """The records of a stream; a wrong magic, version or width and cut off data are errors."""
+    """The records of a stream; a wrong magic, version, width or rotation and cut off data are errors."""
     out, at = [], 0
     while at < len(data):
-        if len(data) - at < _RECORD.size:
+        kind = _TURNED if data[at + 4 : at + 5] == b"\2" else _RECORD
+        if len(data) - at < kind.size:
             raise ValueError("a record is cut off")
-        magic, version, bits, dim, seed, n, size = _RECORD.unpack_from(data, at)
-        if magic != b"TQE1" or version != 1 or bits not in _HALF:
+        magic, version, bits, dim, seed, n, *turned, size = kind.unpack_from(data, at)
+        if magic != b"TQE1" or version not in (1, 2) or bits not in _HALF or (turned and turned[0] >= len(_FAMILIES)):
             raise ValueError("not a record of a known version")
-        body = data[at + _RECORD.size : at + _RECORD.size + size]
+        body = data[at + kind.size : at + kind.size + size]
         if len(body) < size:
             raise ValueError("a record is cut off")
-        out.append((Codec(dim, bits, seed), unpack_tight(body, bits, dim), n))
-        at += _RECORD.size + size
+        family = _FAMILIES[turned[0]] if turned else "qr"
+        auto = "qr" if dim & (dim - 1) else "hadamard"
+        out.append((Codec(dim, bits, seed, "auto" if family == auto else family), unpack_tight(body, bits, dim), n))
+        at += kind.size + size
     return out
 
 

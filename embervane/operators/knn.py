@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from embervane.functions.codec import Codec, encode, matrix, rotation, usable
+from embervane.functions.codec import Codec, encode, matrix, usable
 from embervane.session import prepare
 
 CHUNK = 8192
@@ -94,19 +94,29 @@ def adc_topk(index: DataFrame, queries: DataFrame, codec: Codec, k: int = 10, me
     """topk() on the codes of encode(): only codes and norms are moved, and decoded within a block in rotated space."""
     codes = _column("codes", codec.dim)
     base = lambda t: codec.rotated(codes(t)) * t.column("cnorm").to_numpy()[:, None]
-    query = lambda t: _column("vec", codec.dim)(t) @ rotation(codec.dim, codec.seed).T
+    query = lambda t: _column("vec", codec.dim)(t) @ codec.rotated_by().T
     hits = _pairs(index.select("id", "codes", "cnorm"), usable(queries, id, vec, codec.dim), _top(k, exclude_self, metric, codec.dim, base, query), "query bigint, id bigint, score double")
     return best(hits, k)
 
 
-def rerank(hits: DataFrame, originals: DataFrame, queries: DataFrame, k: int, dim: int = 64, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """The k best of a shortlist by exact cosine: two joins by id, no other rows of ``originals`` are touched."""
-    from embervane.functions.vector import cosine
-
+def rerank(hits: DataFrame, originals: DataFrame, queries: DataFrame, k: int, dim: int = 64, id: str = "vec_id", vec: str = "embedding", metric: str = "cosine") -> DataFrame:
+    """The k best of a shortlist by the exact metric: two joins by id, no other rows of ``originals`` are touched, and one matrix product a batch."""
     o = usable(originals, id, vec, dim)
     q = usable(queries, id, vec, dim).select(F.col("id").alias("query"), F.col("vec").alias("qv"))
-    exact = hits.select("query", "id").join(o, "id").join(q, "query").select("query", "id", cosine(F.col("qv"), F.col("vec")).alias("score"))
-    return best(exact, k)
+
+    def f(batches):
+        for b in batches:
+            a, x = matrix(b.column("qv"), dim), matrix(b.column("vec"), dim)
+            s = (a * x).sum(1)
+            if metric == "cosine":
+                s = s / np.maximum(np.sqrt((a * a).sum(1) * (x * x).sum(1)), 1e-30)
+            elif metric == "l2":
+                s = -np.sqrt(((a - x) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array(s)], ["query", "id", "score"])
+
+    prepare(hits.sparkSession)
+    pairs = hits.select("query", "id").join(o, "id").join(q, "query").select("query", "id", "qv", "vec")
+    return best(pairs.mapInArrow(f, "query bigint, id bigint, score double"), k)
 
 
 def search(docs: DataFrame, queries: DataFrame, codec: Codec, k: int = 10, fetch: int = 4, exclude_self: bool = False) -> DataFrame:
@@ -136,9 +146,37 @@ def centroids(df: DataFrame, by: str, dim: int = 64, vec: str = "embedding") ->
     return s.select("cell", F.array(*(f"s{j}" for j in range(dim))).alias("c")).select("cell", normalize(F.col("c")).alias("centroid"))
 
 
+#: Bytes of centroids that are sent to every executor at most; more are met by a shuffle of both sides.
+CENTROID_BYTES = 32 << 20
+
+
+def nearest_cells(df: DataFrame, cells: DataFrame, n: int, dim: int = 64, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(query, rank, id, score): of each row the n nearest cells by cosine, ties to the lesser cell."""
+    known = cells.select(F.col("cell").cast("bigint").alias("cell"), "centroid")
+    if known.count() * dim * 8 > CENTROID_BYTES:
+        return topk(known, df.select(F.col(id).alias("cell"), F.col(vec).alias("centroid")), n, "cosine", dim, id="cell", vec="centroid")
+    got = known.orderBy("cell").collect()
+    c = np.array([r["centroid"] for r in got], np.float64).reshape(-1, dim)
+    shared = df.sparkSession.sparkContext.broadcast((np.array([r["cell"] for r in got], np.int64), c))
+
+    def f(batches):
+        names, c = shared.value
+        for b in batches:
+            x = matrix(b.column("vec"), dim)
+            keep = min(n, len(names))
+            for a in range(0, len(x), 4096):
+                s = _scores("cosine", x[a : a + 4096], c)
+                order = np.argsort(-np.round(s, DECIMALS), axis=1, kind="stable")[:, :keep]
+                rows = np.repeat(b.column("id").to_numpy()[a : a + 4096], keep)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.tile(np.arange(keep, dtype=np.int32), len(s))), pa.array(names[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query", "rank", "id", "score"])
+
+    prepare(df.sparkSession)
+    return usable(df, id, vec, dim).mapInArrow(f, "query bigint, rank int, id bigint, score double")
+
+
 def assign(df: DataFrame, cells: DataFrame, dim: int = 64, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(id, cell, angle) of each row's nearest centroid by cosine, ties to the least cell."""
-    near = topk(cells, df.select(F.col(id).alias("cell"), F.col(vec).alias("centroid")), 1, "cosine", dim, id="cell", vec="centroid")
+    near = nearest_cells(df, cells, 1, dim, id, vec)
     return near.select(F.col("query").alias("id"), F.col("id").cast("int").alias("cell"), F.acos(F.least(F.greatest(F.col("score"), F.lit(-1.0)), F.lit(1.0))).alias("angle"))
 
 
@@ -153,38 +191,44 @@ def spherical_kmeans(df: DataFrame, k: int, rounds: int = 5, dim: int = 64, id:
     return cells
 
 
-def ivf_search(df: DataFrame, cells: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, dim: int = 64, exclude_self: bool = False, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(query, rank, id, score): an equi-join of each query's nprobe nearest cells with the rows in them, scored as built-in expressions."""
-    rows = assign(df, cells, dim, id, vec).join(usable(df, id, vec, dim), "id").select("cell", "id", "vec")
-    probes = topk(cells, queries.select(F.col(id).alias("cell"), F.col(vec).alias("centroid")), nprobe, "cosine", dim, id="cell", vec="centroid")
-    return best(_probed(rows, probes, usable(queries, id, vec, dim), exclude_self), k)
+def scan_cells(rows: DataFrame, probes: DataFrame, queries: DataFrame, k: int, dim: int, exclude_self: bool = False, metric: str = "cosine", base_matrix=None, query_matrix=None) -> DataFrame:
+    """(query, id, score): of every probe (query, cell) the k best of the cell's rows (cell, id, vec ...), a matrix product for each chunk of a cell.
 
+    A cell of more than ``CHUNK`` rows is cut by a hash of the ids, so no cell is gathered in one task; a cell's
+    queries meet each of its chunks.
+    """
+    prepare(rows.sparkSession)
+    chunks = rows.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    base = rows.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
+    asked = probes.select("query", F.col("cell").cast("int").alias("cell")).join(F.broadcast(chunks), "cell").join(queries.select(F.col("id").alias("query"), "vec"), "query")
+    asked = asked.select(F.col("query").alias("id"), "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    f = _top(k, exclude_self, metric, dim, base_matrix or _column("vec", dim), query_matrix or _column("vec", dim))
+    return base.groupBy("cell", "chunk").cogroup(asked.groupBy("cell", "chunk")).applyInArrow(f, "query bigint, id bigint, score double")
 
-def _probed(rows: DataFrame, probes: DataFrame, queries: DataFrame, exclude_self: bool) -> DataFrame:
-    from embervane.functions.vector import cosine
 
-    q = queries.select(F.col("id").alias("query"), F.col("vec").alias("qv"))
-    hits = probes.select("query", F.col("id").cast("int").alias("cell")).join(q, "query").join(rows, "cell")
-    if exclude_self:
-        hits = hits.where("query <> id")
-    return hits.select("query", "id", cosine(F.col("qv"), F.col("vec")).alias("score"))
+def ivf_search(df: DataFrame, cells: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, dim: int = 64, exclude_self: bool = False, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(query, rank, id, score): the k best of each query's nprobe nearest cells."""
+    rows = assign(df, cells, dim, id, vec).join(usable(df, id, vec, dim), "id").select("cell", "id", "vec")
+    probes = nearest_cells(queries, cells, nprobe, dim, id, vec).select("query", F.col("id").alias("cell"))
+    return best(scan_cells(rows, probes, usable(queries, id, vec, dim), k, dim, exclude_self), k)
 
 
-def ivf_exact(df: DataFrame, cells: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, dim: int = 64, exclude_self: bool = False, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def ivf_exact(df: DataFrame, cells: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, dim: int = 64, exclude_self: bool = False, id: str = "vec_id", vec: str = "embedding", radius_scale: float = 1.0) -> DataFrame:
     """(query, rank, id, score) as of ``topk`` by cosine: after the nprobe nearest cells, each query goes on to every cell that can hold a better row than its k-th.
 
-    A cell can't where the angle to its centroid, less the cell's radius, exceeds the angle of the k-th.
+    A cell can't where the angle to its centroid, less ``radius_scale`` times the cell's radius, exceeds the angle of
+    the k-th; with a scale under 1 fewer cells are opened and some rows may be missed.
     """
     from embervane.session import staged
 
     assigned = staged(assign(df, cells, dim, id, vec), "assigned")
     rows = assigned.join(usable(df, id, vec, dim), "id").select("cell", "id", "vec")
     q = usable(queries, id, vec, dim)
-    probes = staged(topk(cells, queries.select(F.col(id).alias("cell"), F.col(vec).alias("centroid")), max(1, cells.count()), "cosine", dim, id="cell", vec="centroid"), "probes")
-    first = staged(best(_probed(rows, probes.where(F.col("rank") < nprobe), q, exclude_self), k), "first")
+    probes = staged(nearest_cells(queries, cells, max(1, cells.count()), dim, id, vec), "probes")
+    first = staged(best(scan_cells(rows, probes.where(F.col("rank") < nprobe).select("query", F.col("id").alias("cell")), q, k, dim, exclude_self), k), "first")
     angle = lambda c: F.acos(F.least(F.greatest(F.col(c), F.lit(-1.0)), F.lit(1.0)))
     kth = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     radius = assigned.groupBy(F.col("cell").cast("bigint").alias("id")).agg(F.max("angle").alias("radius"))
     # the angle by which scores that round alike may differ near 1
-    open_cells = probes.where(F.col("rank") >= nprobe).join(radius, "id").join(kth, "query", "left").where(F.col("kth").isNull() | (angle("score") - F.col("radius") <= angle("kth") + 1e-4))
-    return best(first.select("query", "id", "score").union(_probed(rows, open_cells, q, exclude_self)), k)
+    open_cells = probes.where(F.col("rank") >= nprobe).join(radius, "id").join(kth, "query", "left").where(F.col("kth").isNull() | (angle("score") - radius_scale * F.col("radius") <= angle("kth") + 1e-4))
+    return best(first.select("query", "id", "score").union(scan_cells(rows, open_cells.select("query", F.col("id").alias("cell")), q, k, dim, exclude_self)), k)

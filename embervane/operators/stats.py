@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from embervane.functions.codec import matrix, usable
-from embervane.functions.vector import cosine, distance
+from embervane.functions.vector import distance
 from embervane.session import prepare
 
 
@@ -64,46 +64,23 @@ def suggest_dim(eigenvalues: np.ndarray, target: float = 0.95) -> int:
     return int(np.searchsorted(share, target - 1e-12) + 1)
 
 
-def pair_distances(anchors: DataFrame, approx: DataFrame) -> DataFrame:
-    """(a, b, exact, approx) cosine distances of the pairs of anchors (id, vec), a < b, and of the same ids of ``approx``."""
-    x = anchors.select("id", "vec").join(approx.select("id", F.col("vec").alias("avec")), "id")
-    y = x.select(F.col("id").alias("b"), F.col("vec").alias("v2"), F.col("avec").alias("a2"))
-    return x.join(y, F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", (1 - cosine(F.col("vec"), F.col("v2"))).alias("exact"), (1 - cosine(F.col("avec"), F.col("a2"))).alias("approx"))
-
-
-def kappa(pairs: DataFrame, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """One row (kappa, pairs): ratio of the upper to the lower percentile of approx / exact, at least 1, over pairs with both above 0."""
-    r = pairs.where("exact > 0 AND approx > 0").select((F.col("approx") / F.col("exact")).alias("r"))
-    return r.agg(F.greatest(F.percentile("r", F.lit(hi)) / F.percentile("r", F.lit(lo)), F.lit(1.0)).alias("kappa"), F.count("*").alias("pairs"))
-
-
-def certificate(pairs: DataFrame) -> DataFrame:
-    """One row (kappa, mu_hat, tau_floor, rho_floor, vacuous); mu_hat is the share of pairs of distances within the ratio kappa."""
-    k = kappa(pairs)
-    d = pairs.where("exact > 0").select(F.log("exact").alias("l"))
-    k_row = k.first()
-    width = math.log(k_row["kappa"]) if k_row["kappa"] else 0.0
-    m = d.select(F.expr(f"count(*) OVER (ORDER BY l RANGE BETWEEN CURRENT ROW AND {width!r}D FOLLOWING)").alias("c")).agg(F.sum(F.col("c") - 1).alias("close"), F.count("*").alias("n"))
-    mu = F.col("close") / (F.col("n") * (F.col("n") - 1) / 2)
-    return k.crossJoin(m).select("kappa", mu.alias("mu_hat"), (1 - 2 * mu).alias("tau_floor"), (1 - 3 * mu).alias("rho_floor"), (1 - 2 * mu <= 0).alias("vacuous"))
-
-
-def agreement(df: DataFrame, base: str, quant: str) -> DataFrame:
-    """One row of flips between two 0/1 columns over rows that have both: rates, net change, McNemar's statistic (0 without flips)."""
-    both = df.where(F.col(base).isNotNull() & F.col(quant).isNotNull()).select((F.col(base) == 1).alias("b"), (F.col(quant) == 1).alias("q"))
-    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
-    s = both.agg(F.count("*").alias("n"), one(F.col("b") & F.col("q")).alias("both_right"), one(F.col("b") & ~F.col("q")).alias("regressions"), one(~F.col("b") & F.col("q")).alias("recoveries"))
-    flips = F.col("regressions") + F.col("recoveries")
-    diff = F.abs(F.col("regressions") - F.col("recoveries"))
-    return s.select("n", "both_right", "regressions", "recoveries", (flips / F.col("n")).alias("churn"), ((F.col("recoveries") - F.col("regressions")) / F.col("n")).alias("net"), F.when(flips > 0, F.pow(F.greatest(diff - 1, F.lit(0)), 2) / flips).otherwise(0.0).alias("mcnemar"))
-
-
 def frontier(sweep: DataFrame, gain: str, quality: str) -> DataFrame:
     """The rows whose quality is above that of every row of greater gain."""
     w = Window.orderBy(F.desc(gain), F.desc(quality)).rowsBetween(Window.unboundedPreceding, -1)
     return sweep.withColumn("__best", F.max(quality).over(w)).where(F.col("__best").isNull() | (F.col(quality) > F.col("__best"))).drop("__best")
 
 
+def ascending_frontier(sweep: DataFrame, gain: str, quality: str) -> DataFrame:
+    """The rows whose quality is above that of every row of smaller gain: those that beat all that is less compressed."""
+    w = Window.orderBy(gain, F.desc(quality)).rowsBetween(Window.unboundedPreceding, -1)
+    return sweep.withColumn("__best", F.max(quality).over(w)).where(F.col("__best").isNull() | (F.col(quality) > F.col("__best"))).drop("__best")
+
+
+def recommend(sweep: DataFrame, gain: str, quality: str, least: float) -> DataFrame:
+    """The row of greatest gain whose quality is ``least`` or more; none, where none is."""
+    return sweep.where(F.col(quality) >= least).orderBy(F.desc(gain), F.desc(quality)).limit(1)
+
+
 def plan_point(sweep: DataFrame, least_recall: float) -> DataFrame:
     """The cheapest row that reaches the recall; where none does, the one of greatest recall."""
     ok = F.col("recall") >= least_recall
@@ -117,7 +94,7 @@ def tangential(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return t.agg(F.percentile("t", F.lit(0.5)).alias("median_fraction"), F.avg("t").alias("mean_fraction"), F.count("*").alias("pairs"))
 
 
-def drift(df: DataFrame, group: str, dim: int = 64, vec: str = "embedding") -> DataFrame:
+def shift(df: DataFrame, group: str, dim: int = 64, vec: str = "embedding") -> DataFrame:
     """(group, rows, shift): distance of each group's mean vector from that of all rows."""
     x = df.where(F.col(group).isNotNull() & (F.size(vec) == dim))
     means = [F.avg(F.get(vec, F.lit(j)).cast("double")).alias(f"m{j}") for j in range(dim)]
@@ -133,8 +110,8 @@ def rolling(df: DataFrame, key: str, order: str, value: str, window: int = 1000)
     return df.select(key, order, value).withColumns({"n": F.count(value).over(w), "mean": F.avg(value).over(w), "least": F.min(value).over(w)})
 
 
-def ks_halves(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, n_old, n_new, ks, critical, drifted): two-sample Kolmogorov-Smirnov of the earlier and the later half of each key's values, at 5 %."""
+def ks_halves(df: DataFrame, key: str, order: str, value: str, significance: float = 0.05) -> DataFrame:
+    """(key, n_old, n_new, ks, critical, drifted): two-sample Kolmogorov-Smirnov of the earlier and the later half of each key's values; fewer than 8 values never drift."""
     x = df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
     n = F.count("*").over(Window.partitionBy(key))
     at = F.row_number().over(Window.partitionBy(key).orderBy(order))
@@ -144,6 +121,19 @@ def ks_halves(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     one = lambda c: F.when(c, 1).otherwise(0)
     x = x.select(key, F.sum(one(~F.col("new"))).over(same).alias("a"), F.sum(one(F.col("new"))).over(same).alias("b"), F.sum(one(~F.col("new"))).over(every).alias("n_old"), F.sum(one(F.col("new"))).over(every).alias("n_new"))
     s = x.where("n_old > 0 AND n_new > 0").groupBy(key, "n_old", "n_new").agg(F.max(F.abs(F.col("a") / F.col("n_old") - F.col("b") / F.col("n_new"))).alias("ks"))
-    c = math.sqrt(-math.log(0.025) / 2)
+    c = math.sqrt(-math.log(significance / 2) / 2)
     s = s.withColumn("critical", c * F.sqrt((F.col("n_old") + F.col("n_new")) / (F.col("n_old") * F.col("n_new"))))
-    return s.withColumn("drifted", F.col("ks") > F.col("critical"))
+    return s.withColumn("drifted", (F.col("ks") > F.col("critical")) & (F.col("n_old") + F.col("n_new") >= 8))
+
+
+def bootstrap_ci(per_query: DataFrame, column: str = "recall", n_boot: int = 1000, alpha: float = 0.05, id: str = "query") -> DataFrame:
+    """One row (mean, lo, hi): the interval of a mean over queries by resampling, each resample drawing a Poisson number of every query by a hash, so that no resample is gathered."""
+    u = F.pmod(F.xxhash64(id, "b"), F.lit(1 << 40)) / float(1 << 40)
+    upto, drawn = 0.0, F.lit(0)
+    for k in range(9):
+        upto += math.exp(-1) / math.factorial(k)
+        drawn = drawn + F.when(u > upto, 1).otherwise(0)
+    x = per_query.select(id, F.col(column).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("v", "b", drawn.alias("w"))
+    means = x.groupBy("b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    ends = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    return per_query.agg(F.avg(column).alias("mean")).crossJoin(ends)

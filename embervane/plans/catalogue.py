@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embervane.functions import vector as V
-from embervane.functions.codec import Codec, bounds, decode, encode, fingerprint, levels, pack_slots, packed_cols, rotation, signs, usable
-from embervane.operators import hubness, knn, stats
-from embervane.session import staged
+from embervane.functions.codec import Codec, bounds, decode, encode, fingerprint, levels, pack_slots, packed_cols, signs, usable
+from embervane.operators import agreement, certificate, hubness, knn, remedies, stats, tensor
+from embervane.operators.index import VectorIndex
+from embervane.operators.pca import Principal, drift
+from embervane.operators.ranks import rank_correlation
+from embervane.session import shared_dir, staged
 from embervane.sources.exports import export
 from embervane.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-DIM, K, N_MIN, ANCHORS = 64, 10, 30, 200
+DIM, K, N_MIN, Q_MIN, ANCHORS = 64, 10, 30, 30, 200
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -158,6 +161,16 @@ def pareto_frontier(spark, d):
     return stats.frontier(_costed(staged(_sweep(spark, d), "sweep")), "gain", "recall")
 
 
+@query(f"{_SWEEP}, g AS ({_COST}) SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE (o.gain < g.gain AND o.recall >= g.recall) OR (o.gain = g.gain AND o.recall > g.recall))")
+def pareto_ascending(spark, d):
+    return stats.ascending_frontier(_costed(staged(_sweep(spark, d), "sweep")), "gain", "recall")
+
+
+@query(f"{_SWEEP}, g AS ({_COST}) SELECT * FROM g WHERE recall >= 0.6 ORDER BY gain DESC, recall DESC LIMIT 1")
+def recommend_at_recall(spark, d):
+    return stats.recommend(_costed(staged(_sweep(spark, d), "sweep")), "gain", "recall", 0.6)
+
+
 @query(f"{_SWEEP}, g AS ({_COST}) SELECT * FROM g ORDER BY recall >= 0.95 DESC, CASE WHEN recall >= 0.95 THEN cost ELSE -recall END, cost LIMIT 1")
 def plan_operating_point(spark, d):
     return stats.plan_point(_costed(staged(_sweep(spark, d), "sweep")), 0.95)
@@ -201,10 +214,15 @@ def tq_size_ratio(spark, d):
     return _e(spark, d).groupBy("label").agg(F.count("*").alias("rows")).select("label", "rows", (F.col("rows") * per).alias("bytes"), F.lit(DIM * 4 / per).alias("ratio"), fingerprint(Codec(DIM)).alias("fingerprint"))
 
 
-@query(f"WITH {E}, {_code_sql(4)} SELECT vec_id AS id, json_object('id', vec_id::VARCHAR, 'dim', {DIM}, 'bits', 4)::VARCHAR AS json FROM c")
+_PACKED = f"list_aggregate(list_transform(range({DIM // 2}), lambda k: printf('%02X', (codes[2 * k + 1] + 16 * codes[2 * k + 2])::INT)), 'string_agg', '')"
+
+
+@query(f"WITH {E}, {_code_sql(4)} SELECT vec_id AS id, vec_id::VARCHAR AS json_id, {DIM} AS dim, 4 AS bits, {_PACKED} AS payload, round(n, 6) AS norm FROM c")
 def export_json(spark, d):
+    """What a reader of the exported rows gets back."""
     rows = export(encode(_e(spark, d), Codec(DIM)), Codec(DIM), "generic")
-    return rows.select("id", F.to_json(F.struct(F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$.dim").cast("int").alias("dim"), F.get_json_object("json", "$.bits").cast("int").alias("bits"))).alias("json"))
+    at = lambda x: F.get_json_object("json", f"$.{x}")
+    return rows.select("id", at("id").alias("json_id"), at("dim").cast("int").alias("dim"), at("bits").cast("int").alias("bits"), F.hex(F.unbase64(at("compressed_b64"))).alias("payload"), F.round(at("norm").cast("double"), 6).alias("norm"))
 
 
 # -- hubs and strata
@@ -235,7 +253,7 @@ def hub_spearman_dk(spark, d):
     e = _e(spark, d)
     edges = staged(knn.topk(e, e, K, exclude_self=True), "edges")
     far = edges.where(F.col("rank") == K - 1).select(F.col("query").alias("id"), F.round("score", 9).alias("s"))
-    return stats_round(hubness.rank_correlation(hubness.census(edges, _areas(e)).join(far, "id"), "n_k", "s"))
+    return stats_round(rank_correlation(hubness.census(edges, _areas(e)).join(far, "id"), "n_k", "s"))
 
 
 def stats_round(df: DataFrame, n: int = 6) -> DataFrame:
@@ -243,46 +261,153 @@ def stats_round(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 _HIT = "knn k JOIN e q ON q.vec_id = k.query"
-_TRANSIT = f"{E}, {_knn_sql()}, per AS (SELECT k.id, count(*) AS n, count(*) FILTER (q.label = b.label) AS i FROM {_HIT} JOIN e b ON b.vec_id = k.id GROUP BY k.id), transit AS (SELECT label AS area, count(*) AS rows, sum(coalesce(per.n, 0))::BIGINT AS hits, sum(coalesce(i, 0))::BIGINT AS intra, round(avg((coalesce(per.n, 0) - coalesce(i, 0)) / greatest(coalesce(per.n, 0), 1)), 6) AS tau FROM e LEFT JOIN per ON per.id = vec_id GROUP BY label)"
 
 
-@query(f"WITH {_TRANSIT} SELECT * FROM transit")
+@query(f"WITH {E}, {_knn_sql()} SELECT q.label AS area, round(avg((q.label <> b.label)::INT::DOUBLE), 6) AS transit, count(*) AS n_edges FROM {_HIT} JOIN e b ON b.vec_id = k.id GROUP BY q.label")
 def transit_by_label(spark, d):
     e = _e(spark, d)
     return stats_round(hubness.transit(_knn(e), _areas(e)))
 
 
+@query(f"WITH {E}, {_knn_sql()}, a AS (SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL) SELECT x.lang AS area, round(avg((x.lang <> y.lang)::INT::DOUBLE), 6) AS transit, count(*) AS n_edges FROM knn JOIN a x ON x.doc_id = query JOIN a y ON y.doc_id = id GROUP BY x.lang")
+def transit_by_lang(spark, d):
+    return stats_round(hubness.transit(_knn(_e(spark, d)), _t(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("lang").alias("area"))))
+
+
 @query(f"WITH {E}, {_knn_sql()} SELECT q.label AS query_area, b.label AS area, count(*) AS hits FROM {_HIT} JOIN e b ON b.vec_id = k.id GROUP BY ALL")
 def area_flow_matrix(spark, d):
     e = _e(spark, d)
     return hubness.flow(_knn(e), _areas(e))
 
 
-@query(f"WITH {_TRANSIT}, census AS (SELECT vec_id, label, count(k.id) AS n_k FROM e LEFT JOIN knn k ON k.id = vec_id GROUP BY ALL), m AS (SELECT label, avg(n_k) AS m, stddev_pop(n_k) AS s, max(n_k) AS max_n_k FROM census GROUP BY label), s AS (SELECT label, round(avg(((n_k - m) / s) ** 3), 6) AS skew FROM census JOIN m USING (label) GROUP BY label) SELECT area, rows, hits, intra, tau, skew, max_n_k, CASE WHEN rows < {N_MIN} THEN 'ABSTAIN' WHEN tau > 0.5 THEN 'FOREIGN' ELSE 'LOCAL' END AS verdict FROM transit JOIN m ON m.label = area JOIN s ON s.label = area")
+_L2 = "-sqrt(list_sum(list_transform(list_zip(q.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+#: Distance to the mean vector, negative, at 9 decimals so that ranks don't hang on the order of summation.
+_CENTRAL = "mv AS (SELECT i, avg(x) AS m FROM (SELECT unnest(range(64)) AS i, unnest(v) AS x FROM e) GROUP BY i), mean AS (SELECT list(m ORDER BY i) AS m FROM mv), ce AS MATERIALIZED (SELECT vec_id AS id, label, round(-sqrt(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS central FROM e, mean)"
+_FAR = "far AS MATERIALIZED (SELECT query AS id, min(round(score, 9)) AS neg_dk, max(round(score, 9)) AS neg_d1 FROM knn GROUP BY query)"
+_N = f"{E}, {_knn_sql(_L2)}, {_CENTRAL}, {_FAR}, n AS MATERIALIZED (SELECT ce.id, label, central, neg_dk, neg_d1, (SELECT count(*) FROM knn k WHERE k.id = ce.id) AS n_k FROM ce JOIN far ON far.id = ce.id)"
+_RHO = "(SELECT corr(a, b) FROM (SELECT row_number() OVER (ORDER BY n_k, id) AS a, row_number() OVER (ORDER BY {c}, id) AS b FROM {t}))"
+
+
+def _centrality(e: DataFrame) -> DataFrame:
+    x = usable(e, "vec_id", "embedding", DIM)
+    mean = x.agg(F.array(*(F.avg(F.get("vec", F.lit(j))) for j in range(DIM))).alias("m"))
+    return x.crossJoin(F.broadcast(mean)).select("id", F.round(-V.distance(F.col("vec"), F.col("m")), 9).alias("central"))
+
+
+def _l2_edges(e: DataFrame) -> DataFrame:
+    return staged(knn.topk(e, e, K, "l2", exclude_self=True).withColumn("score", F.round("score", 9)), "edges")
+
+
+@query(
+    f"WITH {_N}, b AS (SELECT quantile_cont(n_k, 0.99) AS bar, count(*) AS c, avg(n_k) AS m, stddev_pop(n_k) AS s FROM n), h AS (SELECT *, n_k >= bar AS hub, row_number() OVER (ORDER BY central, id) AS rc, row_number() OVER (ORDER BY neg_dk, id) AS rd FROM n, b), "
+    "t AS (SELECT *, 1 - (c - rc) / c >= 0.95 AS ic, NOT 1 - (c - rc) / c >= 0.95 AND 1 - (c - rd) / c >= 0.85 AS idn FROM h), "
+    "f AS (SELECT avg(ic::INT::DOUBLE) FILTER (hub) AS hub_frac_central, avg(idn::INT::DOUBLE) FILTER (hub) AS hub_frac_dense, median(central) FILTER (hub) AS hub_central, median(central) AS all_central, -median(neg_dk) FILTER (hub) AS hub_dk, -median(neg_dk) AS all_dk, -median(neg_d1) FILTER (hub) AS hub_d1, -median(neg_d1) AS all_d1, "
+    f"count(*) AS nodes, max(n_k) AS max_n_k, avg(((n_k - m) / s) ** 3) AS skew, avg((n_k > {2 * K})::INT::DOUBLE) AS frac_above_2k, sum(abs(n_k - m)) / 2 / sum(n_k) AS robin_hood, sum(n_k) FILTER (hub) / sum(n_k) AS hub_mass_share FROM t) "
+    "SELECT * REPLACE (round(hub_frac_central, 6) AS hub_frac_central, round(hub_frac_dense, 6) AS hub_frac_dense, round(hub_central, 6) AS hub_central, round(all_central, 6) AS all_central, round(hub_dk, 6) AS hub_dk, round(all_dk, 6) AS all_dk, round(hub_d1, 6) AS hub_d1, round(all_d1, 6) AS all_d1, round(skew, 6) AS skew, round(robin_hood, 6) AS robin_hood, round(frac_above_2k, 6) AS frac_above_2k, round(hub_mass_share, 6) AS hub_mass_share), "
+    + ", ".join(f"round({_RHO.format(c=c, t='n')}, 6) AS {a}" for a, c in (("corr_central", "central"), ("corr_neg_dk", "neg_dk"), ("corr_neg_d1", "neg_d1")))
+    + f", CASE WHEN max_n_k < {2.5 * K} THEN 'unclear' WHEN hub_frac_central >= 0.75 THEN 'centrality' WHEN hub_frac_dense >= 0.75 THEN 'density' WHEN hub_frac_central >= 0.25 AND hub_frac_dense >= 0.25 THEN 'mixed' ELSE 'unclear' END AS mechanism FROM f"
+)
+def hub_anatomy(spark, d):
+    e = _e(spark, d)
+    return stats_round(hubness.anatomy(_l2_edges(e), _centrality(e), K))
+
+
+@query(
+    f"WITH {_N}, q AS (SELECT vec_id AS id FROM e), i AS (SELECT k.id, count(*) AS n, count(*) FILTER (x.label = y.label) AS i FROM knn k JOIN e x ON x.vec_id = k.query JOIN e y ON y.vec_id = k.id GROUP BY k.id), r AS MATERIALIZED (SELECT n.*, (n_k - coalesce(i, 0)) / greatest(n_k, 1) AS tau FROM n LEFT JOIN i ON i.id = n.id), "
+    "m AS (SELECT label, avg(n_k) AS m, stddev_pop(n_k) AS s FROM r GROUP BY label), "
+    f"g AS (SELECT r.label AS area, count(*) AS n, count(*) AS n_queries, avg(((n_k - m) / s) ** 3) AS count_skew, max(n_k) AS max_nk, avg(tau) AS tau_mean, sum(abs(n_k - m)) / 2 / greatest(sum(n_k), 1e-12) AS robin_hood, avg((n_k > {2 * K})::INT::DOUBLE) AS frac_above_2k FROM r JOIN m ON m.label = r.label GROUP BY r.label), "
+    "c AS (SELECT label, corr(a, x) AS corr_neg_dk, corr(a, y) AS corr_centrality FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY n_k, id) AS a, row_number() OVER (PARTITION BY label ORDER BY neg_dk, id) AS x, row_number() OVER (PARTITION BY label ORDER BY central, id) AS y FROM r) GROUP BY label), "
+    f"v AS (SELECT *, n < {N_MIN} OR n_queries < {Q_MIN} AS thin, CASE WHEN max_nk < {5 * K} AND tau_mean < 0.5 AND count_skew < 1 THEN 'stub' WHEN tau_mean >= 0.5 AND max_nk >= {5 * K} THEN 'backbone' WHEN count_skew >= 1 AND tau_mean < 0.5 THEN 'NSHA' WHEN count_skew >= 1 THEN 'hub' ELSE 'plain' END AS cl FROM g JOIN c ON c.label = g.area) "
+    "SELECT area, n, n_queries, CASE WHEN thin THEN 'ABSTAIN' ELSE 'pass' END AS verdict, CASE WHEN NOT thin THEN max_nk END AS max_nk, CASE WHEN NOT thin THEN cl END AS class, "
+    + ", ".join(f"CASE WHEN NOT thin THEN round({c}, 6) END AS {c}" for c in ("count_skew", "tau_mean", "robin_hood", "frac_above_2k", "corr_neg_dk", "corr_centrality"))
+    + " FROM v"
+)
 def strata_anatomy(spark, d):
     e = _e(spark, d)
-    return stats_round(hubness.strata(_knn(e), _areas(e), K, N_MIN))
+    return stats_round(hubness.strata(_l2_edges(e), _areas(e), _centrality(e), K, N_MIN, Q_MIN))
 
 
-_DIFF = f"WITH {_CENSUS}, {_code_sql(2)}, {_knn_sql(_ADC, cte='found', base='c', queries='c')}, bar AS (SELECT quantile_cont(n_k, 0.1) AS bar FROM census), h AS (SELECT q.label AS area, k.query, (f.id IS NOT NULL)::INT::DOUBLE AS got, n_k <= bar AS is_anti FROM {_HIT} JOIN census ON census.id = k.id CROSS JOIN bar LEFT JOIN found f ON f.query = k.query AND f.id = k.id), diff AS (SELECT area, count(DISTINCT query) AS queries, round(avg(got), 6) AS recall, round(avg(got) FILTER (is_anti), 6) AS anti_hub_recall FROM h GROUP BY area)"
+_PER = f"{_CENSUS}, {_code_sql(2)}, {_knn_sql(_ADC, cte='found', base='c', queries='c')}, bar AS (SELECT quantile_cont(n_k, 0.1) AS bar FROM census), pq AS MATERIALIZED (SELECT q.label AS area, k.query, count(f.id) / {float(K)} AS recall, min_by(k.id, k.rank) AS near FROM {_HIT} LEFT JOIN found f ON f.query = k.query AND f.id = k.id GROUP BY ALL), w AS MATERIALIZED (SELECT pq.*, c.n_k, c.n_k <= bar AS is_anti FROM pq JOIN census c ON c.id = pq.near, bar)"
+_DIFF = f"WITH {_PER}, diff AS (SELECT area, count(*) AS n_queries, avg(recall) AS r, quantile_cont(recall, 0.05) AS p, avg(recall) FILTER (is_anti) AS ar, avg(is_anti::INT::DOUBLE) AS af FROM w GROUP BY area), report AS (SELECT area, n_queries, CASE WHEN n_queries < {Q_MIN} THEN 'ABSTAIN' WHEN ar < 0.7 THEN 'fail' ELSE 'pass' END AS verdict, CASE WHEN n_queries >= {Q_MIN} THEN round(r, 6) END AS recall_at_k, CASE WHEN n_queries >= {Q_MIN} THEN round(p, 6) END AS p05_recall, CASE WHEN n_queries >= {Q_MIN} THEN round(ar, 6) END AS anti_hub_recall, CASE WHEN n_queries >= {Q_MIN} THEN round(af, 6) END AS anti_hub_query_frac FROM diff)"
 
 
-def _differential(spark, d) -> DataFrame:
+def _exact_and_found(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = _e(spark, d)
-    found = knn.adc_topk(encode(e, Codec(DIM, 2)), e, Codec(DIM, 2), K, exclude_self=True)
-    return stats_round(hubness.differential(_knn(e), found, _areas(e), K))
+    return _knn(e), staged(knn.adc_topk(encode(e, Codec(DIM, 2)), e, Codec(DIM, 2), K, exclude_self=True), "found"), _areas(e)
 
 
-@query(f"{_DIFF} SELECT * FROM diff")
+def _differential(spark, d) -> DataFrame:
+    return stats_round(hubness.strata_differential(*_exact_and_found(spark, d), K, Q_MIN, least=0.7))
+
+
+@query(f"{_DIFF} SELECT * FROM report")
 def strata_differential(spark, d):
     return _differential(spark, d)
 
 
-@query(f"{_DIFF} SELECT * FROM diff WHERE anti_hub_recall < 0.7")
+@query(f"{_DIFF} SELECT area, anti_hub_recall FROM report WHERE verdict <> 'ABSTAIN' AND anti_hub_recall < 0.7")
 def strata_gate(spark, d):
     return hubness.gate(_differential(spark, d), 0.7)
 
 
+@query(f"{_DIFF} SELECT count(*) AS n_areas, count(*) FILTER (verdict = 'ABSTAIN') AS n_abstain, count(*) FILTER (verdict = 'fail') AS n_failed, min(anti_hub_recall) AS least_anti_hub_recall, CASE WHEN count(*) = count(*) FILTER (verdict = 'ABSTAIN') THEN 3 WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 1 ELSE 0 END AS exit_code FROM report")
+def strata_summary(spark, d):
+    return hubness.summary(_differential(spark, d))
+
+
+_BOTH = "cf AS (SELECT vec_id AS id, (SELECT count(*) FROM knn k WHERE k.id = vec_id) AS ce, (SELECT count(*) FROM found f WHERE f.id = vec_id) AS ca FROM e), bb AS (SELECT quantile_cont(ce, 0.99) AS be, quantile_cont(ca, 0.99) AS ba, avg(ce) AS me, stddev_pop(ce) AS se, avg(ca) AS ma, stddev_pop(ca) AS sa FROM cf)"
+
+
+@query(
+    f"WITH {_PER}, {_BOTH} SELECT * FROM (SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall_at_k, round(quantile_cont(recall, 0.05), 6) AS recall_p05, round(avg(recall) FILTER (is_anti), 6) AS anti_hub_recall, round(avg(is_anti::INT::DOUBLE), 6) AS anti_hub_query_frac FROM w), "
+    "(SELECT round(count(*) FILTER (ce >= be AND ca >= ba)::DOUBLE / count(*) FILTER (ce >= be OR ca >= ba), 6) AS hub_set_jaccard, round(avg(((ce - me) / se) ** 3), 6) AS exact_skew, round(avg(((ca - ma) / sa) ** 3), 6) AS approx_skew FROM cf, bb), "
+    "(SELECT round(corr(a, b), 6) AS hub_rank_corr FROM (SELECT row_number() OVER (ORDER BY ce, id) AS a, row_number() OVER (ORDER BY ca, id) AS b FROM cf))"
+)
+def hub_differential(spark, d):
+    return stats_round(hubness.differential(*_exact_and_found(spark, d), K))
+
+
+@query(f"WITH {_PER}, ed AS (SELECT quantile_cont(n_k, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM w), b AS (SELECT recall, list_filter(range(10), lambda i: n_k >= e[i + 1] AND CASE WHEN i = 9 THEN n_k <= e[11] ELSE n_k < e[i + 2] END)[1]::INT AS decile FROM w, ed) SELECT decile, count(*) AS queries, round(avg(recall), 6) AS recall FROM b GROUP BY decile")
+def recall_by_count_decile(spark, d):
+    return stats_round(hubness.decile_curve(*_exact_and_found(spark, d), K))
+
+
+@query("WITH x AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice, l_orderkey * 10 + l_linenumber) AS i FROM lineitem), t AS (SELECT count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM x), c AS (SELECT i, sum(x) OVER (ORDER BY i) AS c1, sum(x * x) OVER (ORDER BY i) AS c2 FROM x) SELECT round(1 - min((c2 - c1 * c1 / i) + (q - c2 - (s - c1) * (s - c1) / (n - i))) / max(q - s * s / n), 6) AS separation FROM c, t WHERE i < n")
+def two_means_split(spark, d):
+    return stats_round(hubness.two_means(_t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("x")), "x"))
+
+
+# -- remedies
+
+_RK = f"{E}, {_knn_sql(k=4 * K)}, rk AS MATERIALIZED (SELECT query AS id, avg(score) FILTER (rank < {K}) AS r_k FROM knn GROUP BY query)"
+
+
+@query(f"WITH {_RK} SELECT id, round(r_k, 6) AS r_k FROM rk")
+def local_scale(spark, d):
+    e = _e(spark, d)
+    return stats_round(remedies.local_scale(knn.topk(e, e, K, exclude_self=True)))
+
+
+@query(f"WITH {_RK}, s AS (SELECT query, knn.id, score - r_k AS score FROM knn JOIN rk ON rk.id = knn.id), x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s) {_ROUND} x WHERE rank < {K}")
+def csls_top10(spark, d):
+    e = _e(spark, d)
+    hits = staged(knn.topk(e, e, 4 * K, exclude_self=True), "hits")
+    return _rounded(remedies.csls(hits, remedies.local_scale(hits.where(F.col("rank") < K)), K))
+
+
+@query(f"WITH {E}, {_knn_sql(k=4 * K)}, sm AS (SELECT vec_id, v, n FROM e ORDER BY vec_id LIMIT 256), de AS MATERIALIZED (SELECT q.vec_id AS id, avg({_COS}) AS mu, greatest(stddev_pop({_COS}), 1e-6) AS s FROM e q, sm b GROUP BY q.vec_id), s AS (SELECT query, knn.id, (score - mu) / s AS score FROM knn JOIN de ON de.id = knn.id), x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s) {_ROUND} x WHERE rank < {K}")
+def density_scaled_top10(spark, d):
+    e = _e(spark, d)
+    return _rounded(remedies.density_corrected(knn.topk(e, e, 4 * K, exclude_self=True), remedies.density(e), K, True))
+
+
+@query(f"WITH {E}, l AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(v) AS x FROM e), m AS (SELECT label, i, avg(x) AS m FROM l GROUP BY ALL), d AS (SELECT vec_id, l.label, l.i, x - m AS x FROM l JOIN m ON m.label = l.label AND m.i = l.i) SELECT vec_id AS id, label AS area, round(max(x) / sqrt(sum(x * x)), 6) AS most, round(min(x) / sqrt(sum(x * x)), 6) AS least FROM d GROUP BY ALL")
+def area_centring(spark, d):
+    e = _e(spark, d)
+    c = remedies.centred(e, remedies.centroids(e, "label", DIM), "label")
+    return c.select("id", "area", F.round(F.array_max("vec"), 6).alias("most"), F.round(F.array_min("vec"), 6).alias("least"))
+
+
 @query("SELECT sha256(count(*) || ':' || sum(('0x' || substr(md5(vec_id || ':' || label), 1, 12))::BIGINT)::VARCHAR) AS digest FROM embeddings")
 def area_map_digest(spark, d):
     return hubness.digest(_areas(_e(spark, d)))
@@ -305,43 +430,89 @@ def lineitem_covariance(spark, d):
     return _t(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("quantity_price"), F.round(F.corr("l_quantity", "l_discount"), 9).alias("quantity_discount"), F.round(F.covar_samp("l_extendedprice", "l_discount"), 4).alias("price_discount"))
 
 
-@query()
+_COV = f"{_LONG}, cv AS MATERIALIZED (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS c FROM l a JOIN l b USING (vec_id) GROUP BY ALL)"
+
+
+@query(f"WITH {_COV}, c2 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM cv a JOIN cv b ON a.j = b.i GROUP BY ALL) SELECT 1 AS power, round(sum(c), 9) AS total FROM cv WHERE i = j UNION ALL SELECT 2, round(sum(c * c), 9) FROM cv UNION ALL SELECT 3, round(sum(a.c * b.c), 9) FROM c2 a JOIN cv b ON a.i = b.j AND a.j = b.i")
 def pca_eigenvalues(spark, d):
-    _, value, _ = stats.principal(_e(spark, d), DIM)
-    share = np.cumsum(value) / value.sum()
-    return spark.createDataFrame(list(zip(range(1, DIM + 1), value.tolist(), share.tolist())), "components int, eigenvalue double, retained double")
+    """Sums of the eigenvalues' powers, which are traces of the covariance matrix's powers."""
+    v = Principal.fit(_e(spark, d), DIM).eigenvalues
+    return spark.createDataFrame([(p, round(float((v**p).sum()), 9)) for p in (1, 2, 3)], "power int, total double")
 
 
-@query()
+@query(f"WITH {_LONG}, m AS (SELECT i, avg(x) AS m FROM l GROUP BY i) SELECT vec_id AS id, round(sqrt(sum((x - m) ** 2)), 6) AS norm, 1.0::DOUBLE AS cosine FROM l JOIN m USING (i) GROUP BY vec_id")
 def pca_roundtrip(spark, d):
-    mean, _, parts = stats.principal(_e(spark, d), DIM)
-    z = stats.project(_e(spark, d), mean, parts[:32])
-    return z.select("id", V.norm(F.col("vec")).alias("retained_norm"))
+    """With all components, projection keeps the centred norm and the inverse gives the row back."""
+    e = _e(spark, d)
+    p = Principal.fit(e, DIM)
+    return p.transform(e).select("id", F.round(V.norm(F.col("vec")), 6).alias("norm")).join(p.round_trip(e).select("id", F.round("cosine", 6).alias("cosine")), "id")
+
+
+@query(f"WITH {_LONG}, old AS (SELECT i, avg(x) AS m FROM l WHERE vec_id % 2 = 0 GROUP BY i), new AS (SELECT i, avg(x) AS m FROM l WHERE vec_id % 2 = 1 GROUP BY i) SELECT round(sqrt(sum((new.m - old.m) ** 2)) / sqrt(sum(old.m ** 2)), 6) AS mean_shift, 1.0::DOUBLE AS retained_new, false AS stale FROM old JOIN new USING (i)")
+def index_drift(spark, d):
+    """A model with all components retains all variance of any rows."""
+    e = _e(spark, d)
+    r = drift(Principal.fit(e.where("vec_id % 2 = 0"), DIM), e.where("vec_id % 2 = 1"))
+    return spark.createDataFrame([(round(r.mean_shift, 6), round(r.retained_new, 6), r.stale)], "mean_shift double, retained_new double, stale boolean")
+
+
+@query(f"WITH {E} SELECT count(*) AS rows, count(*) - 2 * count(*) FILTER (vec_id % 5 = 0) + count(*) FILTER (vec_id % 10 = 0) + count(*) FILTER (vec_id % 5 = 0) AS live, count(*) FILTER (vec_id % 5 = 0) - count(*) FILTER (vec_id % 10 = 0) AS tombstones FROM e")
+def index_live_after_delete(spark, d):
+    """Of an index of all rows, those whose id is a multiple of 5 are deleted and every other one of them is put back."""
+    e = _e(spark, d)
+    ix = VectorIndex.create(e, f"{shared_dir(spark)}/index", Codec(DIM))
+    ix.delete(e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id")))
+    ix.add(e.where("vec_id % 10 = 0"), upsert=True)
+    return ix.stats().select("rows", "live", "tombstones")
 
 
 @query(f"WITH {_LONG}, m AS (SELECT i, avg(x) AS m FROM l GROUP BY i), g AS (SELECT label, i, avg(x) AS g FROM l JOIN embeddings USING (vec_id) GROUP BY ALL) SELECT label, (SELECT count(*) FROM embeddings x WHERE x.label = g.label) AS rows, round(sqrt(sum((g - m) ** 2)), 6) AS shift FROM g JOIN m USING (i) GROUP BY label")
 def drift_by_label(spark, d):
-    return stats_round(stats.drift(_e(spark, d), "label", DIM))
+    return stats_round(stats.shift(_e(spark, d), "label", DIM))
 
 
-_PAIRS = f"{E}, {_code_sql(3)}, a AS MATERIALIZED (SELECT * FROM c ORDER BY md5(vec_id::VARCHAR) LIMIT {ANCHORS}), p AS MATERIALIZED (SELECT 1 - list_inner_product(x.v, y.v) / (x.n * y.n) AS exact, 1 - list_inner_product(x.cc, y.cc) / sqrt(list_inner_product(x.cc, x.cc) * list_inner_product(y.cc, y.cc)) AS approx FROM a x JOIN a y ON x.vec_id < y.vec_id), k AS MATERIALIZED (SELECT greatest(quantile_cont(approx / exact, 0.975) / quantile_cont(approx / exact, 0.025), 1.0) AS kappa FROM p WHERE exact > 0 AND approx > 0)"
+_PAIRS = f"{E}, {_code_sql(3)}, a AS MATERIALIZED (SELECT * FROM c ORDER BY md5(vec_id::VARCHAR) LIMIT {ANCHORS}), p AS MATERIALIZED (SELECT 1 - list_inner_product(x.v, y.v) / (x.n * y.n) AS exact, 1 - list_inner_product(x.cc, y.cc) / sqrt(list_inner_product(x.cc, x.cc) * list_inner_product(y.cc, y.cc)) AS approx FROM a x JOIN a y ON x.vec_id < y.vec_id), s AS MATERIALIZED (SELECT exact, row_number() OVER (ORDER BY exact) AS i, count(*) OVER (ORDER BY exact) AS upto FROM p WHERE exact > 0)"
+_MU = "SELECT kappa, sum(greatest(coalesce(s.upto, 0) - w.i, 0)) / max(w.n * (w.n - 1) / 2) AS mu FROM (SELECT kappa, kappa * exact AS bar, i, (SELECT count(*) FROM s) AS n FROM s, ks) w ASOF LEFT JOIN s ON w.bar > s.exact GROUP BY kappa"
 
 
-@query(f"WITH {_PAIRS}, w AS (SELECT count(*) OVER (ORDER BY ln(exact) RANGE BETWEEN CURRENT ROW AND (SELECT ln(kappa) FROM k) FOLLOWING) AS c FROM p WHERE exact > 0), m AS (SELECT sum(c - 1) / (count(*) * (count(*) - 1) / 2) AS mu FROM w) SELECT round(kappa, 6) AS kappa, round(mu, 6) AS mu_hat, round(1 - 2 * mu, 6) AS tau_floor, round(1 - 3 * mu, 6) AS rho_floor, 1 - 2 * mu <= 0 AS vacuous FROM k, m")
-def rank_certificate(spark, d):
+def _sampled_pairs(spark, d) -> DataFrame:
     """Of a sample of ANCHORS rows, chosen by a hash: sampling is the certificate's design."""
     e = _e(spark, d).orderBy(F.md5(F.col("vec_id").cast("string"))).limit(ANCHORS)
     codec = Codec(DIM, 3)
-    pairs = staged(stats.pair_distances(usable(e, "vec_id", "embedding", DIM), decode(encode(e, codec), codec)), "pairs")
-    return stats_round(stats.certificate(pairs))
+    return staged(certificate.pair_distances(usable(e, "vec_id", "embedding", DIM), decode(encode(e, codec), codec)), "pairs")
+
 
+@query(f"WITH {_PAIRS}, ks AS (SELECT greatest(quantile_cont(approx / exact, 0.975) / quantile_cont(approx / exact, 0.025), 1.0) AS kappa FROM p WHERE exact > 0), m AS ({_MU}) SELECT round(kappa, 6) AS kappa, round(mu, 6) AS mu_hat, round(1 - 2 * mu, 6) AS tau_floor, round(1 - 3 * mu, 6) AS spearman_floor, (SELECT count(*) FROM s) AS n_pairs, NOT 1 - 2 * mu > 0 AS vacuous FROM m")
+def rank_certificate(spark, d):
+    return stats_round(certificate.certificate(_sampled_pairs(spark, d)).drop("max_certifiable_kappa"))
 
-_FLIP = "f AS (SELECT count(*) AS n, count(*) FILTER (b AND q) AS both_right, count(*) FILTER (b AND NOT q) AS regressions, count(*) FILTER (NOT b AND q) AS recoveries FROM (SELECT quality = 1 AS b, toxic = 0 AS q FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL))"
 
+@query(f"WITH {_PAIRS}, ks AS (SELECT unnest([1.0, 1.01, 1.05, 1.1, 1.5, 2.0]::DOUBLE[]) AS kappa) SELECT kappa, round(mu, 6) AS mu_hat FROM ({_MU})")
+def mu_hat_curve(spark, d):
+    return stats_round(certificate.mu_curve(_sampled_pairs(spark, d), [1.0, 1.01, 1.05, 1.1, 1.5, 2.0]))
 
-@query(f"WITH {_FLIP} SELECT n, both_right, regressions, recoveries, (regressions + recoveries) / n AS churn, (recoveries - regressions) / n AS net, CASE WHEN regressions + recoveries > 0 THEN greatest(abs(regressions - recoveries) - 1, 0) ** 2 / (regressions + recoveries) ELSE 0 END AS mcnemar FROM f")
+
+_LABELS = "x AS (SELECT quality = 1 AS b, toxic = 0 AS q FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+
+
+@query(f"WITH {_LABELS}, f AS (SELECT count(*) AS n, count(*) FILTER (b AND NOT q) AS lost, count(*) FILTER (NOT b AND q) AS won, count(*) FILTER (b) AS nb, count(*) FILTER (q) AS nq, count(*) FILTER (b AND q) AS nbq FROM x) SELECT n, round(nb / n, 6) AS acc_base, round(nq / n, 6) AS acc_quant, round(nbq / n, 6) AS correctness_agreement, round(lost / n, 6) AS regressions, round(won / n, 6) AS recoveries, round((lost + won) / n, 6) AS churn, round((won - lost) / n, 6) AS net_delta, round(CASE WHEN lost + won > 0 THEN (abs(lost - won) - 1) ** 2 / (lost + won) ELSE 0 END, 6) AS mcnemar_stat FROM f")
+def flip_rate(spark, d):
+    return stats_round(agreement.flip_rate(_t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 0).drop("mcnemar_p"))
+
+
+@query(f"WITH {_LABELS} SELECT count(*) AS n, round(avg((b = q)::INT::DOUBLE), 6) AS agreement FROM x")
 def behavioral_agreement(spark, d):
-    return stats.agreement(_t(spark, d, "labels").select("quality", (1 - F.col("toxic")).alias("kept")), "quality", "kept")
+    return stats_round(agreement.behavioral_agreement(_t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 0))
+
+
+@query("SELECT count(*) AS n, round(avg((source <> lang)::INT::DOUBLE), 6) AS floor_disagreement, round(avg(((source = 'web') <> (lang = 'web'))::INT::DOUBLE), 6) AS floor_churn FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def noise_floor(spark, d):
+    return stats_round(agreement.noise_floor(_t(spark, d, "documents"), F.col("source"), F.col("lang"), F.lit("web")))
+
+
+@query("WITH x AS (SELECT quality AS b, 1 - toxic AS q, 1 AS g FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), f AS (SELECT count(*) AS n, avg((b = g)::INT::DOUBLE) AS acc_base, avg((q = g)::INT::DOUBLE) AS acc_quant, avg((b = q)::INT::DOUBLE) AS agreement FROM x) SELECT n, round(acc_base, 6) AS acc_base, round(acc_quant, 6) AS acc_quant, round(agreement, 6) AS agreement, round(1 - agreement, 6) AS disagreement, round(1 - agreement - 0.1, 6) AS excess, round((1 - agreement - 0.1) / sqrt(0.1 * 0.9 / n), 6) AS excess_z FROM f")
+def behavioral_report(spark, d):
+    return stats_round(agreement.evaluate(_t(spark, d, "labels"), F.col("quality"), 1 - F.col("toxic"), F.lit(1), 0.1).select("n", "acc_base", "acc_quant", "agreement", "disagreement", "excess", "excess_z"))
 
 
 _TF = "least(greatest((dd - (na - nb) ** 2) / dd, 0), 1)"
@@ -386,10 +557,122 @@ def ivf_exact_top10(spark, d):
     return _rounded(knn.ivf_exact(e, staged(knn.centroids(e, "label", DIM), "cells"), e, K, 4, DIM, exclude_self=True))
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int) -> str:
+    ctes = [E, f"z0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, v, n FROM (SELECT * FROM e ORDER BY vec_id LIMIT {k}))"]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, cell FROM (SELECT e.vec_id, e.v, z.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_inner_product(e.v, z.v) / greatest(e.n * z.n, 1e-30), 9) DESC, z.cell) AS r FROM e, z{r} z) WHERE r = 1)")
+        ctes.append(f"z{r + 1} AS MATERIALIZED (SELECT cell, list(s ORDER BY i) AS v, sqrt(sum(s * s)) AS n FROM (SELECT cell, i, sum(x) AS s FROM (SELECT cell, unnest(range(64)) AS i, unnest(v) AS x FROM a{r}) GROUP BY ALL) GROUP BY cell)")
+    return f"WITH {', '.join(ctes)} SELECT cell::INT AS cell, count(*) AS rows FROM a{rounds} GROUP BY cell"
+
+
+@query(_kmeans_sql(16, 2))
 def ivf_kmeans_cells(spark, d):
     e = _e(spark, d)
-    return knn.assign(e, knn.spherical_kmeans(e, 16, 3, DIM), DIM).groupBy("cell").agg(F.count("*").alias("rows"))
+    return knn.assign(e, knn.spherical_kmeans(e, 16, 2, DIM), DIM).groupBy("cell").agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH {_CELLS}, rd AS (SELECT cell, count(*) AS rows, max(acos(score)) AS radius FROM ranked WHERE r = 0 GROUP BY cell) SELECT count(DISTINCT p.query) AS queries, round(avg(s), 6) AS rows_scanned, round(avg(s) / (SELECT count(*) FROM e), 6) AS scan_fraction FROM (SELECT query, sum(rows) AS s FROM ranked p JOIN rd ON rd.cell = p.cell WHERE p.r < 4 GROUP BY query) p")
+def ivf_scan_fraction(spark, d):
+    """What four probes of ten cells touch."""
+    e = _e(spark, d)
+    cells = staged(knn.centroids(e, "label", DIM), "cells")
+    rows = knn.assign(e, cells, DIM).groupBy(F.col("cell").cast("bigint").alias("id")).agg(F.count("*").alias("rows"))
+    per = knn.nearest_cells(e, cells, 4, DIM).join(rows, "id").groupBy("query").agg(F.sum("rows").alias("s"))
+    return per.crossJoin(e.agg(F.count("*").alias("n"))).agg(F.count("*").alias("queries"), F.round(F.avg("s"), 6).alias("rows_scanned"), F.round(F.avg(F.col("s") / F.col("n")), 6).alias("scan_fraction"))
+
+
+@query(f"WITH {E}, {_knn_sql()} {_ROUND} knn")
+def ivf_probe_all_equals_flat(spark, d):
+    e = _e(spark, d)
+    return _rounded(knn.ivf_search(e, staged(knn.centroids(e, "label", DIM), "cells"), e, K, 10, DIM, exclude_self=True))
+
+
+# -- tensors: embeddings as 8 heads of 8 channels, the id being the position
+
+_X = "x AS MATERIALIZED (SELECT (i // 8)::INT AS h, vec_id AS s, (i % 8)::INT AS d, x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings))"
+_GRID = "g AS (SELECT h, d, min(x) AS lo, max(x) AS hi, avg(x) AS mean FROM x GROUP BY ALL)"
+
+
+def _x(spark, d) -> DataFrame:
+    return tensor.long_table(_e(spark, d), 8)
+
+
+@query(f"WITH {_X}, {_GRID}, c AS (SELECT x.*, lo, greatest(hi - lo, 1e-8) / 15 AS step FROM x JOIN g USING (h, d)) SELECT h, d, s, least(greatest(round_even((x - lo) / step, 0), 0), 15)::INT AS code, round(lo + least(greatest(round_even((x - lo) / step, 0), 0), 15) * step, 6) AS y FROM c")
+def per_channel_quant(spark, d):
+    return tensor.per_channel(_x(spark, d), 4).select("h", "d", "s", "code", F.round("y", 6).alias("y"))
+
+
+_NF4 = "[" + ", ".join(map(repr, tensor.NF4)) + "]::DOUBLE[]"
+_NF4_MID = "[" + ", ".join(repr((a + b) / 2) for a, b in zip(tensor.NF4, tensor.NF4[1:])) + "]::DOUBLE[]"
+_OUT = "o AS (SELECT *, rank() OVER (PARTITION BY h, d ORDER BY abs(x) DESC) <= greatest(1, round(count(*) OVER (PARTITION BY h, d) * 0.02)) AS outlier FROM x)"
+
+
+@query(f"WITH {_X}, {_GRID}, {_OUT}, c AS (SELECT o.*, mean, greatest(abs(hi - mean), abs(lo - mean), 1e-8) AS most FROM o JOIN g USING (h, d)), k AS (SELECT *, len(list_filter({_NF4_MID}, lambda m: m < (x - mean) / most))::INT AS code FROM c) SELECT h, d, s, code, round(CASE WHEN outlier THEN x ELSE mean + most * ({_NF4})[code + 1] END, 6) AS y FROM k")
+def per_channel_nf4(spark, d):
+    return tensor.per_channel(_x(spark, d), kind="nf4_asym", outlier_share=0.02).select("h", "d", "s", "code", F.round("y", 6).alias("y"))
+
+
+_ATT = f"{_X}, q AS (SELECT h, d, x FROM x WHERE s = (SELECT min(s) FROM x)), sc AS (SELECT k.h, k.s, sum(k.x * q.x) / sqrt(8.0::DOUBLE) AS score FROM x k JOIN q ON q.h = k.h AND q.d = k.d GROUP BY ALL), m AS (SELECT h, max(score) AS m FROM sc GROUP BY h), p AS (SELECT sc.h, sc.s, exp(score - m) AS p FROM sc JOIN m USING (h)) SELECT x.h, x.d, round(sum(p * x.x) / sum(p), 6) AS y FROM p JOIN x ON x.h = p.h AND x.s = p.s GROUP BY ALL"
+
+
+def _attention(spark, d, parts: int) -> DataFrame:
+    x = staged(_x(spark, d), "tensor")
+    first = x.agg(F.min("s")).first()[0]
+    q = x.where(F.col("s") == first)
+    return stats_round(tensor.merge_parts(tensor.attention_parts(q, x, x, F.pmod(F.col("s"), F.lit(parts)), 8)))
+
+
+@query(f"WITH {_ATT}")
+def fused_attention(spark, d):
+    return _attention(spark, d, 1)
+
+
+@query(f"WITH {_ATT}")
+def fused_merge_equals_single(spark, d):
+    """The states of seven parts of the positions, merged."""
+    return _attention(spark, d, 7)
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(v, lambda x: (least(greatest(round_even(x / step, 0), -8), 7) * step) ** 2)), 6) AS total FROM (SELECT vec_id, embedding::DOUBLE[] AS v, greatest(list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))), 1e-8) / 7 AS step FROM embeddings)")
+def quantized_weight_rows(spark, d):
+    return usable(_e(spark, d), "vec_id", "embedding", DIM).select("id", F.round(V.total(F.transform(tensor.quantized_rows(F.col("vec"), 4), lambda x: x * x)), 6).alias("total"))
+
+
+@query("SELECT d::INT AS d, round(2 * pi() * pow(10000.0::DOUBLE, 2.0::DOUBLE * (d // 2) / 64), 4) AS wavelength, CASE WHEN 2 * pi() * pow(10000.0::DOUBLE, 2.0::DOUBLE * (d // 2) / 64) > 4096 THEN 4 ELSE 3 END AS bits FROM range(64) t(d)")
+def rope_bit_allocation(spark, d):
+    return tensor.rope_bits(spark, 64, 4096).withColumn("wavelength", F.round("wavelength", 4))
+
+
+@query("SELECT r AS row, (r % 64) % 32 >= 28 AS protected FROM range(256) t(r)")
+def rope_protected_rows(spark, d):
+    return tensor.rope_protected(spark, 256, 64)
+
+
+_DECAY = "a AS (SELECT vec_id, i, abs(x) AS a FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings)), v AS (SELECT *, ln(-ln(least(greatest(a, 1e-9), 1 - 1e-9))) AS v FROM a), b AS (SELECT min(v) AS lo, greatest((max(v) - min(v)) / 15, 1e-30) AS step FROM v)"
+
+
+def _decays(spark, d) -> DataFrame:
+    return usable(_e(spark, d), "vec_id", "embedding", DIM).select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", F.abs("x").alias("a"))
+
+
+@query(f"WITH {_DECAY} SELECT vec_id AS id, i::INT AS i, round(least(greatest(exp(-exp(round_even((v - lo) / step, 0) * step + lo)), 0), 1 - 1e-9), 6) AS decay_q FROM v, b")
+def quantized_decay(spark, d):
+    return tensor.quantized_decay(_decays(spark, d), "a", 4).select("id", "i", F.round("decay_q", 6).alias("decay_q"))
+
+
+@query(f"WITH {_DECAY} SELECT count(*) AS n_channels, round(avg(1 / (1 - least(greatest(a, 0), 1 - 1e-9))), 6) AS mean_gain, round(max(1 / (1 - least(greatest(a, 0), 1 - 1e-9))), 6) AS max_gain, round(avg((a > 0.3)::INT::DOUBLE), 6) AS slow_channel_fraction FROM a")
+def decay_report(spark, d):
+    return stats_round(tensor.decay_report(_decays(spark, d), "a", 0.3))
+
+
+@query("WITH s AS (SELECT list_reverse_sort(embedding::DOUBLE[]) AS s FROM embeddings), m AS (SELECT s[1] - s[2] AS m FROM s) SELECT count(*) AS n_tokens, round(quantile_cont(m, 0.1), 6) AS margin_p10, round(quantile_cont(m, 0.5), 6) AS margin_p50, round(avg(m), 6) AS margin_mean, round(avg((m < sqrt(2.0::DOUBLE) * 0.05)::INT::DOUBLE), 6) AS predicted_flip_fraction FROM m")
+def routing_report(spark, d):
+    return stats_round(tensor.routing_report(usable(_e(spark, d), "vec_id", "embedding", DIM), V.margin(F.col("vec")), 0.05))
+
+
+@query("WITH x AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL) SELECT event_id, user_id, CASE WHEN n > 16 AND i <= ceil((n - 16) / 8.0) * 8 THEN 'cold' ELSE 'hot' END AS tier FROM x")
+def kv_hot_cold_split(spark, d):
+    return tensor.hot_cold(_t(spark, d, "events").where("user_id IS NOT NULL").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 16).select("event_id", "user_id", "tier")
 
 
 # -- streams and their batch twins

@@ -1,12 +1,21 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from embervane.functions import codec as C
-from embervane.operators import hubness, knn, stats
+from embervane.functions import plugins
+from embervane.operators import agreement, certificate, compress, hubness, knn, stats, strata_index
 from embervane.operators.index import VectorIndex
-from embervane.plans import dialect
+from embervane.operators.ivf import InvertedFile
+from embervane.operators.pca import Principal, Quantized, allocate_bits, codebook, codebook_error, coverage, drift
+from embervane.operators.ranks import rank_correlation, ranked
+from embervane.operators.strata_index import StratifiedIndex
+from embervane.plans import dialect, policy
+from embervane.sources import formats
 from embervane.sources.exports import export
 from embervane.streaming import monitor
 
@@ -106,7 +115,192 @@ def test_hubs_sum_up(table):
     areas = table.selectExpr("vec_id AS id", "label AS area")
     assert hubness.census(edges, areas).agg({"n_k": "sum"}).first()[0] == 240
     assert hubness.digest(areas).first() == hubness.digest(areas.repartition(3)).first()
-    assert hubness.gate(hubness.differential(edges, edges, areas, 4), 0.5).isEmpty()
+    report = hubness.strata_differential(edges, edges, areas, 4, q_min=1, least=0.5)
+    assert hubness.gate(report, 0.5).isEmpty() and hubness.summary(report).first()["exit_code"] == 0
+    thin = hubness.strata_differential(edges, edges, areas, 4, q_min=10**6)
+    assert hubness.summary(thin).first()["exit_code"] == 3 and hubness.gate(thin, 2.0).isEmpty()
+    with pytest.raises(ValueError):
+        hubness.guarded(hubness.with_digest(edges, areas), hubness.with_digest(edges, areas.where("id > 3")))
+    assert hubness.guarded(hubness.with_digest(edges, areas), hubness.with_digest(areas, areas))
+
+
+def test_ranks_need_no_single_partition(spark):
+    rng = np.random.default_rng(3)
+    x = [(i, float(a), float(b), i % 2) for i, (a, b) in enumerate(rng.integers(0, 20, (500, 2)))]
+    t = spark.createDataFrame(x, "id bigint, a double, b double, g int").repartition(7)
+    got = {r["id"]: r["r"] for r in ranked(t, ["a", "id"], "r").collect()}
+    assert got == {i: k for k, (_, i) in enumerate(sorted((a, i) for i, a, _, _ in x), 1)}
+    place = lambda j: {i: k for k, (_, i) in enumerate(sorted((r[j], r[0]) for r in x))}
+    pa_, pb = place(1), place(2)
+    want = np.corrcoef([pa_[i] for i in range(500)], [pb[i] for i in range(500)])[0, 1]
+    assert rank_correlation(t, "a", "b").first()[0] == pytest.approx(want)
+    assert ranked(t.where("false"), ["a", "id"], "r").count() == 0
+
+
+def test_certificates_count_each_pair_of_distances_once(spark):
+    d = np.array([1.0, 1.0, 2.0])
+    assert certificate.mu_hat(d, 1.0) == 0 and certificate.mu_hat(d, 1.5) == pytest.approx(1 / 3) and certificate.mu_hat(d, 3) == 1
+    rng = np.random.default_rng(5)
+    d = np.abs(rng.normal(1, 0.3, 60))
+    for k in (1.0, 1.1, 1.7):
+        slow = sum(max(a, b) < k * min(a, b) for i, a in enumerate(d) for b in d[i + 1 :])
+        assert certificate.mu_hat(d, k) == pytest.approx(slow / (60 * 59 / 2))
+    most = certificate.max_certifiable_kappa(d)
+    assert certificate.mu_hat(d, most) <= 0.5 < certificate.mu_hat(d, most + 0.01)
+    assert np.isnan(certificate.measure_kappa(np.array([0.0, 1.0]), np.array([1.0, 1.0]))) and certificate.measure_kappa(d, np.zeros(60)) == np.inf
+    pairs = spark.createDataFrame([(float(a), float(a) * 1.01) for a in d], "exact double, approx double")
+    row = certificate.certificate(pairs).first()
+    assert row["kappa"] == pytest.approx(1) and row["tau_floor"] == pytest.approx(1) and not row["vacuous"]
+
+
+def test_flips(spark):
+    t = spark.createDataFrame([(1, 1)] * 10 + [(1, 0)] * 6 + [(0, 1)] * 2 + [(0, 0)] * 2 + [(None, 1)], "b int, q int")
+    r = agreement.flip_rate(t, F.col("b") == 1, F.col("q") == 1).first()
+    assert (r["n"], r["regressions"], r["recoveries"], r["net_delta"]) == (20, 0.3, 0.1, -0.2)
+    assert r["mcnemar_p"] == pytest.approx(2 * sum(math.comb(8, i) for i in range(3)) / 256)
+    assert agreement.mcnemar(0, 0) == (0.0, 1.0) and agreement.mcnemar(60, 20)[1] < 1e-4
+    assert agreement.flip_rate(t.where("false"), F.col("b") == 1, F.col("q") == 1).first()["n"] == 0
+
+
+def test_components_pipelines_and_drift(rows, table, tmp_path):
+    x = rows[0].astype(float)
+    p = Principal.fit(table, 6, DIM)
+    u, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(p.eigenvalues, s**2 / 59, atol=1e-5) and np.allclose(np.abs(p.components), np.abs(v[:6]), atol=1e-4)
+    halves = Principal.fit(table.where("vec_id < 30"), 6, DIM).merge(table.where("vec_id >= 30"))
+    assert np.allclose(halves.eigenvalues, p.eigenvalues) and halves.n == 60
+    p.save(str(tmp_path / "p.npz"))
+    assert np.allclose(Principal.load(str(tmp_path / "p.npz")).components, p.components)
+    back = {r["id"]: r["vec"] for r in p.inverse(p.transform(table)).collect()}
+    assert np.allclose(back[7], p.back(p.project(x[7:8]))[0])
+    white = Principal.fit(table, DIM, DIM, whiten=True)
+    z = np.array([r["vec"] for r in white.transform(table).collect()])
+    assert np.allclose(np.cov(z.T), np.eye(DIM), atol=1e-3)
+    assert p.suggest_dim(0.5) <= p.suggest_dim(0.9) <= DIM and sum(n for n, _ in p.bit_schedule(3)) == 6
+    full = Principal.fit(table, DIM, DIM)
+    for model in (Quantized.uniform(full, 4), Quantized.weighted(full, 3)):
+        q = model.quality(table).first()
+        assert q["mean"] > 0.9 and model.ratio > 1
+        assert model.decompress(model.compress(table)).count() == 60
+    assert not drift(full, table).stale and drift(p, table.withColumn("embedding", F.expr("transform(embedding, x -> x * 3 + 5)"))).mean_shift > 1
+    with pytest.raises(ValueError):
+        Quantized.weighted(p, schedule=[(3, 4)])
+    c = coverage(table, table, DIM)
+    assert c.verdict == "ok" and abs(c.jeffreys) < 1e-6
+    even = allocate_bits(np.eye(4), 8.0)
+    assert np.allclose(even.bits, 2) and allocate_bits(np.diag([16.0, 1, 1, 1]), 8.0).bits[0] > 3
+
+
+def test_learned_levels_have_less_error(table):
+    codec = C.Codec(DIM, 3)
+    book = codebook(table, codec)
+    assert len(book) == 8 and (np.diff(book) >= 0).all() and codebook_error(table, codec, book) <= codebook_error(table, codec) + 1e-6
+
+
+def test_inverted_file_on_disk(spark, table, tmp_path):
+    ix = InvertedFile.create(table, str(tmp_path / "ivf"), C.Codec(DIM, 4), 5)
+    s = ix.stats().first()
+    assert s["rows"] == 60 and s["cells"] <= 5
+    flat = knn.adc_topk(C.encode(table, C.Codec(DIM, 4)), table, C.Codec(DIM, 4), 5).select("query", "rank", "id")
+    every, probes = ix.search(table, 5, nprobe=5)
+    assert every.select("query", "rank", "id").exceptAll(flat).count() == 0 and ix.scan_fraction(probes).first()["scan_fraction"] == 1
+    few, probes = ix.search(table, 5, nprobe=1)
+    assert ix.scan_fraction(probes).first()["scan_fraction"] < 1
+    truth = knn.topk(table, table, 5, dim=DIM)
+    found, _ = ix.search(table, 5, radius_scale=1.0, originals=table)
+    assert knn.recall(truth, found, 5).agg({"recall": "avg"}).first()[0] >= 0.9
+
+
+def test_stratified_index_and_allocation(table):
+    ix = StratifiedIndex.build(table, "label", {"0": 4, "1": 2}, DIM)
+    assert ix.mean_bits() == pytest.approx((4 + 2 + 3) / 3)
+    assert ix.search(table, 3, ix.digest).count() == 180
+    with pytest.raises(ValueError):
+        ix.search(table, 3, "another")
+    report = [{"area": a, "verdict": v, "anti_hub_recall": r} for a, v, r in (("a", "pass", 0.5), ("b", "pass", 0.9), ("c", "ABSTAIN", None), ("d", "pass", 0.7))]
+    n = dict.fromkeys("abcd", 100)
+    for bits in (strata_index.allocate_by_fragility(report, n), strata_index.allocate_max_min(report, n)):
+        assert sum(bits.values()) / 4 <= 3 and bits["a"] == 4 and bits["b"] <= 3
+    assert strata_index.stale_areas("mutation", set("abc"), "a", {"a": {"b", "z"}}) == {"a", "b"}
+    assert strata_index.stale_areas("map_recompute", set("ab")) == set("ab") and strata_index.stale_areas("operating_point", set("ab"), "b") == {"b"}
+    with pytest.raises(KeyError):
+        strata_index.stale_areas("mutation", set("ab"), "x")
+
+
+def test_sweeps_and_targets(table):
+    swept = compress.sweep(table, [8, DIM], [2, 4], DIM, 5, share_of_queries=2).cache()
+    best, frontier = compress.auto_compress(swept, "cosine > 0.9")
+    assert best["mean_cosine"] > 0.9 and frontier.count() >= 1
+    assert compress.auto_compress(swept, "cosine > 1.5")[0] is None and compress.autotune(swept, 0.0)[0]["ratio"] == swept.agg({"ratio": "max"}).first()[0]
+    assert compress.parse_target("recall@5 >= 0.9").k == 5
+    with pytest.raises(ValueError):
+        compress.parse_target("speed > 3")
+
+
+def test_policy(spark, table):
+    p = policy.Policy()
+    hits = spark.createDataFrame([(q, r, r, 1 - 0.0001 * r) for q in range(4) for r in range(3)], "query bigint, rank int, id bigint, score double")
+    assert p.retrieval(hits).action == "rerank_more" and not p.certificate({"vacuous": False, "tau_floor": 0.9}).conservative
+    assert p.certificate({"vacuous": True, "tau_floor": -1.0}).conservative and p.kv_keys(regime="unknown").conservative and not p.kv_keys(0.9).conservative
+    assert [d.situation for d in p.all(displacement=0.1, routing={"margin_p10": 1.0})] == ["routing", "a2"]
+
+
+def test_plugins():
+    r = plugins.Registry()
+    r.register(plugins.Plugin("nf4", plugins.BlockNF4))
+    with pytest.raises(ValueError):
+        r.register(plugins.Plugin("nf4", plugins.BlockNF4))
+    with pytest.raises(KeyError):
+        r.create("none")
+    x = np.random.default_rng(0).normal(size=(40, 50))
+    for name in plugins.REGISTRY.known:
+        assert all(plugins.conformance(plugins.REGISTRY.create(name), x).values()), name
+    for f in (plugins.READ_OPERATORS["identity"], plugins.softmax_read(x[:4]), plugins.declared(np.diag(np.arange(50.0)))):
+        assert all(plugins.read_conformance(f, x).values())
+    with pytest.raises(ValueError):
+        plugins.declared(-np.eye(3))
+
+
+def test_formats(spark, table, tmp_path):
+    codec = C.Codec(DIM, 3)
+    e = C.encode(table, codec)
+    for kind in ("record", "value", "message"):
+        back = formats.deserialized(formats.serialized(e, codec, kind), codec, kind)
+        assert back.join(e.withColumnRenamed("codes", "c"), "id").where("codes = c").count() == 60
+    broken = formats.deserialized(spark.createDataFrame([(1, b"xx"), (2, None)], "id bigint, data binary"), codec, "message")
+    assert broken.where("codes IS NULL").count() == 2
+    r = e.first()
+    data = C.record(codec, np.array(r["codes"]), r["cnorm"])
+    assert data[4] == 2 and formats.record_size(data + b"more") == len(data)
+    old = C.record(C.Codec(DIM, 3, 42, "qr"), np.array(r["codes"]), r["cnorm"])
+    assert old[4] == 1 and C.records(old + data)[0][0].family == "qr" and len(C.records(old + data)) == 2
+    at = str(tmp_path / "c")
+    formats.write_container(at, 3, [("meta", b"{}"), ("codes", bytes(100))])
+    assert formats.read_container(at) == (3, {"meta": b"{}", "codes": bytes(100)})
+    raw = open(at, "rb").read()
+    for bad in (raw[:-1], raw[:-1] + b"x", raw[:20], b"XXXX" + raw[4:]):
+        open(at, "wb").write(bad)
+        with pytest.raises(ValueError):
+            formats.read_container(at)
+    with pytest.raises(ValueError):
+        formats.write_container(at, 1, [("a", b""), ("a", b"")])
+    r_k, k, estimator = formats.unpack_scale(formats.pack_scale(np.arange(5.0), 10))
+    assert r_k.tolist() == [0, 1, 2, 3, 4] and (k, estimator) == (10, "exact_knn")
+    near = [(900, 0.5), (3, 0.25), (70000, 1.0)]
+    assert formats.unpack_neighbours(formats.pack_neighbours(near)) == sorted(near) and formats.unpack_neighbours(formats.pack_neighbours([])) == []
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    x = np.random.default_rng(2).random(300)
+    r = stats.bootstrap_ci(spark.createDataFrame(list(enumerate(x.tolist())), "query bigint, recall double"), n_boot=200).first()
+    assert r["lo"] < r["mean"] < r["hi"] and abs((r["hi"] - r["lo"]) / 2 - 1.96 * x.std() / np.sqrt(300)) < 0.02
+
+
+def test_centroids_beyond_a_broadcast(table, monkeypatch):
+    cells = knn.centroids(table, "label", DIM)
+    a = {r["id"]: r["cell"] for r in knn.assign(table, cells, DIM).collect()}
+    monkeypatch.setattr(knn, "CENTROID_BYTES", 0)
+    assert {r["id"]: r["cell"] for r in knn.assign(table, cells, DIM).collect()} == a
 
 
 def test_index_lifecycle_and_dialect(spark, table, tmp_path):
