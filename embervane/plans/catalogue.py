@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,8 @@ from embervane.functions.codec import Codec, bounds, decode, encode, fingerprint
 from embervane.operators import agreement, certificate, hubness, knn, remedies, stats, tensor
 from embervane.operators.index import VectorIndex
 from embervane.operators.pca import Principal, drift
+from embervane.operators.shards import ShardedIndex, placed, scatter_gather
+from embervane.operators.strata_index import StratifiedIndex
 from embervane.operators.ranks import rank_correlation
 from embervane.session import shared_dir, staged
 from embervane.sources.exports import export
@@ -456,11 +459,11 @@ def index_drift(spark, d):
     return spark.createDataFrame([(round(r.mean_shift, 6), round(r.retained_new, 6), r.stale)], "mean_shift double, retained_new double, stale boolean")
 
 
-@query(f"WITH {E} SELECT count(*) AS rows, count(*) - 2 * count(*) FILTER (vec_id % 5 = 0) + count(*) FILTER (vec_id % 10 = 0) + count(*) FILTER (vec_id % 5 = 0) AS live, count(*) FILTER (vec_id % 5 = 0) - count(*) FILTER (vec_id % 10 = 0) AS tombstones FROM e")
+@query(f"WITH {E} SELECT count(*) + count(*) FILTER (vec_id % 10 = 0) AS rows, count(*) - count(*) FILTER (vec_id % 5 = 0) + count(*) FILTER (vec_id % 10 = 0) AS live, count(*) FILTER (vec_id % 5 = 0) AS tombstones FROM e")
 def index_live_after_delete(spark, d):
     """Of an index of all rows, those whose id is a multiple of 5 are deleted and every other one of them is put back."""
     e = _e(spark, d)
-    ix = VectorIndex.create(e, f"{shared_dir(spark)}/index", Codec(DIM))
+    ix = VectorIndex.create(e, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Codec(DIM))
     ix.delete(e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id")))
     ix.add(e.where("vec_id % 10 = 0"), upsert=True)
     return ix.stats().select("rows", "live", "tombstones")
@@ -587,6 +590,32 @@ def ivf_probe_all_equals_flat(spark, d):
     return _rounded(knn.ivf_search(e, staged(knn.centroids(e, "label", DIM), "cells"), e, K, 10, DIM, exclude_self=True))
 
 
+@query(f"WITH {E}, {_code_sql(4)}, {_knn_sql(_ADC, base='c', queries='c')} {_ROUND} knn")
+def sharded_equals_single(spark, d):
+    """Four servers' searches of their shards, merged."""
+    e = _e(spark, d)
+    ix = ShardedIndex.create(e, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", Codec(DIM), 64)
+    return _rounded(scatter_gather(ix, e, K, placed(ix.manifest, 4), exclude_self=True))
+
+
+@query(f"WITH {E}, {_code_sql(3, 'c3')}, {_code_sql(4, 'c4')}, ci AS (SELECT c3.vec_id, c3.v, c3.n, c3.r, CASE WHEN label % 2 = 0 THEN c4.cc ELSE c3.cc END AS cc FROM c3 JOIN c4 ON c4.vec_id = c3.vec_id JOIN e ON e.vec_id = c3.vec_id), {_knn_sql(_ADC, base='ci', queries='ci')} {_ROUND} knn")
+def stratified_top10(spark, d):
+    """Even labels at 4 bits, odd ones at 3."""
+    e = _e(spark, d)
+    ix = StratifiedIndex.build(e, "label", {str(k): 4 - k % 2 for k in range(10)}, DIM)
+    return _rounded(ix.search(e, K, ix.digest, exclude_self=True))
+
+
+@query(f"WITH {E}, {_code_sql(4)}, cs AS (SELECT c.vec_id, label, round(list_inner_product(r, cc) / sqrt(list_inner_product(cc, cc)) / sqrt(list_inner_product(r, r)), 9) AS cosine FROM c JOIN e USING (vec_id)) SELECT label, count(*) AS n_total, count(*) AS n_window, round(avg(cosine), 6) AS mean, round(min(cosine), 6) AS least, round(stddev_pop(cosine), 6) AS deviation, round(quantile_cont(cosine, 0.05), 6) AS p05, avg(cosine) >= 0.95 AS healthy FROM cs GROUP BY label")
+def quality_monitor(spark, d):
+    """Embeddings and what four bits leave of them, a stream for each label; labels have fewer rows than the window."""
+    e, codec = _e(spark, d), Codec(DIM)
+    back = decode(encode(e, codec), codec).withColumnRenamed("vec", "reconstructed")
+    pairs = e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("original")).join(back, "id")
+    q = monitor.with_quality(pairs).withColumn("cosine", F.round("cosine", 9))
+    return stats_round(monitor.quality_stats(q, "label", "id").drop("median_tangential", "drifted"))
+
+
 # -- tensors: embeddings as 8 heads of 8 channels, the id being the position
 
 _X = "x AS MATERIALIZED (SELECT (i // 8)::INT AS h, vec_id AS s, (i % 8)::INT AS d, x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings))"

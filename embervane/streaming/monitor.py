@@ -46,3 +46,58 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     q = stream.writeStream.format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/data")
+
+
+def with_quality(pairs: DataFrame, original: str = "original", reconstructed: str = "reconstructed") -> DataFrame:
+    """``pairs`` with cosine, of two vectors, 0 where either is 0, and tangential, the share of their displacement that isn't radial, null where they are equal."""
+    from embervane.functions.vector import cosine, tangential_fraction
+
+    a, b = F.col(original), F.col(reconstructed)
+    return pairs.withColumn("cosine", cosine(a, b)).withColumn("tangential", tangential_fraction(a, b))
+
+
+def quality_stats(pairs: DataFrame, key: str, order: str, window: int = 1000, floor: float = 0.95, tangential_floor: float = 0.0) -> DataFrame:
+    """(key, n_total, n_window, mean, least, deviation, p05, median_tangential, drifted, healthy) of the last ``window`` rows (key, order, cosine, tangential) of each key.
+
+    A key drifts where the earlier and the later half of its window differ by a Kolmogorov-Smirnov test; it is
+    healthy where the mean is at the floor and the median tangential share at its own.
+    """
+    from pyspark.sql.window import Window
+
+    from embervane.operators.stats import ks_halves
+
+    own = pairs.where(F.col("cosine").isNotNull() & F.col(key).isNotNull())
+    last = own.withColumn("__n", F.count("*").over(Window.partitionBy(key))).withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("__at") <= window)
+    s = last.groupBy(key).agg(F.max("__n").alias("n_total"), F.count("*").alias("n_window"), F.avg("cosine").alias("mean"), F.min("cosine").alias("least"), F.stddev_pop("cosine").alias("deviation"), F.percentile("cosine", F.lit(0.05)).alias("p05"), F.percentile("tangential", F.lit(0.5)).alias("median_tangential"))
+    ks = ks_halves(last, key, order, "cosine").select(key, "drifted")
+    healthy = (F.col("mean") >= floor) & F.coalesce(F.col("median_tangential") >= tangential_floor, F.lit(True))
+    return s.join(ks, key, "left").withColumn("drifted", F.coalesce("drifted", F.lit(False))).withColumn("healthy", healthy)
+
+
+def metrics(stats: DataFrame, key: str) -> DataFrame:
+    """(key, name, value): quality_stats() as gauges."""
+    names = ["mean", "least", "deviation", "p05", "n_total", "median_tangential", "drifted", "healthy"]
+    gauges = [F.struct(F.lit(f"embervane_quality_{n}").alias("name"), F.col(n).cast("double").alias("value")) for n in names]
+    return stats.select(key, F.explode(F.array(*gauges)).alias("g")).select(key, "g.name", "g.value")
+
+
+def alerts(stats: DataFrame, key: str, floor: float = 0.95, tangential_floor: float = 0.0) -> DataFrame:
+    """(key, reason) of what is wrong."""
+    reasons = F.array(F.when(F.col("mean") < floor, F.lit("mean under the floor")), F.when(F.col("median_tangential") < tangential_floor, F.lit("displacements are radial")), F.when(F.col("drifted"), F.lit("drift")))
+    return stats.select(key, F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("reason"))
+
+
+def store(puts: DataFrame, key: str, at: str, ttl: str, now) -> DataFrame:
+    """The live entries of a cache with time to live: of each key the last put, unless it is older than ``ttl`` (seconds, null for ever) at ``now``."""
+    last = puts.groupBy(key).agg(F.max_by(F.struct(*puts.columns), at).alias("r")).select("r.*")
+    return last.where(F.col(ttl).isNull() | (F.col(at).cast("timestamp") + F.make_dt_interval(secs=F.col(ttl)) > F.lit(now).cast("timestamp")))
+
+
+def looked_up(requests: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """``requests`` with hit and what the cache has of their key; a miss has nulls."""
+    return requests.join(live.withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def hit_counts(found: DataFrame) -> DataFrame:
+    """One row (requests, hits, misses, hit_rate)."""
+    return found.agg(F.count("*").alias("requests"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"), F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)).alias("hit_rate"))

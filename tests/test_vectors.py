@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from embervane.functions import codec as C
 from embervane.functions import plugins
-from embervane.operators import agreement, certificate, compress, hubness, knn, stats, strata_index
+from embervane.__main__ import main as cli
+from embervane.operators import agreement, certificate, compress, hubness, knn, shards, stats, strata_index
 from embervane.operators.index import VectorIndex
 from embervane.operators.ivf import InvertedFile
 from embervane.operators.pca import Principal, Quantized, allocate_bits, codebook, codebook_error, coverage, drift
 from embervane.operators.ranks import rank_correlation, ranked
+from embervane.operators.shards import ShardedIndex
 from embervane.operators.strata_index import StratifiedIndex
 from embervane.plans import dialect, policy
 from embervane.sources import formats
@@ -316,15 +318,78 @@ def test_index_lifecycle_and_dialect(spark, table, tmp_path):
     ix.add(table.where("vec_id = 1"), upsert=True)
     ix.compact()
     assert ix.stats().first()[:3] == (59, 59, 0)
+    assert ix.info()["segments"] == 1 and ix.vacuum() == 5 and ix.migrate() == 2 and ix.search(table, 3).count() == 180
     sql = f"SELECT id, score FROM '{ix.path}' ORDER BY COSINE(:q) LIMIT 5 WITH (RECALL >= 0.9)"
-    sweep = dialect.calibrate(ix, table, table, 5)
-    assert dialect.execute("EXPLAIN " + sql, ix, table, table, sweep).first()["recall"] >= 0.9
-    assert dialect.execute(sql, ix, table, table, sweep).count() == 300
-    for bad in (sql.replace("ORDER", "WHERE id = 1 ORDER"), "SELECT 1", sql.replace("0.9", "1.5")):
+    with pytest.raises(RuntimeError):
+        dialect.execute(sql, ix, table, table)
+    sweep = dialect.execute(f"ANALYZE INDEX '{ix.path}' WITH (K = 5)", ix, table, table).collect()
+    assert [r["cost"] for r in sweep] == list(dialect.GRID) and sweep[-1]["recall"] >= 0.9
+    assert dialect.catalog(VectorIndex(spark, ix.path))["geometry"]["rows"] == 60
+    told = dialect.execute("EXPLAIN " + sql, ix, table, table).first()
+    assert told["recall"] >= 0.9 and told["reachable"] and not told["warnings"]
+    assert dialect.execute("EXPLAIN " + sql.replace("LIMIT 5", "LIMIT 6"), ix, table, table).first()["warnings"]
+    assert dialect.execute(sql, ix, table, table).count() == 300
+    certified = dialect.execute(sql.replace("RECALL >= 0.9", "RERANK = 2, CERTIFY"), ix, table, table)
+    assert certified.count() == 300 and "tau_floor" in certified.columns
+    assert dialect.execute(f"SELECT id FROM '{ix.path}' LIMIT 2", ix, table, table).columns == ["query", "rank", "id"]
+    for bad in (sql.replace("ORDER", "WHERE id = 1 ORDER"), "SELECT 1", sql.replace("0.9", "1.5"), sql + " more", sql.replace("LIMIT 5", "LIMIT 0"), "ANALYZE INDEX", sql.replace("id, score", "name")):
         with pytest.raises(ValueError):
             dialect.parse(bad)
 
 
+def test_index_versions_stay_whole(spark, table, tmp_path):
+    ix = VectorIndex.create(table, str(tmp_path / "ix"), C.Codec(DIM))
+    other = VectorIndex(spark, ix.path)
+    ix.delete(spark.createDataFrame([(3,)], "id bigint"))
+    with pytest.raises(RuntimeError):
+        other.add(table.where("vec_id < 0"))
+    (tmp_path / "ix" / "_log" / "00000099.zzz.part").write_text("{")
+    assert VectorIndex(spark, ix.path).stats().first()["live"] == 59
+    with pytest.raises(FileNotFoundError):
+        VectorIndex(spark, str(tmp_path / "none"))
+
+
+def test_shards(spark, table, tmp_path):
+    codec = C.Codec(DIM)
+    ix = ShardedIndex.create(table, str(tmp_path / "a"), codec, 16)
+    assert ix.stats() == {"shards": 4, "rows": 60} and ix.missing(6) == [4, 5]
+    flat = knn.adc_topk(C.encode(table, codec), table, codec, 5)
+    same = lambda x: x.select("query", "rank", "id").exceptAll(flat.select("query", "rank", "id")).count() == 0 and x.count() == 300
+    place = shards.placed(ix.manifest, 3)
+    assert same(ix.search(table, 5)) and same(shards.scatter_gather(ix, table, 5, place))
+    cells = knn.centroids(table, "label", DIM)
+    ix.build_cells(table, cells)
+    assert same(ix.search_routed(table, cells, 5, 3))
+    assert shards.servers_for(ix.routed(table, cells, 1), place).select("server").distinct().count() <= 3
+    for n, part in enumerate(("vec_id < 30", "vec_id >= 30")):
+        ShardedIndex.write_shard(table.where(part), str(tmp_path / "b"), n, codec)
+    ShardedIndex.write_shard(table.where("vec_id >= 30"), str(tmp_path / "b"), 1, codec)
+    assert ShardedIndex.finalize(spark, str(tmp_path / "b"), codec).stats() == {"shards": 2, "rows": 60}
+    table.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert same(ShardedIndex.create_streaming(stream, str(tmp_path / "c"), codec, str(tmp_path / "state")).search(table, 5))
+
+
+def test_command_line(spark, table, tmp_path, capsys):
+    at, ix = str(tmp_path / "v"), str(tmp_path / "ix")
+    table.write.parquet(at)
+    for args, code in ((["create", ix, at, "--dim", str(DIM)], 0), (["info", ix], 0), (["anatomy", at, "--dim", str(DIM), "-k", "3"], 0), (["strata", at, "label", "--dim", str(DIM), "-k", "3"], 3), (["hubdiff", ix, at, "label", "--dim", str(DIM), "-k", "3", "--q-min", "1", "--least", "1.1"], 1), (["info", str(tmp_path / "none")], 2), (["query", "SELECT 1", at, at], 2), (["nothing"], 2)):
+        assert cli(args) == code, args
+
+
+def test_quality_streams_and_cache(spark, table):
+    pairs = table.selectExpr("vec_id AS id", "label", "CAST(embedding AS array<double>) AS original", "transform(CAST(embedding AS array<double>), (x, i) -> IF(vec_id > 45, IF(i = 0, 9D, 0D), x)) AS reconstructed")
+    s = monitor.quality_stats(monitor.with_quality(pairs), "label", "id", floor=0.9)
+    got = {r["label"]: r for r in s.collect()}
+    assert all(r["n_total"] == 20 and not r["healthy"] and r["mean"] < 0.9 for r in got.values())
+    assert monitor.alerts(s, "label", 0.9).count() >= 3 and monitor.metrics(s, "label").count() == 24
+    puts = spark.createDataFrame([("a", 1, "2024-01-01 00:00:00", 60), ("a", 2, "2024-01-01 00:01:00", 60), ("b", 3, "2024-01-01 00:00:00", 60), ("c", 4, "2023-01-01 00:00:00", None)], "key string, value int, at string, ttl int").withColumn("at", F.to_timestamp("at"))
+    live = monitor.store(puts, "key", "at", "ttl", "2024-01-01 00:01:30")
+    assert {r["key"]: r["value"] for r in live.collect()} == {"a": 2, "c": 4}
+    found = monitor.looked_up(spark.createDataFrame([("a",), ("b",), ("x",)], "key string"), live, "key")
+    assert monitor.hit_counts(found).first()[:3] == (3, 1, 2)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, "a" if i % 3 else "b", float(i % 17)) for i in range(200)]
     spark.createDataFrame(rows, "event_id bigint, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "e"))
