@@ -191,6 +191,47 @@ def spherical_kmeans(df: DataFrame, k: int, rounds: int = 5, dim: int = 64, id:
     return cells
 
 
+def hierarchical_cells(df: DataFrame, top: int, sub: int, rounds: int = 5, dim: int = 64, id: str = "vec_id", vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(tops (cell, centroid), leaves (cell, top, centroid)): k-means of all rows, then of the rows of each top cell, whose leaves are numbered top * sub + i."""
+    from embervane.session import staged
+
+    tops = staged(spherical_kmeans(df, top, rounds, dim, id, vec), "tops")
+    own = staged(assign(df, tops, dim, id, vec).join(usable(df, id, vec, dim), "id").select("id", "vec", F.col("cell").alias("top")), "own")
+    # the first rows of each top, by a hash, are its leaves' first centroids
+    place = F.row_number().over(Window.partitionBy("top").orderBy(F.xxhash64("id"), "id")) - 1
+    leaves = staged(own.withColumn("i", place).where(F.col("i") < sub).select((F.col("top") * sub + F.col("i")).cast("int").alias("cell"), F.col("vec").alias("centroid")), "leaves")
+    for _ in range(rounds):
+        leaves = staged(centroids(_leaf_of(own, leaves, sub, dim).join(own, "id"), "cell", dim, "vec"), "leaves")
+    return tops, leaves.withColumn("top", F.floor(F.col("cell") / sub).cast("int"))
+
+
+def _leaf_of(own: DataFrame, leaves: DataFrame, sub: int, dim: int) -> DataFrame:
+    """(id, cell): the nearest leaf within each row's top cell."""
+    got = leaves.orderBy("cell").collect()
+    c = np.array([r["centroid"] for r in got], np.float64).reshape(-1, dim)
+    if c.nbytes > CENTROID_BYTES:
+        raise ValueError(f"{len(c)} leaves are more than {CENTROID_BYTES} bytes: train fewer")
+    names = np.array([r["cell"] for r in got], np.int64)
+    unit = c / np.maximum(np.sqrt((c * c).sum(1)), 1e-30)[:, None]
+    shared = own.sparkSession.sparkContext.broadcast((names, unit))
+
+    def f(batches):
+        names, unit = shared.value
+        for b in batches:
+            s = matrix(b.column("vec"), dim) @ unit.T
+            s[b.column("top").to_numpy()[:, None] != names[None, :] // sub] = -np.inf
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names[s.argmax(1)].astype(np.int32))], ["id", "cell"])
+
+    prepare(own.sparkSession)
+    return own.select("id", "vec", "top").mapInArrow(f, "id bigint, cell int")
+
+
+def assign_hierarchical(df: DataFrame, tops: DataFrame, leaves: DataFrame, sub: int, dim: int = 64, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(id, cell): of each row the best leaf of its best top cell."""
+    own = assign(df, tops, dim, id, vec).join(usable(df, id, vec, dim), "id").select("id", "vec", F.col("cell").alias("top"))
+    return _leaf_of(own, leaves.select("cell", "centroid"), sub, dim)
+
+
 def scan_cells(rows: DataFrame, probes: DataFrame, queries: DataFrame, k: int, dim: int, exclude_self: bool = False, metric: str = "cosine", base_matrix=None, query_matrix=None) -> DataFrame:
     """(query, id, score): of every probe (query, cell) the k best of the cell's rows (cell, id, vec ...), a matrix product for each chunk of a cell.
 

@@ -59,6 +59,25 @@ def nearest(x: Column, levels: tuple[float, ...]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, middles)), lambda m: m < x))
 
 
+def calibrated_levels(x: DataFrame, bits: int = 4, rounds: int = 20) -> DataFrame:
+    """(h, d, levels) of least squared error for each channel, by Lloyd's rounds from its quantiles; a level without values stays where it is.  Each round is one aggregation by channel and level."""
+    from embervane.session import staged
+
+    n = 1 << bits
+    lv = staged(x.groupBy("h", "d").agg(F.sort_array(F.percentile("x", F.array(*(F.lit(i / (n - 1)) for i in range(n))))).alias("levels")), "levels")
+    for _ in range(rounds):
+        own = x.join(lv, ["h", "d"]).withColumn("i", nearest_of("x", "levels"))
+        means = own.groupBy("h", "d", "i").agg(F.avg("x").alias("m")).groupBy("h", "d").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("means"))
+        lv = staged(lv.join(means, ["h", "d"]).select("h", "d", F.sort_array(F.transform("levels", lambda v, i: F.coalesce(F.element_at("means", i), v))).alias("levels")), "levels")
+    return lv
+
+
+def nearest_of(x: str, levels: str) -> Column:
+    """The index of the nearest of an ascending array of levels, the lower of two equally near."""
+    middles = F.zip_with(F.slice(levels, 1, F.size(levels) - 1), F.slice(levels, 2, F.size(levels) - 1), lambda a, b: (a + b) / 2)
+    return F.size(F.filter(middles, lambda m: m < F.col(x)))
+
+
 def attention_parts(q: DataFrame, k: DataFrame, v: DataFrame, part: Column, width: int) -> DataFrame:
     """(h, part, m, l, d, acc) of online softmax over each part of the positions: greatest score, sum of exponentials, and of exponentials times values; q is (h, d, x) of one query."""
     scores = k.join(F.broadcast(q.select("h", "d", F.col("x").alias("q"))), ["h", "d"]).groupBy("h", "s").agg((F.sum(F.col("x") * F.col("q")) / math.sqrt(width)).alias("score")).withColumn("part", part)

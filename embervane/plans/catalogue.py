@@ -17,7 +17,7 @@ from embervane.operators.pca import Principal, drift
 from embervane.operators.shards import ShardedIndex, placed, scatter_gather
 from embervane.operators.strata_index import StratifiedIndex
 from embervane.operators.ranks import rank_correlation
-from embervane.session import shared_dir, staged
+from embervane.session import staged, staging_dir
 from embervane.sources.exports import export
 from embervane.streaming import monitor
 
@@ -211,6 +211,18 @@ def code_inner_product(spark, d):
     return x.join(y, "a").select("a", "b", F.round(F.col("na") * F.col("nb") * ab, 6).alias("inner_product"), F.round(ab / F.sqrt(V.dot(F.col("ca"), F.col("ca")) * V.dot(F.col("cb"), F.col("cb"))), 6).alias("cosine"))
 
 
+@query(f"WITH {E}, {_code_sql(4)}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.n AS na, b.n AS nb, {_CC} AS ab, list_inner_product(a.cc, a.cc) AS aa, list_inner_product(b.cc, b.cc) AS bb FROM c a JOIN c b ON b.vec_id = a.vec_id + 1) SELECT a, b, round(1 - ab / sqrt(aa * bb), 6) AS cosine_distance, round(greatest(na * na * aa + nb * nb * bb - 2 * na * nb * ab, 0), 6) AS squared_distance, round(sqrt(greatest(na * na * aa + nb * nb * bb - 2 * na * nb * ab, 0)), 6) AS distance FROM p")
+def code_distances(spark, d):
+    """Distances of what codes stand for, without decoding them."""
+    c = encode(_e(spark, d), Codec(DIM))
+    table = F.array(*(F.lit(float(x)) for x in levels(4, DIM)))
+    x = c.select(F.col("id").alias("a"), F.col("cnorm").alias("na"), F.transform("codes", lambda k: F.get(table, k.cast("int"))).alias("ca"))
+    y = x.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
+    ab, aa, bb = V.dot(F.col("ca"), F.col("cb")), V.dot(F.col("ca"), F.col("ca")), V.dot(F.col("cb"), F.col("cb"))
+    sq = F.greatest(F.col("na") * F.col("na") * aa + F.col("nb") * F.col("nb") * bb - 2 * F.col("na") * F.col("nb") * ab, F.lit(0.0))
+    return x.join(y, "a").select("a", "b", F.round(1 - ab / F.sqrt(aa * bb), 6).alias("cosine_distance"), F.round(sq, 6).alias("squared_distance"), F.round(F.sqrt(sq), 6).alias("distance"))
+
+
 @query(f"SELECT label, count(*) AS rows, (count(*) * {packed_cols(DIM, 4) + 4})::BIGINT AS bytes, {DIM * 4 / (packed_cols(DIM, 4) + 4)!r}::DOUBLE AS ratio, sha256('{DIM}:4:42:hadamard:') AS fingerprint FROM embeddings GROUP BY label")
 def tq_size_ratio(spark, d):
     per = packed_cols(DIM, 4) + 4
@@ -463,7 +475,7 @@ def index_drift(spark, d):
 def index_live_after_delete(spark, d):
     """Of an index of all rows, those whose id is a multiple of 5 are deleted and every other one of them is put back."""
     e = _e(spark, d)
-    ix = VectorIndex.create(e, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Codec(DIM))
+    ix = VectorIndex.create(e, f"{staging_dir(spark)}/index-{uuid.uuid4().hex}", Codec(DIM))
     ix.delete(e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id")))
     ix.add(e.where("vec_id % 10 = 0"), upsert=True)
     return ix.stats().select("rows", "live", "tombstones")
@@ -594,7 +606,7 @@ def ivf_probe_all_equals_flat(spark, d):
 def sharded_equals_single(spark, d):
     """Four servers' searches of their shards, merged."""
     e = _e(spark, d)
-    ix = ShardedIndex.create(e, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", Codec(DIM), 64)
+    ix = ShardedIndex.create(e, f"{staging_dir(spark)}/shards-{uuid.uuid4().hex}", Codec(DIM), 64)
     return _rounded(scatter_gather(ix, e, K, placed(ix.manifest, 4), exclude_self=True))
 
 

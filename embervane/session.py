@@ -36,10 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the driver ends, for results may be read until then."""
+    at = f"{shared_dir(spark)}/embervane-{spark.sparkContext.applicationId}"
+    if at not in _STAGING:
+        _STAGING.add(at)
+        atexit.register(_removed, spark._jvm, spark._jsc.hadoopConfiguration(), at)
+    return at
+
+
+_STAGING: set[str] = set()
+
+
+def _removed(jvm, conf, path: str) -> None:
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001 - the JVM may have gone before: then the folder stays
+        pass
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and rereads it: the plan is cut, and what is read back survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -39,10 +39,10 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now, exactly once, into a Parquet table of the shared folder, and reads that."""
     import uuid
 
-    from embervane.session import shared_dir
+    from embervane.session import staging_dir
 
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    at = f"{staging_dir(spark)}/{label}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/data")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from embervane.functions import codec as C
 from embervane.functions import plugins
 from embervane.__main__ import main as cli
-from embervane.operators import agreement, certificate, compress, hubness, knn, shards, stats, strata_index
+from embervane.operators import agreement, certificate, compress, hubness, knn, probe, shards, stats, strata_index, tensor
 from embervane.operators.index import VectorIndex
 from embervane.operators.ivf import InvertedFile
 from embervane.operators.pca import Principal, Quantized, allocate_bits, codebook, codebook_error, coverage, drift
@@ -390,6 +390,33 @@ def test_quality_streams_and_cache(spark, table):
     assert monitor.hit_counts(found).first()[:3] == (3, 1, 2)
 
 
+def test_probes(table):
+    r = probe.recommend(table, DIM, every=10)
+    assert r["recommendation"] in ("polar", "per_channel") and r["polar"] > 0.9 and r["per_channel"] > 0.9
+    assert probe.spectrum(np.diag([4.0, 2, 1e-9])) == {"effective_rank": 2, "condition": pytest.approx(4e9)}
+    assert sum(probe.taper(100)) == 100 and probe.taper(100)[0] == 4
+    x = C.usable(table, "vec_id", "embedding", DIM)
+    assert probe.tapered(x, [8] * DIM, DIM).count() == 60
+    a, b = (probe.block_hashes({"m": 1}, list(range(40)) + tail) for tail in ([7] * 8, [8] * 8))
+    assert len(a) == 3 and a[:2] == b[:2] and a[2] != b[2] and probe.block_hashes({"m": 2}, list(range(40)))[0] != a[0]
+    with pytest.raises(ValueError):
+        probe.block_hashes({"m": None}, [1])
+    assert not probe.compatible({"m": None}, {"m": None}) and probe.compatible({"m": 1}, {"m": 1})
+    assert probe.fingerprint(table, "vec_id", "embedding") == probe.fingerprint(table.repartition(5), "vec_id", "embedding")
+
+
+def test_hierarchical_cells_and_channel_levels(table):
+    tops, leaves = knn.hierarchical_cells(table, 3, 4, 2, DIM)
+    a = knn.assign_hierarchical(table, tops, leaves, 4, DIM)
+    top = {r["id"]: r["cell"] for r in knn.assign(table, tops, DIM).collect()}
+    assert a.count() == 60 and all(r["cell"] // 4 == top[r["id"]] for r in a.collect())
+    x = tensor.long_table(table, 4)
+    lv = tensor.calibrated_levels(x, 2, 3)
+    own = x.join(lv, ["h", "d"]).withColumn("y", F.element_at("levels", tensor.nearest_of("x", "levels") + 1))
+    flat = tensor.per_channel(x, 2)
+    assert lv.count() == DIM and own.agg(F.avg((F.col("x") - F.col("y")) ** 2)).first()[0] < flat.agg(F.avg((F.col("x") - F.col("y")) ** 2)).first()[0]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, "a" if i % 3 else "b", float(i % 17)) for i in range(200)]
     spark.createDataFrame(rows, "event_id bigint, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "e"))
