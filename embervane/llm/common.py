@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +17,24 @@ BatchMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def map_arrow(df: DataFrame, f: BatchMap, schema: str) -> DataFrame:
+    """mapInArrow() of ``f``; a worker gives what a task has used back to the system before its next one."""
     prepare(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def g(batches):
+        try:
+            yield from f(batches)
+        finally:
+            released_memory()
+
+    return df.mapInArrow(g, schema)
+
+
+def released_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library: it keeps its free memory
 
 
 def per_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

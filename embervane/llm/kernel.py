@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one numpy pass takes at once; a longer document is taken whole.
-SLICE_BYTES = 1 << 20
+#: Bytes of text and rows that one numpy pass takes at once; a longer document is taken whole.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240117))
@@ -39,13 +39,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
+    """Cuts a batch into runs of rows whose texts hold about ``limit`` bytes (one row at least), of ``SLICE_ROWS`` rows at most."""
     n = batch.num_rows
     if not n:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    piece = np.cumsum(size, dtype=np.int64) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), n]
+    piece, part = np.cumsum(size, dtype=np.int64) // limit, np.arange(n) // SLICE_ROWS
+    cuts = [0, *(np.flatnonzero(np.diff(piece) | np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
 

@@ -1,4 +1,4 @@
-"""The stages on a small corpus with planted cases, each against brute force."""
+"""The stages on a small corpus with planted cases, and on odd tables; brute force of each operator is in test_operators.py."""
 
 import corpus_pipeline
 from embervane.llm import bpe
@@ -33,3 +33,33 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     core = bpe.codec().core
     assert {r["doc_id"]: list(r["tokens"]) for r in got} == {d: core.encode_ordinary(t) for d, t in seen["secrets"].items()}
+
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, `key` string, rows int, __at int, levels string, class_id bigint, a string, b string"
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ties, clashing names; then no rows at all."""
+    words = " ".join(f"wort{k % 977} und {k}" for k in range(30000))
+    long = " ".join(f"stück{k} oder" for k in range(400_000))
+    rows = [(1, words, "de"), (1, words, "de"), (2, words, None), (3, None, "de"), (4, "", "de"), (None, words + " anderer", "de"), (5, long, "de"), (6, "ein kurzer satz und ein anderer kurzer satz", "de"), (7, "ein kurzer satz und ein anderer kurzer satz", None), (8, " . ! ", None)]
+    more = (0, "x", 1, 2, "y", 3, "z", "w")
+    docs = spark.createDataFrame([(i, t, lang, None, None, *more) for i, t, lang in rows], COLUMNS)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars", *docs.columns[5:])
+    spark.createDataFrame([(1, "frage die in keinem text steht"), (None, "x"), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {"language": [1, 1, 2, 5, 6, 7, None], "near_duplicates": [1, 5, 6, None], "decontamination": [1, 5, 6, None], "secrets": [1, 5, 6, None]}
+    step = docs
+    for name, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, str(tmp_path))
+        if name in want:
+            assert step.columns == docs.columns
+            step.write.parquet(str(tmp_path / name))
+            step = spark.read.parquet(str(tmp_path / name))
+            assert sorted((r[0] for r in step.select("doc_id").collect()), key=lambda i: (i is None, i or 0)) == want[name], name
+            assert {r["class_id"] for r in step.collect()} == {3} if "class_id" in step.columns else True
+    core = bpe.codec().core
+    got = {r["doc_id"]: list(r["tokens"]) for r in step.collect()}
+    assert got == {i: core.encode_ordinary(t) for i, t in ((1, words), (5, long), (6, rows[7][1]), (None, words + " anderer"))}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), str(tmp_path))
+        assert none.count() == 0, name
