@@ -37,6 +37,14 @@ def released_memory() -> None:
         pass  # not this C library: it keeps its free memory
 
 
+def fresh(df: DataFrame) -> str:
+    """A name that no column of ``df`` has, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, "__own"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def per_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Recuts sorted batches so that no run of equal keys is divided."""
     held: list[pa.RecordBatch] = []

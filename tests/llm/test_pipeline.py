@@ -35,14 +35,14 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"]: list(r["tokens"]) for r in got} == {d: core.encode_ordinary(t) for d, t in seen["secrets"].items()}
 
 
-COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, `key` string, rows int, __at int, levels string, class_id bigint, a string, b string"
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, `key` string, rows int, __own int, levels string, class_id bigint, a string, b string"
 
 
 def test_stages_take_odd_tables(spark, tmp_path):
     """Nulls in any column, empty and very long texts, repeated rows and ties, clashing names; then no rows at all."""
     words = " ".join(f"wort{k % 977} und {k}" for k in range(30000))
     long = " ".join(f"stück{k} oder" for k in range(400_000))
-    rows = [(1, words, "de"), (1, words, "de"), (2, words, None), (3, None, "de"), (4, "", "de"), (None, words + " anderer", "de"), (5, long, "de"), (6, "ein kurzer satz und ein anderer kurzer satz", "de"), (7, "ein kurzer satz und ein anderer kurzer satz", None), (8, " . ! ", None)]
+    rows = [(1, words, "de"), (1, words, "de"), (2, words, None), (3, None, "de"), (4, "", "de"), (None, words + " anderer", "de"), (5, long, "de"), (6, "wort1 und 5 wort2 und 77 stück9 oder stück44 oder wort3 und 8", "de"), (7, "wort1 und 5 wort2 und 77 stück9 oder stück44 oder wort3 und 8", None), (8, " . ! ", None)]
     more = (0, "x", 1, 2, "y", 3, "z", "w")
     docs = spark.createDataFrame([(i, t, lang, None, None, *more) for i, t, lang in rows], COLUMNS)
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars", *docs.columns[5:])
