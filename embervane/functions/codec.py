@@ -21,6 +21,8 @@ from embervane.session import prepare
 
 _HALF = {2: (0.453, 1.510), 3: (0.069, 0.500, 1.050, 1.748), 4: (0.066, 0.262, 0.524, 0.800, 1.099, 1.437, 1.844, 2.401)}
 SLOTS = {1: 1, 2: 2, 3: 4, 4: 4}
+#: Numbers of a row from which the fast transform is faster than a matrix product.
+FAST = 512
 
 
 def levels(bits: int, dim: int) -> np.ndarray:
@@ -73,17 +75,27 @@ class Codec:
     def rotated_by(self) -> np.ndarray:
         return rotation(self.dim, self.seed, self.family)
 
+    def _fast(self) -> bool:
+        return self.dim >= FAST and self.family != "qr" and not self.dim & (self.dim - 1)
+
+    def turn(self, x: np.ndarray) -> np.ndarray:
+        """R x of each row: by the fast transform for long rows, by the matrix for short ones."""
+        return walsh_hadamard(x * signs(self.dim, self.seed)) / math.sqrt(self.dim) if self._fast() else x @ self.rotated_by().T
+
+    def unturn(self, r: np.ndarray) -> np.ndarray:
+        return walsh_hadamard(r) * signs(self.dim, self.seed) / math.sqrt(self.dim) if self._fast() else r @ self.rotated_by()
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.asarray(x, np.float64)
         n = np.sqrt((x * x).sum(axis=1))
-        r = (x / np.maximum(n, 1e-30)[:, None]) @ self.rotated_by().T
+        r = self.turn(x / np.maximum(n, 1e-30)[:, None])
         return np.searchsorted(bounds(self.bits, self.dim), r, side="left").astype(np.int8), n
 
     def rotated(self, codes: np.ndarray) -> np.ndarray:
         return levels(self.bits, self.dim)[codes]
 
     def decode(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.rotated(codes) @ self.rotated_by()) * np.asarray(n)[:, None]
+        return self.unturn(self.rotated(codes)) * np.asarray(n)[:, None]
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -54,14 +54,3 @@ def differential_fraction(a: Column) -> Column:
     """The squared norm about the mean over the squared norm."""
     mean = total(F.transform(a, lambda x: x.cast("double"))) / F.size(a)
     return total(F.transform(a, lambda x: (x - mean) * (x - mean))) / F.greatest(dot(a, a), F.lit(TINY))
-
-
-def score(metric: str, inner: Column, vrnorm: Column) -> Column:
-    """One scale for all searches, higher is better: the inner product, cosine, or 2 inner - |v|^2 for distances."""
-    if metric == "dot":
-        return inner
-    if metric == "cosine":
-        return inner * vrnorm
-    if metric == "l2":
-        return 2 * inner - 1 / (vrnorm * vrnorm)
-    raise ValueError(f"no such metric: {metric}")

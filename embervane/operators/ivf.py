@@ -47,7 +47,7 @@ class InvertedFile:
         codec = self.codec
         codes = knn._column("codes", codec.dim)
         base = lambda t: codec.rotated(codes(t).astype(np.int64)) * t.column("cnorm").to_numpy()[:, None]
-        query = lambda t: knn._column("vec", codec.dim)(t) @ codec.rotated_by().T
+        query = lambda t: codec.turn(knn._column("vec", codec.dim)(t))
         return knn.scan_cells(self.rows(), probes, queries, k, codec.dim, base_matrix=base, query_matrix=query)
 
     def _bounds(self, queries: DataFrame, radius_scale: float, id: str, vec: str) -> DataFrame:

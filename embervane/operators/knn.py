@@ -94,7 +94,7 @@ def adc_topk(index: DataFrame, queries: DataFrame, codec: Codec, k: int = 10, me
     """topk() on the codes of encode(): only codes and norms are moved, and decoded within a block in rotated space."""
     codes = _column("codes", codec.dim)
     base = lambda t: codec.rotated(codes(t)) * t.column("cnorm").to_numpy()[:, None]
-    query = lambda t: _column("vec", codec.dim)(t) @ codec.rotated_by().T
+    query = lambda t: codec.turn(_column("vec", codec.dim)(t))
     hits = _pairs(index.select("id", "codes", "cnorm"), usable(queries, id, vec, codec.dim), _top(k, exclude_self, metric, codec.dim, base, query), "query bigint, id bigint, score double")
     return best(hits, k)
 

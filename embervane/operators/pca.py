@@ -226,7 +226,7 @@ def codebook(df: DataFrame, codec: Codec, rounds: int = 50, tol: float = 1e-6, *
         count, total = np.zeros(n_bins, np.int64), np.zeros(n_bins)
         for b in batches:
             x = matrix(b.column("vec"), dim)
-            r = ((x / np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]) @ codec.rotated_by().T).ravel()
+            r = codec.turn(x / np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]).ravel()
             k = np.clip(((r + edge) / (2 * edge) * n_bins).astype(np.int64), 0, n_bins - 1)
             count += np.bincount(k, minlength=n_bins)
             total += np.bincount(k, r, minlength=n_bins)
@@ -260,7 +260,7 @@ def codebook_error(df: DataFrame, codec: Codec, book: np.ndarray | None = None,
         n, s = 0, 0.0
         for b in batches:
             x = matrix(b.column("vec"), codec.dim)
-            r = (x / np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]) @ codec.rotated_by().T
+            r = codec.turn(x / np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None])
             n, s = n + r.size, s + float(((r - book[np.searchsorted(cut, r)]) ** 2).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s])], ["n", "s"])
 

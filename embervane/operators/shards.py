@@ -89,7 +89,7 @@ class ShardedIndex:
         codec, q = self.codec, usable(queries, id, vec, self.codec.dim)
         codes = knn._column("codes", codec.dim)
         base = lambda t: codec.rotated(codes(t).astype(np.int64)) * t.column("cnorm").to_numpy()[:, None]
-        turned = lambda t: knn._column("vec", codec.dim)(t) @ codec.rotated_by().T
+        turned = lambda t: codec.turn(knn._column("vec", codec.dim)(t))
         probes = self.routed(queries, cells, nprobe, id, vec).select("query", F.col("shard").alias("cell"))
         rows = self.rows().select("id", "codes", "cnorm", F.col("shard").alias("cell"))
         return knn.best(knn.scan_cells(rows, probes, q, k, codec.dim, exclude_self, base_matrix=base, query_matrix=turned), k)

@@ -100,6 +100,8 @@ def test_slots_records_and_transform(spark, table):
     x = np.arange(8.0)
     assert np.allclose(C.walsh_hadamard(C.walsh_hadamard(x)), 8 * x)
     assert np.allclose(C.rotation(DIM) @ C.rotation(DIM).T, np.eye(DIM))
+    long, z = C.Codec(1024), np.random.default_rng(1).standard_normal((3, 1024))
+    assert np.allclose(long.turn(z), z @ long.rotated_by().T) and np.allclose(long.unturn(long.turn(z)), z)
     assert export(e, codec).count() == 60
     with pytest.raises(ValueError):
         export(e, codec, "unknown")
