@@ -75,11 +75,13 @@ def _code_sql(bits: int, cte: str = "c") -> str:
 
 
 _ADC = "list_inner_product(q.r, b.cc) / greatest(sqrt(list_inner_product(b.cc, b.cc)), 1e-30)"
-_ROUND = "SELECT query, rank, id, round(score, 6) AS score FROM"
+#: A score that rounds to 0 has no sign.
+_ROUND = "SELECT query, rank, id, CASE WHEN round(score, 6) = 0 THEN 0.0::DOUBLE ELSE round(score, 6) END AS score FROM"
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+    s = F.round("score", 6)
+    return hits.withColumn("score", F.when(s == 0, 0.0).otherwise(s)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # -- search
