@@ -309,7 +309,7 @@ def test_join_against_brute_force(spark, copies, monkeypatch):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
-def test_full_buckets_go_on_with_longer_keys(spark, copies, monkeypatch):
+def test_full_buckets_are_parted_anew(spark, copies, monkeypatch):
     for most in (2, 5):
         monkeypatch.setattr(ngram_join, "BUCKET", most)
         assert classes(spark, copies) == slow_classes(copies)
@@ -352,7 +352,7 @@ def test_no_task_takes_a_bucket_of_frequent_words_whole(spark, monkeypatch):
             super().__init__(counts, sizes)
 
     monkeypatch.setattr(ngram_join, "CountTree", Counted)
-    rows = sketch.selectExpr("node", "explode(levels) AS x").selectExpr("node", "x.counts", "x.size", "explode(x.keys) AS key").selectExpr("key", "node", "CAST(size + 32768 AS BIGINT) AS meta", "counts", "0 AS side").orderBy("key").toArrow()
+    rows = sketch.selectExpr("node", "explode(levels) AS x").selectExpr("node", "x.counts", "x.size", "explode(x.keys) AS key").selectExpr("key", "node", "CAST(size AS INT) AS size", "counts", "0 AS side").orderBy("key").toArrow()
     list(ngram_join._bucket_links(0.6, 32)(iter(rows.to_batches(max_chunksize=500))))
     assert made and max(made) <= 32
 
