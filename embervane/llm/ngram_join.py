@@ -6,16 +6,12 @@ and an inner node of an R-tree bounds that sum for all points under it by its up
 rules out are verified on the whole sets.
 
 One tree over a whole corpus would send nearly every query to nearly every node, for unrelated documents of one
-length have similar counts.  So nodes are first routed: a sample of the n-grams, its rate halved as documents double,
-is hashed into ``ROUTES`` groups, and the n-grams that a node has in a group, taken together, are the key of a
-bucket.  A pair at the threshold differs in few enough n-grams that some group is untouched (the chance is over 0.999,
-and far nearer 1 above the threshold).  Keys that only one node has are left out before anything else is moved.  In
-each bucket an R-tree of the samples' counts finds which members may be similar; those links are joined to components, and R-trees over counts of the whole sets answer every member's query.
-
-No bucket is held whole beyond ``BUCKET`` members: the rows of a fuller one are streamed on, each keyed anew by what
-it has in each of ``PARTS`` groups of cells, so that a similar pair meets again with a chance as great as at first;
-what is full after ``ROUNDS`` of that is cut to chunks, and every pair of chunks is one task's tree.  Components are cut to chunks by members and n-grams alike.  Blocks give sums and
-a spanning forest, never their pairs.
+length have similar counts.  So ``slices`` first finds candidates, without losing any pair at the threshold; those
+links are joined to components, and R-trees over counts of the whole sets answer every member's query.  Components
+are cut to chunks by members and n-grams alike.  Blocks give sums and a spanning forest, never their pairs.
+
+The sampled routing to buckets (``_route``, ``_sketches``, ``_bucket_links``) loses some pairs at the threshold; no
+query uses it any more.
 """
 
 from __future__ import annotations
@@ -29,6 +25,7 @@ from pyspark.sql import functions as F
 
 from embervane.llm import kernel as K
 from embervane.llm.common import IdFilter, fresh, id_filter, map_arrow, per_key
+from embervane.llm.slices import slice_links
 from embervane.operators.components import connected_components
 from embervane.session import released, staged
 
@@ -38,8 +35,8 @@ THRESHOLD = 0.6
 ROUTES, SAMPLE, CELLS = 28, 48, 384
 #: Where the sample isn't the whole set, a link may fall so far below the threshold in it: over three and a half standard deviations of a sample's Jaccard, so that about one link in 5,000 at the very threshold is lost here.
 SLACK = 0.2
-#: Members of a bucket that one tree takes; times that the rows of a fuller one are parted anew, by so many groups of cells.
-BUCKET, ROUNDS, PARTS = 4096, 2, 32
+#: Members of a bucket that one tree takes; groups of cells by which the rows of a fuller one are parted anew.
+BUCKET, PARTS = 4096, 32
 #: Points in a leaf and children of a node of the trees; cells of the whole sets' counts; sets and n-grams in a chunk of a block.
 FANOUT, FULL_CELLS, CHUNK, CHUNK_GRAMS = 16, 512, 2048, 1 << 20
 
@@ -340,65 +337,19 @@ def _blocks(rows: DataFrame, by: str, chunks: DataFrame) -> DataFrame:
     return own.withColumn("block", F.xxhash64(by, F.least("__chunk", "__other"), F.greatest("__chunk", "__other"))).withColumn("side", (F.col("__chunk") > F.col("__other")).cast("int")).drop("__chunk", "__other", "chunks")
 
 
-def _bucket_rows(met: IdFilter):
-    """The rows (key, node, size, counts, side) of the keys that ``met`` takes for those of several nodes."""
+def _nodes(n: int):
+    """(doc_id, node, n) of each row."""
 
     def f(batches):
-        for b in batches:
-            levels = b.column("levels")
-            node = np.repeat(b.column("node").to_numpy(), levels.value_lengths().to_numpy())
-            if not len(node):
-                continue
-            keys, counts, size = levels.flatten().flatten()
-            length = keys.value_lengths().to_numpy()
-            key = keys.flatten().to_numpy()
-            of = np.repeat(np.arange(len(length)), length)
-            keep = np.flatnonzero(met.may_have(key))
-            packed = _rows_of(pa.chunked_array([counts]), CELLS // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[of[keep]]), pa.array(size.to_numpy().astype(np.int32)[of[keep]]), _fixed(packed[of[keep]]), pa.array(np.zeros(len(keep), np.int32))], ["key", "node", "size", "counts", "side"])
+        for batch in batches:
+            for b in K.text_slices(batch, "text"):
+                g, at = gram_sets(b.column("text"), n)
+                size = np.diff(at)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(set_prints(g, at), mask=size == 0), pa.array(size.astype(np.int32))], ["doc_id", "node", "n"])
 
     return f
 
 
-def candidate_links(sketch: DataFrame, nodes: DataFrame, t: float, bucket: int | None = None) -> DataFrame:
-    """(a, b) nodes whose samples may be similar, as forests of buckets, from (doc_id, node, levels) of every row and (node, rep, rows, ...) of the nodes."""
-    spark, most = sketch.sparkSession, bucket or BUCKET
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # rows whose node has no other row go on as they are; only of the others is one for each node looked for
-    shared = id_filter(nodes.where("rows > 1"), "node")
-    own = sketch.where("node IS NOT NULL").select("node", "levels")
-
-    def cut(suspected: bool):
-        def f(batches):
-            for b in batches:
-                yield b.filter(pa.array(shared.may_have(b.column("node").to_numpy()) == suspected))
-
-        return f
-
-    lone, common = (map_arrow(own, cut(x), f"node bigint, levels {LEVELS}") for x in (False, True))
-    every = lone.union(common.groupBy("node").agg(F.first("levels").alias("levels")))
-    keys = every.select(F.explode("levels").alias("x")).select(F.explode("x.keys").alias("key"))
-    met = staged(keys.groupBy("key").count().where("count > 1").select("key"), "met")
-    rows = map_arrow(every, _bucket_rows(id_filter(met, "key")), "key bigint, node bigint, size int, counts binary, side int")
-    released(spark)
-    found = None
-    for step in range(ROUNDS + 1):
-        last = step == ROUNDS
-        if last:
-            rows = staged(rows, "full")
-            chunks = rows.groupBy("key").agg(F.ceil(F.count("*") / most).alias("chunks"))
-            rows = _blocks(rows.drop("side"), "key", chunks).drop("key").withColumnRenamed("block", "key").select("key", "node", "size", "counts", "side")
-        rows = rows.repartition(parts, "key").sortWithinPartitions("key")
-        done = staged(map_arrow(rows, _bucket_links(t, None if last else most, step), ROUTED), "links")
-        links = done.where("a IS NOT NULL").select("a", "b")
-        found = links if found is None else found.union(links)
-        rows = done.where("key IS NOT NULL").select("key", "node", "size", "counts", "side")
-        released(spark)
-        if last or rows.isEmpty():
-            return found
-    return found
-
-
 def _sets(n: int, linked: IdFilter):
     def f(batches):
         for batch in batches:
@@ -496,10 +447,12 @@ def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame, Da
     """(ids: distinct (doc_id, node); nodes: (node, rep, weight); blocks: (block, side, node, weight, grams) of the components of candidate links)."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketch = staged(map_arrow(own, _sketches(n, t), f"doc_id bigint, node bigint, n int, levels {LEVELS}"), "sketches")
-    ids = sketch.groupBy("doc_id", "node", "n").agg(F.count("*").alias("rows"))
+    rows = staged(map_arrow(own, _nodes(n), "doc_id bigint, node bigint, n int"), "rows")
+    ids = rows.groupBy("doc_id", "node", "n").agg(F.count("*").alias("rows"))
     nodes = staged(ids.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.sum("rows").alias("rows")), "nodes")
-    found = staged(connected_components(candidate_links(sketch, nodes, t)), "components").join(nodes, "node")
+    links = staged(slice_links(own.select("text").where("text IS NOT NULL"), n, t, gram_sets, set_prints, Forest), "links")
+    released(docs.sparkSession)
+    found = staged(connected_components(links), "components").join(nodes, "node")
     big = found.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_GRAMS)).alias("chunks"))
     member = staged(_blocks(found.select("root", "node", "rep", "weight"), "root", big).select("node", "rep", "weight", "block", "side"), "members")
     linked = id_filter(member, "rep")
