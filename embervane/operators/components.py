@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from embervane.session import discard, staged
 
 #: Edges that the driver joins itself at most, 16 bytes each; more of them take rounds of distributed joins.
-SMALL = 50_000
+SMALL = 1 << 20
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
