@@ -112,6 +112,11 @@ class Forest:
             while (parent[parent] != parent).any():
                 parent[:] = parent[parent]
 
+    def apart(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that aren't joined."""
+        differ = self.parent[i] != self.parent[j]
+        return i[differ], j[differ]
+
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         child = np.flatnonzero(self.parent != np.arange(len(self.parent)))
         return child, self.parent[child]
@@ -363,8 +368,8 @@ def _sets(n: int, linked: IdFilter):
     return f
 
 
-def similar_in_block(sets: list[np.ndarray], side: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, Jaccard) of all pairs with Jaccard t or more; of a block of two chunks only pairs across, sides 0 and 1."""
+def similar_in_block(sets: list[np.ndarray], side: np.ndarray, t: float, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, Jaccard) of all pairs with Jaccard t or more; of a block of two chunks only pairs across, sides 0 and 1.  With a forest, pairs that it has joined by then are left out."""
     sizes = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -380,10 +385,16 @@ def similar_in_block(sets: list[np.ndarray], side: np.ndarray, t: float) -> Iter
         if across:
             keep = side[i] != side[j]
             i, j = i[keep], j[keep]
+        if forest is not None:
+            i, j = forest.apart(i, j)
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         for k in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
             own = code[at[i[k[0]]] : at[i[k[0]] + 1]]
+            if forest is not None:
+                k = k[forest.parent[i[k]] != forest.parent[j[k]]]
+                if not len(k):
+                    continue
             mark[own] = True
             for part in np.array_split(k, -(-int(sizes[j[k]].sum()) // (1 << 22)) or 1):
                 m = sizes[j[part]]
@@ -396,8 +407,8 @@ def similar_in_block(sets: list[np.ndarray], side: np.ndarray, t: float) -> Iter
             mark[own] = False
 
 
-def _verified_blocks(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator]]:
-    """(nodes, weights, similar_in_block()) of each block; a node that came twice counts once."""
+def _verified_blocks(batches: Iterator[pa.RecordBatch], t: float, counted: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, Forest, Iterator]]:
+    """(nodes, weights, a forest for what is found, similar_in_block()) of each block; a node that came twice counts once.  If not counted, pairs that the forest has joined are left out."""
     for table in per_key(batches, "block"):
         block, nodes = table.column("block").to_numpy(), table.column("node").to_numpy()
         side, weight = table.column("side").to_numpy(), table.column("weight").to_numpy()
@@ -415,15 +426,16 @@ def _verified_blocks(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[tu
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             k = a + np.flatnonzero(once[a:b])
             if len(k) > 1:
-                yield nodes[k], weight[k], similar_in_block([grams(x) for x in k.tolist()], side[k], t)
+                forest = Forest(len(k))
+                yield nodes[k], weight[k], forest, similar_in_block([grams(x) for x in k.tolist()], side[k], t, None if counted else forest)
 
 
-def _sums(t: float):
-    """(node, n, other): documents that a block's other nodes link to each node, and its parent in the block's forest of links."""
+def _sums(t: float, counted: bool = True):
+    """(node, n, other): documents that a block's other nodes link to each node (some of them, if not counted), and its parent in the block's forest of links."""
 
     def f(batches):
-        for nodes, weight, found in _verified_blocks(batches, t):
-            forest, n = Forest(len(nodes)), np.zeros(len(nodes), np.int64)
+        for nodes, weight, forest, found in _verified_blocks(batches, t, counted):
+            n = np.zeros(len(nodes), np.int64)
             for i, j, _ in found:
                 forest.link(i, j)
                 np.add.at(n, i, weight[j])
@@ -436,7 +448,7 @@ def _sums(t: float):
 
 def _pairs(t: float):
     def f(batches):
-        for nodes, _, found in _verified_blocks(batches, t):
+        for nodes, _, _, found in _verified_blocks(batches, t):
             for i, j, s in found:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j]), pa.array(s)], ["a", "b", "jaccard"])
 
@@ -480,9 +492,14 @@ def similarity_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     id are one document: equal ones count once, and one of several texts has the sum of their links and the least of
     their classes.  Other columns are ignored; an empty table gives no rows.
     """
+    return _classes(docs, n, threshold)
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, counted: bool = True) -> DataFrame:
+    """similarity_classes(); if not counted, n_links tells only whether there are any, and large classes take no work for each of their pairs."""
     ids, nodes, blocks = _joined(docs, n, threshold)
     ids = staged(ids, "ids")
-    sums = staged(map_arrow(blocks, _sums(threshold), "node bigint, n bigint, other bigint"), "sums")
+    sums = staged(map_arrow(blocks, _sums(threshold, counted), "node bigint, n bigint, other bigint"), "sums")
     roots = connected_components(sums.select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = nodes.join(roots, "node", "left").select("node", "rep", "weight", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
@@ -499,7 +516,7 @@ def without_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     Rows with null id stay, as do null and wordless texts; of rows repeated under one id the first by text stays.
     Only rows that a filter of the ids to leave out takes for such are shuffled.
     """
-    gone = staged(similarity_classes(docs, n, threshold).where("class_id <> doc_id").select("doc_id"), "duplicates")
+    gone = staged(_classes(docs, n, threshold, counted=False).where("class_id <> doc_id").select("doc_id"), "duplicates")
     again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).count().where("count > 1").select("doc_id")
     again = staged(again, "repeated")
     suspects = id_filter(gone.union(again), "doc_id")

@@ -79,3 +79,22 @@ def test_links_count_wherever_their_differences_lie(spark):
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similarity_classes(table).collect()}
     assert got == {d: (a, 1) for a, b in pairs for d in (a, b)}
+
+
+def test_classes_alone_take_no_work_for_each_pair_of_a_large_one(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(120)]
+    sets = [np.unique(np.array([*base[:100], *(rng.getrandbits(64) for _ in range(10))], np.uint64)) for _ in range(300)]
+    side = np.zeros(len(sets), np.int32)
+    found = {}
+    for counted in (True, False):
+        forest = ngram_join.Forest(len(sets))
+        found[counted] = 0
+        for i, j, _ in ngram_join.similar_in_block(sets, side, 0.6, None if counted else forest):
+            forest.link(i, j)
+            found[counted] += len(i)
+        assert (forest.parent == 0).all()
+    assert found[True] == 300 * 299 // 2 and found[False] < 300 * 20
+    texts = [" ".join(f"w{k}" for k in range(60)) + f" x{i} y{i}" for i in range(200)] + ["quite another text"]
+    left = ngram_join.without_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 200]
