@@ -56,22 +56,29 @@ def with_quality(pairs: DataFrame, original: str = "original", reconstructed: st
     return pairs.withColumn("cosine", cosine(a, b)).withColumn("tangential", tangential_fraction(a, b))
 
 
-def quality_stats(pairs: DataFrame, key: str, order: str, window: int = 1000, floor: float = 0.95, tangential_floor: float = 0.0) -> DataFrame:
-    """(key, n_total, n_window, mean, least, deviation, p05, median_tangential, drifted, healthy) of the last ``window`` rows (key, order, cosine, tangential) of each key.
+def quality_stats(pairs: DataFrame, key: str, order: str, window: int | None = 1000, floor: float = 0.95, tangential_floor: float = 0.0, drift: bool = True) -> DataFrame:
+    """(key, n_total, n_window, mean, least, deviation, p05, median_tangential, drifted, healthy) of the last ``window`` rows (key, order, cosine, tangential) of each key, or of all with None.
 
     A key drifts where the earlier and the later half of its window differ by a Kolmogorov-Smirnov test; it is
-    healthy where the mean is at the floor and the median tangential share at its own.
+    healthy where the mean is at the floor and the median tangential share at its own.  Without ``drift`` there is no such column.
     """
     from pyspark.sql.window import Window
 
     from embervane.operators.stats import ks_halves
 
     own = pairs.where(F.col("cosine").isNotNull() & F.col(key).isNotNull())
-    last = own.withColumn("__n", F.count("*").over(Window.partitionBy(key))).withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("__at") <= window)
-    s = last.groupBy(key).agg(F.max("__n").alias("n_total"), F.count("*").alias("n_window"), F.avg("cosine").alias("mean"), F.min("cosine").alias("least"), F.stddev_pop("cosine").alias("deviation"), F.percentile("cosine", F.lit(0.05)).alias("p05"), F.percentile("tangential", F.lit(0.5)).alias("median_tangential"))
-    ks = ks_halves(last, key, order, "cosine").select(key, "drifted")
+    last = own
+    if window is not None:
+        last = own.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("__at") <= window)
+    s = last.groupBy(key).agg(F.count("*").alias("n_window"), F.avg("cosine").alias("mean"), F.min("cosine").alias("least"), F.stddev_pop("cosine").alias("deviation"), F.percentile("cosine", F.lit(0.05)).alias("p05"), F.percentile("tangential", F.lit(0.5)).alias("median_tangential"))
+    if window is None:
+        s = s.select(key, F.col("n_window").alias("n_total"), *s.columns[1:])
+    else:
+        s = own.groupBy(key).agg(F.count("*").alias("n_total")).join(s, key)
+    if drift:
+        s = s.join(ks_halves(last, key, order, "cosine").select(key, "drifted"), key, "left").withColumn("drifted", F.coalesce("drifted", F.lit(False)))
     healthy = (F.col("mean") >= floor) & F.coalesce(F.col("median_tangential") >= tangential_floor, F.lit(True))
-    return s.join(ks, key, "left").withColumn("drifted", F.coalesce("drifted", F.lit(False))).withColumn("healthy", healthy)
+    return s.withColumn("healthy", healthy)
 
 
 def metrics(stats: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from embervane.operators.pca import Principal, Quantized, allocate_bits, codeboo
 from embervane.operators.ranks import rank_correlation, ranked
 from embervane.operators.shards import ShardedIndex
 from embervane.operators.strata_index import StratifiedIndex
-from embervane.plans import dialect, policy
+from embervane.plans import catalogue, dialect, policy
 from embervane.sources import formats
 from embervane.sources.exports import export
 from embervane.streaming import monitor
@@ -392,6 +392,22 @@ def test_quality_streams_and_cache(spark, table):
     assert monitor.hit_counts(found).first()[:3] == (3, 1, 2)
 
 
+def test_quality_window_may_be_all_rows(table):
+    pairs = table.selectExpr("vec_id AS id", "label", "CAST(embedding AS array<double>) AS original", "CAST(embedding AS array<double>) AS reconstructed")
+    q = monitor.with_quality(pairs)
+    kept = monitor.quality_stats(q, "label", "id", window=7).collect()
+    assert all((r["n_total"], r["n_window"]) == (20, 7) for r in kept)
+    every = monitor.quality_stats(q, "label", "id", window=None, drift=False)
+    assert "drifted" not in every.columns and all((r["n_total"], r["n_window"]) == (20, 20) for r in every.collect())
+
+
+def test_quality_monitor_leaves_no_row_of_a_large_label_out(spark, tmp_path):
+    v = [[float(np.cos(i + j)) for j in range(64)] for i in range(11)]
+    spark.createDataFrame([(i, v[i % 11], 0) for i in range(1100)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    r = catalogue.QUERIES["quality_monitor"](spark, str(tmp_path)).first()
+    assert r["n_total"] == r["n_window"] == 1100
+
+
 def test_probes(table):
     r = probe.recommend(table, DIM, every=10)
     assert r["recommendation"] in ("polar", "per_channel") and r["polar"] > 0.9 and r["per_channel"] > 0.9
