@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from embervane.functions import codec as C
 from embervane.operators import knn
+from embervane.operators.strata_index import StratifiedIndex
 
 DIM = 16
 
@@ -94,6 +95,15 @@ def test_a_wide_cell_is_searched_by_units_of_its_queries(table, monkeypatch):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 1500
 
 
+def test_stratified_search_is_one_pass(table):
+    ix = StratifiedIndex.build(table, "label", {"0": 4, "1": 2}, DIM)
+    assert sorted(ix.parts) == [2, 3, 4] and ix.bits == {"0": 4, "1": 2, "2": 3}
+    parts = [knn.adc_topk(rows, table, codec, 6) for codec, rows in ix.parts.values()]
+    got, want = ix.search(table, 6, ix.digest), knn.merge(parts, 6)
+    assert "Window" not in plan(got)
+    assert got.select("query", "rank", "id").exceptAll(want.select("query", "rank", "id")).count() == 0 and got.count() == want.count()
+
+
 def test_sweep_is_its_searches_in_one_pass(spark, table):
     points = [(2, 1), (2, 3), (4, 1)]
     got = {(r["bits"], r["times"]): r["recall"] for r in knn.recall_sweep(table, points, 5, DIM).collect()}
