@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,10 +105,66 @@ def shift(df: DataFrame, group: str, dim: int = 64, vec: str = "embedding") -> D
     return own.crossJoin(F.broadcast(every)).select(group, "rows", distance(F.col("g"), F.col("m")).alias("shift"))
 
 
+#: Rows of a block of ``rolling``, which a task sorts by itself.
+BLOCK = 100_000
+
+
 def rolling(df: DataFrame, key: str, order: str, value: str, window: int = 1000) -> DataFrame:
-    """df's (key, order, value) with n, mean and least of the last ``window`` rows of the key: the monitor's batch twin."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(window - 1), 0)
-    return df.select(key, order, value).withColumns({"n": F.count(value).over(w), "mean": F.avg(value).over(w), "least": F.min(value).over(w)})
+    """df's (key, order, value) with n, mean and least of the last ``window`` rows of the key: the monitor's batch twin.
+
+    Rows are ranked by key and order and cut to blocks by rank, each with the ``window`` - 1 rows before it, so a key
+    of any size is spread over tasks.  Floating values are summed and compared by window in numpy, others by Spark.
+    """
+    from embervane.operators.ranks import ranked
+
+    block = max(BLOCK, window)
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).alias("v"))
+    kinds = dict(rows.dtypes)
+    r = ranked(rows, ["k", "o"], "at").withColumn("at", F.col("at") - 1)
+    own = F.floor(F.col("at") / block)
+    ahead = F.floor((F.col("at") + window - 1) / block)
+    r = r.withColumn("block", F.explode(F.sequence(own, ahead))).withColumn("lead", F.col("block") > own)
+    if kinds["v"] not in ("double", "float"):
+        w = Window.partitionBy("block", "k").orderBy("at").rowsBetween(-(window - 1), 0)
+        out = r.withColumns({"n": F.count("v").over(w), "mean": F.avg("v").over(w), "least": F.min("v").over(w)}).where(~F.col("lead"))
+        return out.select(F.col("k").alias(key), F.col("o").alias(order), F.col("v").alias(value), "n", "mean", "least")
+    schema = f"k {kinds['k']}, o {kinds['o']}, v {kinds['v']}, n bigint, mean double, least {kinds['v']}"
+
+    def f(t: pa.Table) -> pa.Table:
+        t = t.take(pa.compute.sort_indices(t, sort_keys=[("at", "ascending")]))
+        code = t.column("k").combine_chunks().dictionary_encode(null_encoding="encode")
+        code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+        v = t.column("v").cast(pa.float64()).to_numpy()  # nulls are NaN
+        n, mean, least = _rolled(code, v, t.column("v").is_null().to_numpy(), window)
+        none = n == 0
+        out = pa.table({"k": t.column("k"), "o": t.column("o"), "v": t.column("v"), "n": pa.array(n), "mean": pa.array(mean, mask=none), "least": pa.array(least, mask=none).cast(t.schema.field("v").type)})
+        return out.filter(pa.compute.invert(t.column("lead")))
+
+    prepare(df.sparkSession)
+    out = r.select("k", "o", "v", "at", "block", "lead").groupBy("block").applyInArrow(f, schema)
+    return out.select(F.col("k").alias(key), F.col("o").alias(order), F.col("v").alias(value), "n", "mean", "least")
+
+
+def _rolled(code: np.ndarray, v: np.ndarray, null: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, mean, least) of the last ``window`` rows of each row's run of equal codes; a mean with NaN is NaN, the least is NaN where there is no other."""
+    total, least, n = (np.empty(len(v), kind) for kind in (np.float64, np.float64, np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+    for a, z in zip(cuts, cuts[1:]):
+        pad = np.concatenate([np.ones(window - 1, bool), null[a:z]])
+        x = np.concatenate([np.zeros(window - 1), v[a:z]])
+        summed = np.where(pad, 0.0, x)
+        upto = np.concatenate([[0], np.cumsum(~pad)])
+        n[a:z] = upto[window:] - upto[:-window]
+        low = np.where(pad | np.isnan(x), np.inf, x)
+        number = np.concatenate([[0], np.cumsum(~pad & ~np.isnan(x))])
+        with np.errstate(invalid="ignore"):
+            for b in range(0, z - a, 8192):
+                e = min(b + 8192, z - a) + window - 1
+                total[a + b : a + e - window + 1] = np.lib.stride_tricks.sliding_window_view(summed[b:e], window).sum(axis=1)
+                least[a + b : a + e - window + 1] = np.lib.stride_tricks.sliding_window_view(low[b:e], window).min(axis=1)
+        least[a:z][number[window:] == number[:-window]] = np.nan
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return n, total / n, least
 
 
 def ks_halves(df: DataFrame, key: str, order: str, value: str, significance: float = 0.05) -> DataFrame:

@@ -113,3 +113,27 @@ def test_sweep_is_its_searches_in_one_pass(spark, table):
         assert got[bits, fetch] == pytest.approx(knn.recall(exact, found, 5).agg({"recall": "avg"}).first()[0], abs=1e-12)
     none = knn.recall_sweep(table.where("false"), points, 5, DIM).collect()
     assert len(none) == 3 and all(r["recall"] is None for r in none)
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_rolling_cuts_a_key_to_blocks(spark, monkeypatch, kind):
+    """Before, a task sorted and summed all rows of a key."""
+    from pyspark.sql.window import Window
+
+    from embervane.operators import stats
+
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 11 == 0 else "ab"[int(i % 10 < 2)], None if i % 7 == 0 else int(rng.integers(0, 100))) for i in rng.permutation(120).tolist()]
+    df = spark.createDataFrame(rows, "event_id bigint, event_type string, value bigint").withColumn("value", F.col("value").cast(kind))
+    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-4, 0)
+    want = df.select("event_type", "event_id", "value").withColumns({"n": F.count("value").over(w), "mean": F.round(F.avg("value").over(w), 9), "least": F.min("value").over(w)})
+    got = stats.rolling(df, "event_type", "event_id", "value", 5)
+    assert got.dtypes == want.dtypes
+    got = got.withColumn("mean", F.round("mean", 9))
+    assert got.count() == 120 and got.exceptAll(want).count() == 0
+    assert "block" in plan(got)
+    assert stats.rolling(df.where("false"), "event_type", "event_id", "value", 5).count() == 0
+    nan = spark.createDataFrame([(0, "a", float("nan")), (1, "a", 2.0), (2, "a", float("inf"))], "event_id bigint, event_type string, value double")
+    r = [tuple(map(str, x[3:])) for x in stats.rolling(nan, "event_type", "event_id", "value", 2).orderBy("event_id").collect()]
+    assert r == [("1", "nan", "nan"), ("2", "nan", "2.0"), ("2", "inf", "2.0")]
